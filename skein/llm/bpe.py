@@ -233,6 +233,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
     with open(rank_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = docs.drop(ids)
+    names = [*kept.columns, ids]
     schema = kept.withColumn(ids, F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +241,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
         for batch in batches:
             for at, to, texts in _text_runs(batch, text):
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.encode(texts), _ids_type())], [*kept.columns, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.encode(texts), _ids_type())], names)
 
     return kept.mapInArrow(run, schema)
 
@@ -250,13 +251,14 @@ def decode(coded: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids
     with open(rank_path, "rb") as f:
         ranks = coded.sparkSession.sparkContext.broadcast(f.read())
     kept = coded.drop(out)
+    names = [*kept.columns, out]
     schema = kept.withColumn(out, F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks.value, pattern)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.decode(x or []) for x in lists], pa.binary())], [*kept.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.decode(x or []) for x in lists], pa.binary())], names)
 
     return kept.mapInArrow(run, schema)
 
@@ -319,6 +321,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, frequent: i
     added = [x["content"] for x in spec.get("added_tokens", [])]
     shared = docs.sparkSession.sparkContext.broadcast((file, tier_one, added))
     kept = docs.drop(out)
+    names = [*kept.columns, out]
     schema = kept.withColumn(out, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +330,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, frequent: i
             n: list[int] = []
             for _, _, texts in _text_runs(batch, text):
                 n += count(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*kept.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names)
 
     return kept.mapInArrow(run, schema)
 
