@@ -1,9 +1,10 @@
 """N-gram Jaccard join on parity sketches.
 
-A text's set is its distinct word shingles. Every shingle toggles one bit of a sketch, so the Hamming distance of two sketches is at most the
-size of the sets' symmetric difference. At a similarity of num/den that size is at most d = (a + b)(den - num) / (den + num). Sizes fall into
-bands; a band's sketch has d + 1 + SPARE words of WORD_BITS bits, so linked sets agree in at least 1 + SPARE words: sets that share a word of
-the same place are candidates, and every candidate is verified on the whole sets. No pair of linked sets is missed.
+A text's set is its distinct word shingles. A sketch is a row of 64-bit words; each shingle's hash is XORed into one word, so that two
+sketches differ in at most as many words as the sets' symmetric difference has shingles. At a similarity of num/den that is at most
+d = (a + b)(den - num) / (den + num). Sizes fall into bands; a band's sketch has d + 1 + SPARE words, so linked sets agree in at least
+1 + SPARE words: sets that share a word of the same place are candidates, and every candidate is verified on the whole sets. No pair of
+linked sets is missed.
 
 Equal sets are one class from the start. A word's bucket is first reduced within each map-side run of rows and then by bucket: members are
 tied to a hub (the smallest class there), so a bucket of k classes makes k - 1 candidates. After these are verified and connected, buckets that
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import chunks, connected, mix, settle, shingle_hashes, words
 
-#: Bits of a sketch word, agreement in more than one of which is asked for by SPARE; ratio of a size band's ends.
-WORD_BITS, SPARE, BAND = 128, 1, 1.4
+#: Words beyond those that the pigeonhole needs, so that empty words seldom must be keys; ratio of a size band's ends.
+SPARE, BAND = 1, 1.4
 #: Keys that a map-side run gathers before it reduces them; bytes of keys a bucket should hold.
 RUN_KEYS, BUCKET_BYTES = 1 << 18, 8 << 20
 
@@ -49,13 +50,13 @@ def sketch_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
             break
         most = 2 * high * (den - num) // (den + num)
         blocks = most + 1 + SPARE
-        bits = np.bincount((hashes % np.uint64(blocks * WORD_BITS)).astype(np.int64), minlength=blocks * WORD_BITS).astype(np.uint8) & 1
-        sketch = np.packbits(bits).view(np.uint64).reshape(blocks, WORD_BITS // 64)
+        word = ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)  # rises with the sorted hashes
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        sketch = np.zeros(blocks, np.uint64)
+        sketch[word[first]] = np.bitwise_xor.reduceat(hashes, first)
         with np.errstate(over="ignore"):
-            key = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40))
-            for i in range(sketch.shape[1]):
-                key = mix(key ^ sketch[:, i])
-        filled = sketch.any(axis=1)
+            key = mix(sketch ^ mix(np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)))
+        filled = sketch != 0
         larger = min(n * den // num, high)
         if (~filled).sum() < blocks - (n + larger) * (den - num) // (den + num):
             key = key[filled]  # a linked set then agrees in a filled word
