@@ -49,6 +49,22 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.repeats import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), label="op7")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: whether a benchmark passage leaks into it, which ones, and the least edits."""
+    from skein.llm.decontaminate import mark_leaks
+
+    marked = mark_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    least = F.array_min(F.transform("leaks", lambda x: x["edits"]))
+    return marked.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"), least.alias("least_edits"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.sharding import place
 
