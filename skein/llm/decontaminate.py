@@ -175,8 +175,8 @@ class Index:
         return out
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with leaks: array<struct<item_id, edits, start, end>>, replacing a column of that name; start and end are byte places in the text.
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, out: str = "leaks") -> DataFrame:
+    """docs with the column `out`: array<struct<item_id, edits, start, end>>, replacing a column of that name; start and end are byte places in the text.
 
     Passages that are equal after normalisation count as the one with the smallest item_id; null passages, null item_ids and passages shorter
     than LEAST_BYTES after normalisation are no evidence and are left out. Null and empty texts have no leaks. Rows are judged each on their
@@ -195,9 +195,9 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
             if len(key) >= LEAST_BYTES:
                 folded[key] = min(item, folded.get(key, item))
         blocks.append(spark.sparkContext.broadcast(sorted((i, x) for x, i in folded.items())))
-    kept = docs.drop("leaks")
-    names = [*kept.columns, "leaks"]
-    schema = kept.withColumn("leaks", F.lit(None).cast("array<struct<item_id:bigint,edits:int,start:bigint,end:bigint>>")).schema
+    kept = docs.drop(out)
+    names = [*kept.columns, out]
+    schema = kept.withColumn(out, F.lit(None).cast("array<struct<item_id:bigint,edits:int,start:bigint,end:bigint>>")).schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,4 +220,4 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs into which no passage leaks, with docs' columns."""
-    return mark_leaks(docs, benchmark, rate).where(F.size("leaks") == 0).select(*[F.col(c) for c in docs.columns])
+    return mark_leaks(docs, benchmark, rate, out="skein_leaks").where(F.size("skein_leaks") == 0).select(*[F.col(c) for c in docs.columns])

@@ -352,13 +352,14 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, label: str) -> Dat
     return windows.union(late)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, label: str = "repeats") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, label: str = "repeats", as_text: bool = False) -> DataFrame:
     """docs without text, with n_bytes, kept (binary), n_removed, n_spans, which replace columns of these names.
 
     Texts are UTF-8 bytes; a null text is empty. A byte goes if a string of `length` bytes that covers it also starts earlier: in a document
     with a smaller doc_id, or earlier in its own. Matches never cross documents and are judged on the input. Rows that repeat a doc_id with
     another text are documents in order of a hash of the text; rows that repeat both are one document and are treated alike. A row with a
-    null doc_id is neither compared nor changed. Other columns pass through.
+    null doc_id is neither compared nor changed. Other columns pass through. as_text: instead of kept, text as a string, without the bytes of
+    characters that a removal cut through; a null text is then empty.
     """
     gram = max(1, min(GRAM, length // 2))
     plain = docs.drop("n_bytes", "kept", "n_removed", "n_spans")
@@ -370,8 +371,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, label: str = "repeats"
     joined = keyed.join(spans, (F.col("doc_id") == F.col("skein_doc")) & (F.col("skein_th") == F.col("skein_at")), "left")
     rest = [c for c in plain.columns if c != "text"]
     rows = joined.select(*rest, text.cast("binary").alias("skein_text"), "skein_spans")
-    names = [*rest, "n_bytes", "kept", "n_removed", "n_spans"]
-    schema = plain.select(*rest).withColumns({"n_bytes": F.lit(0).cast("long"), "kept": F.lit("").cast("binary"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long")}).schema
+    kept_name = "text" if as_text else "kept"
+    names = [*rest, "n_bytes", kept_name, "n_removed", "n_spans"]
+    schema = plain.select(*rest).withColumns({"n_bytes": F.lit(0).cast("long"), kept_name: F.lit("").cast("string" if as_text else "binary"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long")}).schema
     k = len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +392,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, label: str = "repeats"
                 stay = np.cumsum(change[:-1]) == 0
                 spans.append(int((~stay[1:] & stay[:-1]).sum() + ~stay[0]))
                 kept.append(np.frombuffer(data, np.uint8)[stay].tobytes())
-            out = [pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array([a - len(b) for a, b in zip(size, kept, strict=True)], pa.int64()), pa.array(spans, pa.int64())]
+            text = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            out = [pa.array(size, pa.int64()), text, pa.array([a - len(b) for a, b in zip(size, kept, strict=True)], pa.int64()), pa.array(spans, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *out], names)
 
     return rows.mapInArrow(run, schema)
