@@ -1 +1,117 @@
-"""Queries to come."""
+"""Queries of ordered operators and learned ranking."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.bind import articles, deals, events, load
+from skein.functions import text as T
+from skein.operators import ordered as O
+from skein.registry import query
+from skein.sources import html
+
+c = F.col
+
+
+@query("x01_online_clusters")
+def x01(s: SparkSession, d: str) -> DataFrame:
+    e = load(s, d, "embeddings").select(F.concat_ws("-", "label", F.floor(c("vec_id") / 720)).alias("block"), "vec_id", "embedding")
+    return O.greedy_clusters(e, "block", "vec_id", "embedding", 0.3)
+
+
+@query("x05_deal_folding")
+def x05(s: SparkSession, d: str) -> DataFrame:
+    return O.fold_deals(deals(s, d))
+
+
+@query("a33_folded_deals")
+def a33(s: SparkSession, d: str) -> DataFrame:
+    """Companies' folds with their deals counted and the largest amount."""
+    folded = O.fold_deals(deals(s, d)).join(deals(s, d), "deal_id")
+    return folded.groupBy("company", "fold").agg(F.count("*").alias("n"), F.max("amount").alias("amount"), F.min("day").alias("first_day"))
+
+
+@query("x06_anchored_runs")
+def x06(s: SparkSession, d: str) -> DataFrame:
+    g = O.anchored_groups(events(s, d), "user_id", "ts", "event_id", 29 * 60)
+    return g.groupBy("user_id", "first_us").agg(F.count("*").alias("n"))
+
+
+_R = """WITH t AS (SELECT id, importance / 10.0 AS x0, ln(1 + points) / 6.0 AS x1, (doc_quality) AS y FROM (SELECT a.*, CAST(l.quality AS DOUBLE) AS doc_quality FROM {art} a JOIN labels l ON l.doc_id = a.id)), m AS (SELECT avg(y) AS y0 FROM t),
+  p AS (SELECT sum(x0 * x0) + 1 AS a, sum(x0 * x1) AS b, sum(x1 * x1) + 1 AS e, sum(x0 * (y - y0)) AS u, sum(x1 * (y - y0)) AS v, any_value(y0) AS y0 FROM t, m)"""
+
+
+def _features() -> dict:
+    return {"importance": c("importance") / 10.0, "points": F.log1p("points") / 6.0}
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    return articles(s, d).join(load(s, d, "labels"), c("id") == c("doc_id"))
+
+
+@query("x07_ridge", f"{_R} SELECT 'importance' AS feature, round((e * u - b * v) / (a * e - b * b), 6) AS weight FROM p UNION ALL SELECT 'points', round((a * v - b * u) / (a * e - b * b), 6) FROM p")
+def x07(s: SparkSession, d: str) -> DataFrame:
+    weights, _ = O.ridge(_labelled(s, d), _features(), c("quality"))
+    return s.createDataFrame(list(zip(_features(), weights.tolist(), strict=True)), "feature string, weight double").withColumn("weight", F.round("weight", 6))
+
+
+@query("x08_prediction", f"{_R} SELECT a.id, round(greatest(0, least(1, y0 + (e * u - b * v) / (a_ * e - b * b) * importance / 10.0 + (a_ * v - b * u) / (a_ * e - b * b) * ln(1 + points) / 6.0)), 6) AS predicted FROM {{art}} a, (SELECT *, a AS a_ FROM p) q".replace("(a_ *", "(q.a *").replace("(SELECT *, a AS a_ FROM p) q", "p q").replace("(e * u - b * v)", "(q.e * q.u - q.b * q.v)").replace("* e - b * b)", "* q.e - q.b * q.b)").replace("* v - b * u)", "* q.v - q.b * q.u)"))
+def x08(s: SparkSession, d: str) -> DataFrame:
+    weights, mean = O.ridge(_labelled(s, d), _features(), c("quality"))
+    return O.predict(articles(s, d), _features(), weights, mean).select("id", F.round("predicted", 6).alias("predicted"))
+
+
+@query("f17_hashed_embedding")
+def f17(s: SparkSession, d: str) -> DataFrame:
+    """Signed, hashed counts of words and word pairs at length one, as (id, slot, x): 512 slots, only those used."""
+    words = T.tokens(c("title"))
+    grams = articles(s, d).select("id", F.explode(F.concat(words, T.shingles(words))).alias("g"))
+    h = F.conv(F.substring(F.md5("g"), 25, 8), 16, 10).cast("long")
+    x = grams.groupBy("id", (h % 512).alias("slot")).agg(F.sum(F.when((F.floor(h / 512) % 2) == 0, 1.0).otherwise(-1.0)).alias("x")).where("x <> 0")
+    return x.withColumn("x", F.round(c("x") / F.sqrt(F.sum(c("x") * c("x")).over(Window.partitionBy("id"))), 6))
+
+
+@query("f21_sequence_ratio")
+def f21(s: SparkSession, d: str) -> DataFrame:
+    """Ratio of matching blocks of a title and the next one, where their tokens overlap at all."""
+    a = articles(s, d).select("id", "title", T.tokens(c("title")).alias("w"))
+    b = a.select((c("id") - 1).alias("id"), c("title").alias("other"), c("w").alias("v"))
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
+
+    near = a.join(b, "id").where(T.jaccard(c("w"), c("v")) >= 0.4)
+    return near.select("id", F.round(ratio("title", "other"), 6).alias("ratio"))
+
+
+@query("x09_article_extraction")
+def x09(s: SparkSession, d: str) -> DataFrame:
+    """Title, paragraphs and words of each page's article element."""
+    return html.extract(load(s, d, "pages").select("page_id", "html"))
+
+
+@query("x13_row_expander", "SELECT id, CAST(i AS INTEGER) AS i, w[i + 1] AS word FROM (SELECT id, w, unnest(range(0, len(w))) AS i FROM (SELECT id, regexp_extract_all(lower(title), '[a-z0-9][a-z0-9''+.-]*') AS w FROM {art}))")
+def x13(s: SparkSession, d: str) -> DataFrame:
+    return articles(s, d).select("id", F.posexplode(T.tokens(c("title"))).alias("i", "word"))
+
+
+@query("k10_encrypted_payload", "SELECT id, true AS same, length(title) AS n FROM {art}")
+def k10(s: SparkSession, d: str) -> DataFrame:
+    """Encrypt and decrypt each title with AES-GCM under a key that a passphrase gives."""
+    key = F.unhex(F.md5(F.lit("passphrase")))
+    back = F.aes_decrypt(F.aes_encrypt("title", key, F.lit("GCM")), key, F.lit("GCM")).cast("string")
+    return articles(s, d).select("id", (back == c("title")).alias("same"), F.length("title").cast("long").alias("n"))
+
+
+@query("s08_scan_by_host", "SELECT regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '') AS host, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1")
+def s08(s: SparkSession, d: str) -> DataFrame:
+    pages = load(s, d, "pages")
+    host = F.regexp_replace(F.regexp_extract("url", "://([^/?#]*)", 1), r"^www\.", "")
+    return pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
