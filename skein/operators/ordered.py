@@ -94,3 +94,96 @@ def predict(rows: DataFrame, features: dict[str, Column], weights: np.ndarray, m
     for w, c in zip(weights, features.values(), strict=True):
         linear = linear + F.lit(float(w)) * c.cast("double")
     return rows.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), linear)))
+
+
+def first_kept(prints: DataFrame, block: str, key: str, most: int = 10) -> DataFrame:
+    """(block, key, duplicate_of): in key order, a 64-bit fingerprint within `most` bits of one that was kept before is a duplicate of the
+    earliest such; else it is kept. Duplicates hide nothing. Blocks are independent and one task's work each."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        prints, keys = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf[key].to_numpy()
+        kept, names, out = np.zeros(len(pdf), np.uint64), [], []
+        for h, name in zip(prints, keys, strict=True):
+            near = np.flatnonzero(np.bitwise_count(kept[: len(names)] ^ h) <= most)
+            if len(near):
+                out.append(names[near[0]])
+            else:
+                kept[len(names)] = h
+                names.append(name)
+                out.append(None)
+        return pd.DataFrame({block: pdf[block].to_numpy(), key: keys, "duplicate_of": pd.array(out, dtype="Int64")})
+
+    kinds = dict(prints.dtypes)
+    return prints.select(block, key, "h").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, {key} {kinds[key]}, duplicate_of long")
+
+
+def merge_forest(pairs: DataFrame, block: str, most_merges: int = 10, most_size: int = 80) -> DataFrame:
+    """(block, a, b, root): of a block's pairs (a, b, sim), in order of falling similarity, those that merge two trees, as long as no tree
+    outgrows most_size and no more than most_merges in all; root is the smaller of the trees' roots."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(back=-pdf["sim"]).sort_values(["back", "a", "b"])
+        parent: dict[int, int] = {}
+        size: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            p, q = sorted((root(a), root(b)))
+            if len(out) < most_merges and p != q and size.get(p, 1) + size.get(q, 1) <= most_size:
+                parent[q] = p
+                size[p] = size.get(p, 1) + size.get(q, 1)
+                out.append((a, b, p))
+        return pd.DataFrame({block: [pdf[block].iloc[0]] * len(out), "a": [x[0] for x in out], "b": [x[1] for x in out], "root": [x[2] for x in out]})
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select(block, "a", "b", "sim").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, a {kinds['a']}, b {kinds['b']}, root {kinds['a']}")
+
+
+def majority_amounts(deals: DataFrame, tolerance: float = 0.25) -> DataFrame:
+    """(company, amount, n): each company's largest cluster of amounts. In date order an amount joins the first cluster whose first amount is
+    within tolerance; of clusters of one size the earliest wins. amount is the cluster's first."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        clusters: list[list] = []
+        for amount in pdf.sort_values(["day", "deal_id"])["amount"]:
+            hit = next((x for x in clusters if abs(x[0] - amount) <= tolerance * max(x[0], amount)), None)
+            if hit:
+                hit[1] += 1
+            else:
+                clusters.append([amount, 1])
+        amount, n = max(clusters, key=lambda x: x[1])
+        return pd.DataFrame({"company": [pdf["company"].iloc[0]], "amount": [amount], "n": [n]})
+
+    return deals.where("amount IS NOT NULL").select("company", "deal_id", "amount", "day").groupBy("company").applyInPandas(run, "company string, amount double, n long")
+
+
+def assign_threads(stories: DataFrame, block: str, near: float, near_named: float, most: int = 10) -> DataFrame:
+    """(block, story_id, thread): in order of story_id, a story joins the thread with the nearest latest episode, if they share a name and
+    are at `near`, or at near_named with a specific name shared; at most `most` episodes. The latest episode's vector is the one known
+    when the thread began its run: it isn't refreshed. stories: names and specific are arrays of names, v the vector."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("story_id")
+        threads: list[dict] = []
+        out = []
+        for story, names, specific, v in zip(pdf["story_id"], pdf["names"], pdf["specific"], pdf["v"], strict=True):
+            x = np.asarray(v, float)
+            x = x / max(np.linalg.norm(x), 1e-12)
+            best, best_near = None, -2.0
+            for t in threads:
+                sim = float(t["v"] @ x)
+                fits = t["names"] & set(names) and (sim >= near or sim >= near_named and t["specific"] & set(specific))
+                if fits and t["n"] < most and sim > best_near:
+                    best, best_near = t, sim
+            if best is None:
+                threads.append(best := {"id": story, "v": x, "names": set(), "specific": set(), "n": 0})
+            best["names"] |= set(names)
+            best["specific"] |= set(specific)
+            best["n"] += 1
+            out.append(best["id"])
+        return pd.DataFrame({block: pdf[block].to_numpy(), "story_id": pdf["story_id"].to_numpy(), "thread": out})
+
+    kinds = dict(stories.dtypes)
+    return stories.select(block, "story_id", "names", "specific", "v").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, story_id long, thread long")

@@ -115,3 +115,39 @@ def s08(s: SparkSession, d: str) -> DataFrame:
     pages = load(s, d, "pages")
     host = F.regexp_replace(F.regexp_extract("url", "://([^/?#]*)", 1), r"^www\.", "")
     return pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
+
+
+@query("a31_majority_amounts")
+def a31(s: SparkSession, d: str) -> DataFrame:
+    return O.majority_amounts(deals(s, d))
+
+
+@query("x02_thread_assignment")
+def x02(s: SparkSession, d: str) -> DataFrame:
+    """Stories are the vectors' rows; their names come from the document of the same id."""
+    from skein.bind import entities
+
+    names = entities(s, d).groupBy("article_id").agg(F.collect_set(F.lower("name")).alias("names"), F.collect_set(F.when(c("kind") == "model", F.lower("name"))).alias("specific"))
+    e = load(s, d, "embeddings").join(names, c("vec_id") == c("article_id"))
+    block = F.concat_ws("-", "label", F.floor(c("vec_id") / 720))
+    return O.assign_threads(e.select(block.alias("block"), c("vec_id").alias("story_id"), "names", "specific", c("embedding").alias("v")), "block", 0.35, 0.2)
+
+
+@query("x03_first_kept_titles")
+def x03(s: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate titles of a source and month, the first one kept."""
+    from skein.operators import similarity as S
+
+    a = articles(s, d)
+    prints = S.fingerprints(a.select("id", "title"), "id", c("title"))
+    keyed = prints.join(a.select("id", F.concat_ws("-", "source_key", F.floor(c("id") / 720)).alias("block")), "id")
+    return O.first_kept(keyed, "block", "id")
+
+
+@query("x04_story_merges")
+def x04(s: SparkSession, d: str) -> DataFrame:
+    """At most ten merges a label and week among its similar pairs."""
+    from skein.plans.similarity import j14
+
+    pairs = j14(s, d).join(load(s, d, "embeddings").select(c("vec_id").alias("a"), "label"), "a")
+    return O.merge_forest(pairs.select(F.concat_ws("-", "label", F.floor(c("a") / 168)).alias("block"), "a", "b", c("cosine").alias("sim")), "block")

@@ -100,3 +100,30 @@ def test_article_reader():
     title, paragraphs = html.read_article(page)
     assert title == "A b" and paragraphs == ["A b", "one two three", "four five & six"]
     assert html.read_article(None) == ("", [])
+
+
+def test_first_kept(spark):
+    rows = [("b", 1, 0), ("b", 2, 0b111), ("b", 3, (1 << 40) - 1), ("b", 4, (1 << 41) - 1), ("c", 5, 0)]
+    got = ordered.first_kept(spark.createDataFrame(rows, "block string, id long, h long"), "block", "id", 10)
+    assert {r.id: r.duplicate_of for r in got.collect()} == {1: None, 2: 1, 3: None, 4: 3, 5: None}
+
+
+def test_merge_forest(spark):
+    rows = [("x", 1, 2, 0.9), ("x", 2, 3, 0.8), ("x", 1, 3, 0.7), ("x", 4, 5, 0.95), ("x", 3, 4, 0.5)]
+    df = spark.createDataFrame(rows, "block string, a long, b long, sim double")
+    assert [(r.a, r.b, r.root) for r in ordered.merge_forest(df, "block").collect()] == [(4, 5, 4), (1, 2, 1), (2, 3, 1), (3, 4, 1)]
+    assert [(r.a, r.b) for r in ordered.merge_forest(df, "block", most_size=3).collect()] == [(4, 5), (1, 2), (2, 3)]
+    assert ordered.merge_forest(df, "block", most_merges=1).count() == 1
+
+
+def test_majority_amounts(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [("a", 1, 100.0, day), ("a", 2, 500.0, day), ("a", 3, 110.0, day + dt.timedelta(1)), ("b", 4, 7.0, day), ("b", 5, 70.0, day), ("b", 6, None, day)]
+    got = ordered.majority_amounts(spark.createDataFrame(rows, "company string, deal_id long, amount double, day date"))
+    assert {r.company: (r.amount, r.n) for r in got.collect()} == {"a": (100.0, 2), "b": (7.0, 1)}
+
+
+def test_assign_threads(spark):
+    rows = [("b", 1, ["x"], ["m"], [1.0, 0.0]), ("b", 2, ["x"], [], [0.99, 0.1]), ("b", 3, ["y"], [], [1.0, 0.0]), ("b", 4, ["x"], ["m"], [0.8, 0.6]), ("b", 5, ["x"], [], [0.8, 0.6])]
+    df = spark.createDataFrame(rows, "block string, story_id long, names array<string>, specific array<string>, v array<double>")
+    assert {r.story_id: r.thread for r in ordered.assign_threads(df, "block", 0.9, 0.7).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
