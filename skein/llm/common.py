@@ -160,10 +160,10 @@ def connected(edges: DataFrame, label: str, a: str = "a", b: str = "b") -> DataF
     near = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least"))
     labels = settle(near.select("id", F.least("id", "least").alias("component")), f"{label}-labels")
     while True:
-        said = both.join(labels, both.u == labels.id).select(F.col("v").alias("id"), "component")
-        up = labels.alias("x").join(labels.alias("y"), F.col("x.component") == F.col("y.id")).select("x.id", "y.component")
-        best = said.unionByName(up).unionByName(labels).groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("worst"))
-        after = settle(best, f"{label}-labels")
+        # a component tells its members what it is part of, as an edge would: one join spreads labels and jumps
+        told = both.unionByName(labels.where("component <> id").select(F.col("component").alias("u"), F.col("id").alias("v")))
+        said = told.join(labels, told.u == labels.id).select(F.col("v").alias("id"), "component").unionByName(labels)
+        after = settle(said.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("worst")), f"{label}-labels")
         if after.where("component <> worst").isEmpty():
             return after.select("id", "component")
         labels = after.select("id", "component")

@@ -7,8 +7,9 @@ d = (a + b)(den - num) / (den + num). Sizes fall into bands; a band's sketch has
 linked sets is missed.
 
 Equal sets are one class from the start. A word's bucket is first reduced within each map-side run of rows and then by bucket: members are
-tied to a hub (the smallest class there), so a bucket of k classes makes k - 1 candidates. After these are verified and connected, buckets that
-still hold classes of two components are compared in full across the components, which loses no link that could join them.
+tied to a hub (the smallest class there), so a bucket of k classes makes k - 1 candidates. After these are verified and connected, classes
+outside a bucket's largest component are compared with a member of it; and then buckets that still hold classes of two components are compared
+in full across the components, which loses no link that could join them. Pairs are screened by sizes and parity bits before sets are read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import chunks, connected, mix, settle, shingle_hashes, words
@@ -28,6 +29,11 @@ SPARE, BAND = 1, 1.4
 RUN_KEYS, BUCKET_BYTES = 1 << 18, 8 << 20
 
 
+#: 64-bit words of the parity bits that screen candidates.
+PARITY_WORDS = 16
+_PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
+
+
 def band_edges(limit: int) -> list[int]:
     """Smallest set sizes of the bands, up to limit."""
     edges = [1]
@@ -174,6 +180,25 @@ def bucket_links(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "kind int, x long, y long")
 
 
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """A short sketch of a set: each shingle toggles one bit, so that two sets' sketches differ in at most as many bits as the sets do in shingles."""
+    size = PARITY_WORDS * 64
+    bits = np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def renamed(bits: DataFrame, side: str) -> DataFrame:
+    """bits with lo as `side` and its other columns marked by it."""
+    return bits.withColumnsRenamed({"lo": side, "n": f"{side}_n", **{c: f"{side}_{c}" for c in _PARITY}})
+
+
+def may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sizes and parity bits leave room for a similarity of num/den."""
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    apart = sum((F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in _PARITY[1:]), F.bit_count(F.col(f"{a}_{_PARITY[0]}").bitwiseXOR(F.col(f"{b}_{_PARITY[0]}"))))
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart * (den + num) <= (n + m) * (den - num))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of pairs whose sets have den * intersection >= num * union. sets: (lo, hashes binary, sorted)."""
     left = sets.select(F.col("lo").alias("a"), F.col("hashes").alias("s"))
@@ -217,30 +242,46 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         for part, sets in text_sets(batches, width):
             lo = part.column(1).to_pylist()
             fits = [x not in seen and digest(s)[0] == x and not seen.add(x) for x, s in zip(lo, sets, strict=True)]
-            rows = [(x, s.tobytes()) for x, s, fit in zip(lo, sets, fits, strict=True) if fit]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["lo", "hashes"])
-
-    texts = docs.join(wanted, docs.doc_id == wanted.rep).select("text", "lo")
-    sets = settle(texts.mapInArrow(run, "lo long, hashes binary"), f"{label}-hashes")
-    links = settle(verified(first, sets, num, den), f"{label}-links")
+            rows = [(x, s) for x, s, fit in zip(lo, sets, fits, strict=True) if fit]
+            bits = np.stack([parity_bits(s) for _, s in rows]) if rows else np.zeros((0, PARITY_WORDS), np.int64)
+            columns = [pa.array([x for x, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITY_WORDS)], pa.array([s.tobytes() for _, s in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lo", "n", *_PARITY, "hashes"])
+
+    texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.rep).select("text", "lo")  # one plan at every size
+    sets = settle(texts.mapInArrow(run, f"lo long, n long, {', '.join(f'{c} long' for c in _PARITY)}, hashes binary"), f"{label}-hashes")
+    bits = sets.drop("hashes")
+    near = first.join(renamed(bits, "a"), "a").join(renamed(bits, "b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
+    links = settle(verified(settle(near, f"{label}-near"), sets, num, den), f"{label}-links")
     parts = connected(links, f"{label}-one")
-    under = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("lo"))
-    under = settle(under.join(parts, under.lo == parts.id, "left").select("key", "lo", F.coalesce("component", "lo").alias("part")).distinct(), f"{label}-under")
-    open_keys = under.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("most"), F.count("*").alias("parts"))
-    open_keys = settle(open_keys.where("parts > 1").select("key", F.col("most.part").alias("main")), f"{label}-open")
-    if not open_keys.isEmpty():
-        rest = settle(under.join(open_keys, "key").select("key", "lo", "part", "main"), f"{label}-rest")
-        odd = rest.where("part <> main").select("key", F.col("lo").alias("u"), F.col("part").alias("pu"), "main")
-        pairs = odd.join(rest.select("key", F.col("lo").alias("v"), F.col("part").alias("pv")), "key").where("pu <> pv and (pv = main or u < v)")
-        pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        second = settle(pairs.join(tried, ["a", "b"], "left_anti"), f"{label}-second")
-        links = links.union(verified(second, sets, num, den))
-    named = classes.select("lo", "rep")
-    linked = links.join(named.withColumnRenamed("rep", "x"), links.a == named.lo).select("x", "b")
-    linked = linked.join(named, linked.b == named.lo).select(F.col("x").alias("a"), F.col("rep").alias("b"))
-    parts = connected(linked, f"{label}-two")
-    reps = settle(classes.join(parts, classes.rep == parts.id, "left").select("lo", "hi", F.col("n").alias("m"), F.coalesce("component", "rep").alias("component")), f"{label}-reps")
+    shared = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("lo"))
+    tried = first
+    for final in (False, True):
+        under = shared.join(parts, shared.lo == parts.id, "left").select("key", "lo", F.coalesce("component", "lo").alias("part")).distinct()
+        under = settle(under, f"{label}-under")
+        counted = under.groupBy("key", "part").agg(F.count("*").alias("m"), F.min_by("lo", F.xxhash64("key", "lo")).alias("pick"))
+        counted = counted.groupBy("key").agg(F.max(F.struct("m", "part", "pick")).alias("most"), F.count("*").alias("parts"))
+        open_keys = settle(counted.where("parts > 1").select("key", F.col("most.part").alias("main"), F.col("most.pick").alias("pick")), f"{label}-open")
+        if open_keys.isEmpty():
+            break
+        rest = under.join(open_keys, "key")
+        if not final:
+            # under each key one member of the largest component, another one for every key, stands for it
+            pairs = rest.where("part <> main").select(F.least("lo", "pick").alias("a"), F.greatest("lo", "pick").alias("b")).distinct()
+            pairs = pairs.join(renamed(bits, "a"), "a").join(renamed(bits, "b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
+        else:
+            rest = settle(rest.select("key", "lo", "part", "main").join(bits, "lo"), f"{label}-rest")
+            odd = renamed(rest.where("part <> main").withColumnRenamed("key", "k"), "u").withColumnRenamed("part", "pu")
+            other = renamed(rest.drop("main"), "v").withColumnRenamed("part", "pv")
+            pairs = odd.join(other, (F.col("k") == F.col("key")) & F.expr("pu <> pv and (pv = main or u < v)") & may_link("u", "v", num, den))
+            pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        new = settle(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{label}-new")
+        more = settle(verified(new, sets, num, den), f"{label}-more")
+        if not more.isEmpty():
+            parts = connected(more.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))), f"{label}-two")
+        tried = tried.union(new)
+    named = settle(classes.join(parts, classes.lo == parts.id, "left").select("lo", "hi", F.col("n").alias("m"), "rep", F.coalesce("component", "lo").alias("part")), f"{label}-named")
+    least = settle(named.groupBy("part").agg(F.min("rep").alias("component")), f"{label}-least")
+    reps = settle(named.join(least, "part").select("lo", "hi", "m", "component"), f"{label}-reps")
     same = (made.lo == reps.lo) & (made.hi == reps.hi) & (made.n == reps.m)
     return made.join(reps, same, "left").select(made.doc_id, made.n.alias("n_shingles"), F.when(made.doc_id.isNotNull(), F.coalesce("component", made.doc_id)).alias("component_id"))
 
