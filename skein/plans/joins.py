@@ -38,9 +38,9 @@ def j04(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).groupBy("story_id").agg(F.coalesce(F.min(F.when(c("source_type") == "primary", c("id"))), F.min("id")).alias("lead"))
 
 
-@query("j05_source_or_default", f"SELECT a.id, coalesce(s.name, 'unknown') AS name FROM {{art}} a LEFT JOIN (SELECT * FROM {_SRC} WHERE source_id % 2 = 0) s USING (source_id)")
+@query("j05_source_or_default", f"SELECT a.id, coalesce(s.name, 'unknown') AS name FROM {{art}} a LEFT JOIN (SELECT * FROM {_SRC} WHERE weight > 0) s USING (source_id)")
 def j05(s: SparkSession, d: str) -> DataFrame:
-    return articles(s, d).join(sources(s, d).where("source_id % 2 = 0"), "source_id", "left").select("id", F.coalesce("name", F.lit("unknown")).alias("name"))
+    return articles(s, d).join(sources(s, d).where("weight > 0"), "source_id", "left").select("id", F.coalesce("name", F.lit("unknown")).alias("name"))
 
 
 @query("j06_threads_of_two", "SELECT name AS thread, count(DISTINCT story_id) AS stories FROM {ent} WHERE kind = 'company' GROUP BY 1 HAVING count(DISTINCT story_id) >= 2")
@@ -181,10 +181,10 @@ def u02(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).select("source", "tz").distinct()
 
 
-@query("u03_shared_names", "SELECT name FROM {ent} WHERE story_id % 2 = 0 INTERSECT SELECT name FROM {ent} WHERE story_id % 2 = 1")
+@query("u03_shared_names", "SELECT name FROM {ent} e JOIN {art} a ON a.id = e.article_id WHERE lang = 'en' INTERSECT SELECT name FROM {ent} e JOIN {art} a ON a.id = e.article_id WHERE lang = 'fr'")
 def u03(s: SparkSession, d: str) -> DataFrame:
-    e = entities(s, d)
-    return e.where("story_id % 2 = 0").select("name").intersect(e.where("story_id % 2 = 1").select("name"))
+    e = entities(s, d).join(articles(s, d).select("id", "lang"), c("article_id") == c("id"))
+    return e.where("lang = 'en'").select("name").intersect(e.where("lang = 'fr'").select("name"))
 
 
 @query("u04_names_left", "SELECT name FROM {ent} EXCEPT SELECT name FROM {ent} WHERE kind = 'person'")
@@ -193,18 +193,18 @@ def u04(s: SparkSession, d: str) -> DataFrame:
     return e.select("name").subtract(e.where("kind = 'person'").select("name"))
 
 
-@query("u05_multiset_difference", "SELECT importance, points FROM {art} WHERE id % 2 = 0 EXCEPT ALL SELECT importance, points FROM {art} WHERE id % 2 = 0 AND id % 3 = 0")
+@query("u05_multiset_difference", "SELECT importance, points FROM {art} EXCEPT ALL SELECT importance, points FROM {art} WHERE status = 'rejected'")
 def u05(s: SparkSession, d: str) -> DataFrame:
-    a = articles(s, d).where("id % 2 = 0")
-    return a.select("importance", "points").exceptAll(a.where("id % 3 = 0").select("importance", "points"))
+    a = articles(s, d)
+    return a.select("importance", "points").exceptAll(a.where("status = 'rejected'").select("importance", "points"))
 
 
-@query("u06_upsert", "SELECT coalesce(n.key, o.key) AS key, coalesce(n.v, o.v) AS v FROM (SELECT source_id AS key, max(points) AS v FROM {art} WHERE id % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT source_id AS key, max(trend) AS v FROM {art} WHERE id % 3 = 0 GROUP BY 1) n ON o.key = n.key")
+@query("u06_upsert", "SELECT coalesce(n.key, o.key) AS key, coalesce(n.v, o.v) AS v FROM (SELECT source_id AS key, max(points) AS v FROM {art} WHERE status = 'published' GROUP BY 1) o FULL JOIN (SELECT source_id AS key, max(trend) AS v FROM {art} WHERE status = 'overflow' GROUP BY 1) n ON o.key = n.key")
 def u06(s: SparkSession, d: str) -> DataFrame:
     """Incoming rows replace stored rows of their key."""
     a = articles(s, d)
-    stored = a.where("id % 2 = 0").groupBy(c("source_id").alias("key")).agg(F.max("points").alias("v"))
-    new = a.where("id % 3 = 0").groupBy(c("source_id").alias("key")).agg(F.max("trend").alias("w"))
+    stored = a.where("status = 'published'").groupBy(c("source_id").alias("key")).agg(F.max("points").alias("v"))
+    new = a.where("status = 'overflow'").groupBy(c("source_id").alias("key")).agg(F.max("trend").alias("w"))
     return stored.join(new, "key", "full").select("key", F.coalesce("w", "v").alias("v"))
 
 
@@ -244,17 +244,18 @@ def u12(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).select("id", F.when(r > 3, "overflow").otherwise(c("status")).alias("status"))
 
 
-@query("u15_history_fix_up", "SELECT o.day, o.n AS old_n, n.n AS new_n FROM (SELECT day, count(*) AS n FROM {ev} WHERE user_id % 10 <> 0 GROUP BY 1) o JOIN (SELECT day, count(*) AS n FROM {ev} GROUP BY 1) n USING (day) WHERE o.n IS DISTINCT FROM n.n", dates="day")
+@query("u15_history_fix_up", "SELECT o.day, o.n AS old_n, n.n AS new_n FROM (SELECT day, count(*) AS n FROM {ev} WHERE type <> 'search' GROUP BY 1) o JOIN (SELECT day, count(*) AS n FROM {ev} GROUP BY 1) n USING (day) WHERE o.n IS DISTINCT FROM n.n", dates="day")
 def u15(s: SparkSession, d: str) -> DataFrame:
-    e = events(s, d).groupBy("day").agg(F.count_if(c("user_id") % 10 != 0).alias("old_n"), F.count("*").alias("new_n"))
+    e = events(s, d).groupBy("day").agg(F.count_if(c("type") != "search").alias("old_n"), F.count("*").alias("new_n"))
     return e.where(~c("old_n").eqNullSafe(c("new_n")))
 
 
-@query("u16_backup_accumulate", "SELECT coalesce(n.id, o.id) AS id, coalesce(n.v, o.v) AS v FROM (SELECT id, points AS v FROM {art} WHERE id % 2 = 0) o FULL JOIN (SELECT id, trend AS v FROM {art} WHERE id % 3 = 0) n USING (id) WHERE coalesce(n.id, o.id) % 10 <> 0")
+@query("u16_backup_accumulate", "SELECT coalesce(n.id, o.id) AS id, coalesce(n.v, o.v) AS v FROM (SELECT id, points AS v FROM {art} WHERE status <> 'new') o FULL JOIN (SELECT id, trend AS v FROM {art} WHERE lang = 'en') n ON n.id = o.id WHERE coalesce(n.id, o.id) NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def u16(s: SparkSession, d: str) -> DataFrame:
     a = articles(s, d)
-    old, new = a.where("id % 2 = 0").select("id", c("points").alias("v")), a.where("id % 3 = 0").select("id", c("trend").alias("w"))
-    return old.join(new, "id", "full").where("id % 10 <> 0").select("id", F.coalesce("w", "v").alias("v"))
+    old, new = a.where("status <> 'new'").select("id", c("points").alias("v")), a.where("lang = 'en'").select("id", c("trend").alias("w"))
+    gone = load(s, d, "labels").where("toxic = 1").select(c("doc_id").alias("id"))
+    return old.join(new, "id", "full").join(gone, "id", "left_anti").select("id", F.coalesce("w", "v").alias("v"))
 
 
 @query("s09_registry_sync", f"SELECT coalesce(s.source_id, a.source_id) AS source_id, s.source_id IS NOT NULL AS listed, coalesce(a.n, 0) AS articles FROM (SELECT * FROM {_SRC} WHERE source_id <= 30) s FULL JOIN (SELECT source_id, count(*) AS n FROM {{art}} GROUP BY 1) a ON s.source_id = a.source_id")

@@ -75,9 +75,9 @@ def p23(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).select("id").join(entities(s, d), c("id") == c("article_id")).groupBy("id").agg((F.count_if(c("kind") == "person") > 0).alias("named"))
 
 
-@query("p25_is_release", "SELECT article_id, name FROM {ent} WHERE kind = 'model' AND NOT ends_with(name, '.2') AND article_id % 4 <> 1")
+@query("p25_is_release", "SELECT article_id, name FROM {ent} WHERE kind = 'model' AND NOT ends_with(name, '.2')")
 def p25(s: SparkSession, d: str) -> DataFrame:
-    return entities(s, d).where((c("kind") == "model") & ~c("name").endswith(".2") & (c("article_id") % 4 != 1)).select("article_id", "name")
+    return entities(s, d).where((c("kind") == "model") & ~c("name").endswith(".2")).select("article_id", "name")
 
 
 @query("p31_featurable", "SELECT story_id FROM {art} GROUP BY 1 HAVING count(DISTINCT domain) >= 3 AND bool_or(content_type IN ('product', 'guide'))")
