@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 
-#: Parts that a 64-bit fingerprint is cut into: with ten differing bits one of eleven parts is equal.
-PARTS = 11
+#: Parts that a 64-bit fingerprint is cut into: with ten or eleven differing bits one of six parts has one at most.
+PARTS = 6
 
 
 def fingerprints(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -25,16 +25,20 @@ def fingerprints(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def near_pairs(prints: DataFrame, key: str, most: int = 10) -> DataFrame:
-    """(a, b, apart): fingerprints within `most` bits. Equal ones are one row until the end; an equality join on a part proposes, the bit
-    count decides. The parts are PARTS stretches of six bits or so; most must be below PARTS."""
-    if most >= PARTS:
-        raise ValueError("most must be below PARTS")
+    """(a, b, apart): fingerprints within `most` bits. Equal ones are one row; one side offers its parts, the other looks for its own and for
+    each with one bit turned, an equality join proposes and the bit count decides. most must be below 2 * PARTS."""
+    if most >= 2 * PARTS:
+        raise ValueError("most must be below 2 * PARTS")
     kinds = prints.groupBy("h").agg(F.min(key).alias("rep"))
     cuts = [64 * i // PARTS for i in range(PARTS + 1)]
-    parts = F.array(*[F.expr(f"struct({i} AS i, shiftright(h, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1} AS v)") for i in range(PARTS)])
-    banded = kinds.select("rep", "h", F.explode(parts).alias("p"))
-    x = banded.select(F.col("rep").alias("a"), F.col("h").alias("ha"), F.col("p.i").alias("i"), F.col("p.v").alias("v"))
-    y = banded.select(F.col("rep").alias("b"), F.col("h").alias("hb"), F.col("p.i").alias("i"), F.col("p.v").alias("v"))
+    own, probes = [], []
+    for i in range(PARTS):
+        width = cuts[i + 1] - cuts[i]
+        part = f"shiftright(h, {cuts[i]}) & {(1 << width) - 1}"
+        own.append(F.expr(f"struct({i} AS i, {part} AS v)"))
+        probes += [own[-1], *[F.expr(f"struct({i} AS i, ({part}) ^ {1 << bit} AS v)") for bit in range(width)]]
+    x = kinds.select(F.col("rep").alias("a"), F.col("h").alias("ha"), F.explode(F.array(*own)).alias("p")).select("a", "ha", "p.i", "p.v")
+    y = kinds.select(F.col("rep").alias("b"), F.col("h").alias("hb"), F.explode(F.array(*probes)).alias("p")).select("b", "hb", "p.i", "p.v")
     apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     return x.join(y, ["i", "v"]).where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("apart")).distinct()
 

@@ -68,7 +68,7 @@ def test_near_pairs_find_all(spark):
     want = {(min(i, j), max(i, j)) for h, i in kinds.items() for g, j in kinds.items() if i != j and bin((h ^ g) & (2**64 - 1)).count("1") <= 10}
     assert got == want
     with pytest.raises(ValueError):
-        similarity.near_pairs(spark.createDataFrame(prints, "id long, h long"), "id", 11)
+        similarity.near_pairs(spark.createDataFrame(prints, "id long, h long"), "id", 12)
 
 
 @pytest.mark.parametrize(("url", "want"), [
