@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import connected, settle
+from skein.operators.similarity import near_pairs
+
 
 def greedy_clusters(vectors: DataFrame, block: str, key: str, vector: str, least: float, lead_slack: float = 0.03, shown: int = 40, total: int = 80) -> DataFrame:
     """(block, key, cluster): in key order, each vector joins the cluster whose mean is nearest, if the mean is at `least` and the lead vector
@@ -117,6 +120,39 @@ def first_kept(prints: DataFrame, block: str, key: str, most: int = 10) -> DataF
     return prints.select(block, key, "h").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, {key} {kinds[key]}, duplicate_of long")
 
 
+def first_kept_of_all(prints: DataFrame, key: str, at: str, label: str, most: int = 10, seconds: int = 7 * 86400) -> DataFrame:
+    """(block, key, duplicate_of): in order of at (in seconds) and key, a 64-bit fingerprint within `most` bits of one that was kept in the
+    `seconds` before it is a duplicate of the earliest such; else it is kept. Any two rows may meet. block is the component of near fingerprints
+    that a row is in: only rows of one can decide on each other. Equal fingerprints of one time are one row of a block's work."""
+    prints = settle(prints.select(key, "h", F.col(at).alias("t")), f"{label}-prints")
+    times = settle(prints.groupBy("h", "t").agg(F.min(key).alias("first")), f"{label}-times")
+    kinds = settle(times.groupBy("h").agg(F.min("first").alias("rep"), F.count("*").alias("n")), f"{label}-kinds")
+    linked = connected(near_pairs(kinds, "rep", most), label)
+    blocks = kinds.join(linked, F.col("rep") == F.col("id"), "left").select("h", F.coalesce("component", "rep").alias("block"), (F.col("component").isNull() & (F.col("n") == 1)).alias("alone"))
+    todo = settle(times.join(blocks, "h"), f"{label}-todo")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "first"])
+        prints, at, keys = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["t"].to_numpy(np.int64), pdf["first"].to_numpy()
+        kept, since, names, out, low = np.zeros(len(pdf), np.uint64), np.zeros(len(pdf), np.int64), [], [], 0
+        for h, t, name in zip(prints, at, keys, strict=True):
+            while low < len(names) and since[low] < t - seconds:
+                low += 1
+            near = np.flatnonzero(np.bitwise_count(kept[low : len(names)] ^ h) <= most)
+            if len(near):
+                out.append(names[low + near[0]])
+            else:
+                kept[len(names)], since[len(names)] = h, t
+                names.append(name)
+                out.append(name)
+        return pdf.assign(kept=out)[["block", "h", "t", "kept"]]
+
+    kind = dict(prints.dtypes)[key]
+    shared = todo.where("not alone").select("block", "h", "t", "first").groupBy("block").applyInPandas(run, f"block {kind}, h long, t long, kept {kind}")
+    decided = shared.unionByName(todo.where("alone").select("block", "h", "t", F.col("first").alias("kept")))
+    return prints.join(decided, ["h", "t"]).select("block", key, F.when(F.col("kept") != F.col(key), F.col("kept")).alias("duplicate_of"))
+
+
 def merge_forest(pairs: DataFrame, block: str, most_merges: int = 10, most_size: int = 80) -> DataFrame:
     """(block, a, b, root): of a block's pairs (a, b, sim), in order of falling similarity, those that merge two trees, as long as no tree
     outgrows most_size and no more than most_merges in all; root is the smaller of the trees' roots."""

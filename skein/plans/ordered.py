@@ -135,13 +135,13 @@ def x02(s: SparkSession, d: str) -> DataFrame:
 
 @query("x03_first_kept_titles")
 def x03(s: SparkSession, d: str) -> DataFrame:
-    """Near-duplicate titles of a source and month, the first one kept."""
+    """Near-duplicate titles of all sources within seven days, the first one kept."""
     from skein.operators import similarity as S
 
     a = articles(s, d)
     prints = S.fingerprints(a.select("id", "title"), "id", c("title"))
-    keyed = prints.join(a.select("id", F.concat_ws("-", "source_key", F.floor(c("id") / 720)).alias("block")), "id")
-    return O.first_kept(keyed, "block", "id")
+    created = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', created_at)")
+    return O.first_kept_of_all(prints.join(a.select("id", created.alias("created")), "id"), "id", "created", "x03")
 
 
 @query("x04_story_merges")

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import registry
+from skein.bind import articles
+from skein.operators import ordered, similarity
 from tests.test_queries import sorted_rows
 
 
@@ -30,3 +32,25 @@ def test_streams_of_many_files(spark, many_files, name):
     want = con.execute(registry.ORACLES[name])
     names = [x[0] for x in want.description]
     assert sorted_rows(got.columns, got.collect()) == sorted_rows(names, want.fetchall())
+
+
+def test_first_kept_of_all_times_and_copies(spark):
+    day = 86400
+    rows = [(5, 0, 0), (1, 0b11, day), (2, 0, 6 * day), (3, 0, 8 * day), (4, 0, 8 * day), (6, (1 << 40) - 1, day), (7, 0b111, 14 * day), (8, -1, 0)]
+    got = ordered.first_kept_of_all(spark.createDataFrame(rows, "id long, h long, t long"), "id", "t", "test")
+    assert {r.id: r.duplicate_of for r in got.collect()} == {5: None, 1: 5, 2: 5, 3: None, 4: 3, 6: None, 7: 3, 8: None}
+
+
+def test_first_kept_titles_against_a_scan(spark, sf):
+    """The query's duplicates are those of one scan over all titles in order of arrival, whatever their sources."""
+    a = articles(spark, sf)
+    prints = similarity.fingerprints(a.select("id", "title"), "id", F.col("title")).join(a.select("id", "created_at", "source_key"), "id").collect()
+    kept, want, sources = [], {}, {r.id: r.source_key for r in prints}
+    for r in sorted(prints, key=lambda r: (r.created_at, r.id)):
+        near = [k.id for k in kept if (r.created_at - k.created_at).total_seconds() <= 7 * 86400 and bin((k.h ^ r.h) & (2**64 - 1)).count("1") <= 10]
+        want[r.id] = near[0] if near else None
+        if not near:
+            kept.append(r)
+    got = {r.id: r.duplicate_of for r in registry.QUERIES["x03_first_kept_titles"](spark, sf).collect()}
+    assert got == want
+    assert any(k is not None and sources[k] != sources[i] for i, k in got.items())
