@@ -43,6 +43,17 @@ def near_pairs(prints: DataFrame, key: str, most: int = 10) -> DataFrame:
     return x.join(y, ["i", "v"]).where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("apart")).distinct()
 
 
+def members(prints: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key, rep, n_links) for every row: the smallest key of its fingerprint, which near_pairs' rows name, and how many other rows are linked to
+    it: those of its own fingerprint and of all that pairs has next to it. Sizes are added up by fingerprint; rows never meet."""
+    kinds = prints.groupBy("h").agg(F.min(key).alias("rep"), F.count("*").alias("n"))
+    sizes = kinds.select("rep", "n")
+    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    beside = ends.join(sizes.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n").alias("beside"))
+    linked = kinds.join(beside, "rep", "left").select("h", "rep", (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    return prints.select(key, "h").join(linked, "h").select(key, "rep", "n_links")
+
+
 def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, mean): the members' mean vector at length one."""
     per = rows.select(group, F.posexplode(vector).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))

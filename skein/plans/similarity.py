@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.bind import articles, load
 from skein.functions import text as T
+from skein.llm.common import settle
 from skein.operators import similarity as S
 from skein.registry import query
 
@@ -36,6 +37,13 @@ def j13(s: SparkSession, d: str) -> DataFrame:
     return S.near_pairs(prints(s, d), "id")
 
 
+@query("j13_title_classes", f"""WITH p AS ({_PRINT}) SELECT x.id, (SELECT min(y.id) FROM p y WHERE y.h = x.h) AS rep, (SELECT count(*) FROM p y WHERE y.id <> x.id AND bit_count(xor(x.h, y.h)) <= 10) AS n_links FROM p x""")
+def j13_classes(s: SparkSession, d: str) -> DataFrame:
+    """Every title with the one that stands for its fingerprint in j13_near_duplicate_titles' pairs, and its number of near titles."""
+    p = settle(prints(s, d), "j13")
+    return S.members(p, S.near_pairs(p, "id"), "id")
+
+
 @query("f18_cosine_to_next", "SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def f18(s: SparkSession, d: str) -> DataFrame:
     e = load(s, d, "embeddings")

@@ -54,3 +54,21 @@ def test_first_kept_titles_against_a_scan(spark, sf):
     got = {r.id: r.duplicate_of for r in registry.QUERIES["x03_first_kept_titles"](spark, sf).collect()}
     assert got == want
     assert any(k is not None and sources[k] != sources[i] for i, k in got.items())
+
+
+def test_members_lose_no_link(spark):
+    """Copies, and different titles of one fingerprint, are links as well."""
+    rows = [(1, 0), (2, 0), (3, 0), (4, 0b111), (5, -1), (6, -1), (7, 0xFFFFFFFF)]
+    prints = spark.createDataFrame(rows, "id long, h long")
+    got = {r.id: (r.rep, r.n_links) for r in similarity.members(prints, similarity.near_pairs(prints, "id"), "id").collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 3), 5: (5, 1), 6: (5, 1), 7: (7, 0)}
+
+
+def test_pairs_and_classes_give_all_near_titles(spark, sf):
+    a = articles(spark, sf)
+    prints = similarity.fingerprints(a.select("id", "title"), "id", F.col("title")).collect()
+    want = {(x.id, y.id) for x in prints for y in prints if x.id < y.id and bin((x.h ^ y.h) & (2**64 - 1)).count("1") <= 10}
+    reps = {r.id: r.rep for r in registry.QUERIES["j13_title_classes"](spark, sf).collect()}
+    pairs = {(r.a, r.b) for r in registry.QUERIES["j13_near_duplicate_titles"](spark, sf).collect()}
+    near = {(x, y) for x in reps for y in reps if x < y and (reps[x] == reps[y] or (min(reps[x], reps[y]), max(reps[x], reps[y])) in pairs)}
+    assert near == want and any(reps[x] == reps[y] for x, y in near)
