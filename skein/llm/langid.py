@@ -2,8 +2,9 @@
 
 A text's letters are lower-cased, every run of other characters is one space. A model gives the probability of a character after the three
 before it; the language with the lowest cross-entropy a character wins. Each language's rejection limit is calibrated on labelled rows that
-its model has not seen. Models are fitted on a sample of the labelled rows: about `sample` texts a language, chosen by a hash of the text, so
-that the models' size is bounded whatever the corpus; texts are used whole, in fitting and in prediction.
+its model has not seen. Models are fitted on a sample of the labelled rows: `sample` distinct texts a language, chosen by a hash of the text, so
+that the models' size is bounded whatever the corpus and its copies; texts are used whole, in fitting and in prediction. A language of less than
+twice as many is fitted on all its texts, and calibrated by models of either half on the other half.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import settle
+
 #: Texts a language to fit on, and as many to calibrate on; languages a corpus may have; character outcomes of the last, uniform back-off.
 SAMPLE, MAX_LANGUAGES, OUTCOMES = 500, 1_000, 4096
 #: A text is rejected only with so many characters, over SLACK times the calibration texts' QUANTILE of cross-entropy.
@@ -195,48 +198,63 @@ def predict(docs: DataFrame, languages: list[str], models: list[Model], limits:
     return kept.mapInArrow(run, schema)
 
 
-def _share(text: Column) -> Column:
-    """A number in [0, 1) from a text's hash."""
-    return F.pmod(F.xxhash64(text, F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+def draw(labelled: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """(text, lang, n, fold): at most 2 * sample distinct texts of each language, those of the smallest hashes among a share of all that counts
+    (about how many there are) makes large enough; n is how many it got. Fold 1 of a full sample is for calibration; else folds are halves."""
+    want = 1.25 * (2 * sample + 6 * (2 * sample) ** 0.5 + 20)
+    rates = F.create_map(*[x for k in sorted(counts) for x in (F.lit(k), F.lit(want / max(1, counts[k])))])
+    h = F.xxhash64("text", F.lit(4))
+    share = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+    some = labelled.withColumn("h", h).where(share < F.try_element_at(rates, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= 2 * sample)
+    counted = ranked.withColumn("n", F.count("*").over(Window.partitionBy("lang")))
+    fold = F.when(F.col("n") < 2 * sample, F.col("place") % 2).otherwise((F.col("place") > sample).cast("int"))
+    return counted.select("text", "lang", F.col("n").cast("int").alias("n"), fold.cast("int").alias("fold"))
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[Model], list[float]]:
-    """Languages in order of name, their models and rejection limits, from (text, lang) rows; rows with a null in either are left out."""
+    """Languages in order of name, their models and rejection limits, from (text, lang) rows; rows with a null in either are left out. Every
+    language with a text that isn't empty gets a model; one with a single distinct text has no limit."""
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text", F.lit(4)))).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return [], [], []
     languages = sorted(counts)
-    rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(2.0 * sample / counts[k]))])
-    rate, share = F.try_element_at(rates, F.col("lang")), _share(F.col("text"))
-    fitting = labelled.where(share < F.least(rate / 2, F.lit(0.5)))
-    checking = labelled.where((share >= F.least(rate / 2, F.lit(0.5))) & (share < rate))
+    drawn = settle(draw(labelled, counts, sample), "langid")
+    full = F.col("n") >= 2 * sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _runs(batch, "text"):
-                lang = batch.column(1).slice(at, len(texts)).to_pylist()
-                for k in sorted(set(lang)):
-                    own = [x for x, y in zip(texts, lang, strict=True) if y == k]
+                part = list(zip(*(batch.column(i).slice(at, len(texts)).to_pylist() for i in (1, 2)), strict=True))
+                for k in sorted(set(part)):
+                    own = [x for x, y in zip(texts, part, strict=True) if y == k]
                     codes, first, end, _ = four_grams(own)
                     inside = np.zeros(len(codes) + 1, np.int64)
                     inside[first] += 1
                     np.subtract.at(inside, end, 1)
                     found, n = np.unique(codes[np.cumsum(inside[:-1]) > 0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0]] * len(found), pa.string()), pa.array([k[1]] * len(found), pa.int32()), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "fold", "code", "n"])
 
-    grams = fitting.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = grams.toPandas()
+    fitting = drawn.where(~full | (F.col("fold") == 0)).select("text", "lang", "fold")
+    got = fitting.mapInArrow(run, "lang string, fold int, code long, n long").groupBy("lang", "fold", "code").agg(F.sum("n").alias("n")).toPandas()
+    made = lambda g: kneser_ney(g.index.to_numpy(np.int64).view(np.uint64), g.to_numpy())
     found = {k: g for k, g in got.groupby("lang")}
     languages = [k for k in languages if k in found]
-    models = [kneser_ney(found[k]["code"].to_numpy(np.int64).view(np.uint64), found[k]["n"].to_numpy()) for k in languages]
-    if not models:
+    if not languages:
         return [], [], []
-    seen = predict(checking, languages, models, [np.inf] * len(models)).where("lang_pred = lang")
-    ends = {r[0]: r[1] for r in seen.groupBy("lang_pred").agg(F.percentile_approx("bits", QUANTILE, 10_000)).collect()}
-    return languages, models, [SLACK * ends.get(k, np.inf) for k in languages]
+    whole = {k: made(g.groupby("code")["n"].sum()) for k, g in found.items()}
+    # a half's rows are judged by the other half's models, or by the fitted model where that has seen neither
+    judged = None
+    for fold in (0, 1):
+        models = [made(g[g["fold"] == 1 - fold].set_index("code")["n"].sort_index()) if (g := found[k])["fold"].nunique() > 1 else whole[k] for k in languages]
+        checking = drawn.where((F.col("fold") == fold) & (F.col("n") > 1) & (~full | (F.col("fold") == 1)))
+        part = predict(checking.drop("n"), languages, models, [np.inf] * len(models)).where("lang_pred = lang").select("lang_pred", "bits")
+        judged = part if judged is None else judged.unionByName(part)
+    ends = {r[0]: r[1] for r in judged.groupBy("lang_pred").agg(F.percentile_approx("bits", QUANTILE, 10_000)).collect()}
+    return languages, [whole[k] for k in languages], [SLACK * ends.get(k, np.inf) for k in languages]
 
 
 def held_out(docs: DataFrame) -> Column:
