@@ -5,6 +5,9 @@ least L - Q + 1 - Q * e of the passage's Q-grams with it, on diagonals that diff
 bands of diagonals, bands that reach the bound are kept, and a banded alignment verifies them. Before that, stretches of text that are too thin
 in benchmark Q-grams to hold the least number that any passage asks for are left out by a running count.
 
+A long passage leaks in part as well: overlapping windows of its words are passages of their own, by the same bound. Passages below LEAST_BYTES are
+found by the hashes of all stretches of text of their lengths that begin and end at token borders; these allow no edits.
+
 Bytes are compared after A-Z are lower-cased and every run of bytes up to 0x20 is one space.
 """
 
@@ -17,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import chunks
+from skein.llm.common import chunks, span_hashes
 
-#: Bytes of a gram (as many as a 64-bit code has); share of a passage's bytes that may be edits; shortest passage, normalised, that is evidence.
+#: Bytes of a gram (as many as a 64-bit code has); share of a passage's bytes that may be edits; shortest passage, normalised, that may have edits.
 Q, RATE, LEAST_BYTES = 8, 0.06, 40
+#: Words of a window of a passage: PART of the passage's, PART_WORDS at most; below LEAST_WORDS a part is no evidence. Windows overlap by four fifths.
+PART, PART_WORDS, LEAST_WORDS = 0.8, 50, 20
+#: Times a passage's bytes that its windows and itself have at most.
+GROWTH = 7
 #: Bytes of passages that are broadcast and indexed at once; a larger benchmark goes in blocks.
 BLOCK_BYTES = 16 << 20
 _WINDOW = 64
@@ -77,12 +84,74 @@ def align(passage: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int]:
     return int(least[at]), int(k[at] + len(passage))
 
 
+def parts(passage: bytes) -> list[bytes]:
+    """The overlapping windows of a passage's words; the last ends with it."""
+    said = passage.split(b" ")
+    size = min(PART_WORDS, -int(-PART * len(said) // 1))
+    if size < LEAST_WORDS or size >= len(said):
+        return []
+    firsts = sorted({*range(0, len(said) - size, size // 5), len(said) - size})
+    return [x for x in (b" ".join(said[i : i + size]) for i in firsts) if len(x) >= LEAST_BYTES]
+
+
+def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a token may begin or end before each byte, and at the end: not within a character, nor between two letters or digits.
+    Characters of three bytes or more (CJK) are tokens of their own."""
+    inner, two = (data & 0xC0) == 0x80, (data >= 0xC0) & (data < 0xE0)
+    letter = (data >= 97) & (data <= 122) | (data >= 48) & (data <= 57) | two
+    letter[1:] |= inner[1:] & two[:-1]
+    out = np.ones(len(data) + 1, bool)
+    out[1:-1] = ~inner[1:] & ~(letter[1:] & letter[:-1])
+    out[offsets] = True
+    return out
+
+
+class Exact:
+    """Hashes of short passages by length."""
+
+    def __init__(self, passages: list[tuple[int, bytes]]):
+        self.owner = np.array([i for i, _ in passages], np.int64)
+        size = np.array([len(x) for _, x in passages], np.int64)
+        self.sizes = np.unique(size)
+        ends = np.cumsum(size)
+        self.hashes = span_hashes(np.frombuffer(b"".join(x for _, x in passages), np.uint8), ends - size, ends)
+        order = np.argsort(self.hashes)
+        self.hashes, self.owner = self.hashes[order], self.owner[order]
+        self.text = dict(passages)
+
+    def leaks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, owner, start, end) of each short passage's first stretch in each row."""
+        if not len(self.hashes) or not len(data):
+            return
+        edge = borders(data, offsets)
+        starts = np.flatnonzero(edge[:-1])
+        row = np.searchsorted(offsets, starts, "right") - 1
+        for size in self.sizes.tolist():
+            ends = starts + size
+            fits = ends <= offsets[row + 1]
+            fits[fits] = edge[ends[fits]]
+            first, rows = starts[fits], row[fits]
+            found = span_hashes(data, first, first + size)
+            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == found)
+            _, once = np.unique(np.stack([rows[hit], at[hit]], axis=1), axis=0, return_index=True)
+            for i in hit[once].tolist():
+                owner, start = int(self.owner[at[i]]), int(first[i])
+                if data[start : start + size].tobytes() == self.text[owner]:
+                    yield int(rows[i]), owner, start, start + size
+
+
 class Index:
-    """Q-grams of a block of passages: sorted codes, each with its passage and place."""
+    """Q-grams of a block of passages and their windows: sorted codes, each with its passage and place."""
 
     def __init__(self, passages: list[tuple[int, bytes]], rate: float):
         self.ids = [x for x, _ in passages]
-        self.texts = [x for _, x in passages]
+        held = [(i, x) for i, (_, x) in enumerate(passages) if len(x) >= LEAST_BYTES]
+        self.n_whole = len(held)
+        held += [(i, part) for i, x in held for part in parts(x)]
+        self.exact = Exact([(i, x) for i, (_, x) in enumerate(passages) if 0 < len(x) < LEAST_BYTES])
+        self.owner = [i for i, _ in held]
+        self.texts = [x for _, x in held]
         self.bytes = [np.frombuffer(x, np.uint8) for x in self.texts]
         self.size = np.array([len(x) for x in self.texts], np.int64)
         self.edits = np.array([budget(len(x), rate) for x in self.texts], np.int64)
@@ -150,49 +219,52 @@ class Index:
         return np.unique((np.repeat(row, n) * len(self.size) + passage << _BAND_BITS) + diagonal // self.width[passage], return_counts=True)
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
-        """For each row (passage id, edits, start, end) of the passages that leak into it; places are of the normalised data."""
+        """For each row (passage id, edits, start, end) of the passages that leak into it, whole or else in part; places are of the normalised data."""
         out: list[list] = [[] for _ in range(len(offsets) - 1)]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[bool, int, int, int]] = {(row, owner): (False, 0, start, end) for row, owner, start, end in self.exact.leaks(data, offsets)}
         for row, passage, band in self.candidates(data, offsets).tolist():
+            key, part = (row, self.owner[passage]), passage >= self.n_whole
+            if part and key in best and best[key][:2] <= (True, 0):  # a row's whole passages come first
+                continue
             width, size, edits = int(self.width[passage]), int(self.size[passage]), int(self.edits[passage])
             start = int(offsets[row]) - size + band * width
             low, high = max(int(offsets[row]), start - edits), min(int(offsets[row + 1]), start + 2 * width + size + edits)
             if high <= low:
                 continue
             if (found := data[low:high].tobytes().find(self.texts[passage])) >= 0:
-                got = (0, low + found, low + found + size)
-            elif (row, passage) in best and best[row, passage][0] == 0:
+                got = (part, 0, low + found, low + found + size)
+            elif key in best and best[key][:2] <= (part, 0):
                 continue
             else:
                 far, end = align(self.bytes[passage], data[low:high], edits)
                 if far > edits:
                     continue
                 back = align(self.bytes[passage][::-1], data[low : low + end][::-1], edits)[1]
-                got = (far, low + end - back, low + end)
-            best[row, passage] = min(best.get((row, passage), got), got)
-        for (row, passage), got in sorted(best.items()):
-            out[row].append((self.ids[passage], *got))
+                got = (part, far, low + end - back, low + end)
+            best[key] = min(best.get(key, got), got)
+        for (row, owner), (_, *got) in sorted(best.items()):
+            out[row].append((self.ids[owner], *got))
         return out
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, out: str = "leaks") -> DataFrame:
     """docs with the column `out`: array<struct<item_id, edits, start, end>>, replacing a column of that name; start and end are byte places in the text.
 
-    Passages that are equal after normalisation count as the one with the smallest item_id; null passages, null item_ids and passages shorter
-    than LEAST_BYTES after normalisation are no evidence and are left out. Null and empty texts have no leaks. Rows are judged each on their
+    Passages that are equal after normalisation count as the one with the smallest item_id; null passages, null item_ids and passages without
+    a byte after normalisation are left out; those below LEAST_BYTES count where they stand exactly, at token borders. Null and empty texts have no leaks. Rows are judged each on their
     own: repeated rows get the same answer. Narrow: the documents aren't shuffled; the benchmark is broadcast in blocks of at most about
-    block_bytes, and a worker indexes one block at a time.
+    block_bytes, windows included, and a worker indexes one block at a time.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-2 * size // block_bytes) if size > block_bytes else 1)
+    n_blocks = max(1, -(-2 * GROWTH * size // block_bytes) if GROWTH * size > block_bytes else 1)
     blocks = []
     for b in range(n_blocks):
         folded: dict[bytes, int] = {}
         for item, text in items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).select("item_id", "text").toLocalIterator():
             key = fold(text.encode()).strip()
-            if len(key) >= LEAST_BYTES:
+            if key:
                 folded[key] = min(item, folded.get(key, item))
         blocks.append(spark.sparkContext.broadcast(sorted((i, x) for x, i in folded.items())))
     kept = docs.drop(out)

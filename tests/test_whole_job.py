@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein import registry
 from skein.bind import articles
-from skein.llm import langid
+from skein.llm import decontaminate, langid
 from skein.operators import ordered, similarity
 from tests.test_queries import sorted_rows
 
@@ -95,3 +95,18 @@ def test_sample_is_of_distinct_texts(spark, n):
     drawn = langid.draw(rows, {"en": n}, 5).collect()
     assert len(drawn) == len({r.text for r in drawn}) == min(10, n)
     assert sum(r.fold == 0 for r in drawn) == min(10, n) // 2
+
+
+def test_leaks_of_short_items_and_parts(spark):
+    words = [f"{x}{y}word" for x in "abcdefgh" for y in "klmnopqr"]
+    long, other = " ".join(words[:56]), " ".join(reversed(words))
+    items = [(1, "What is the capital of France?"), (2, long), (3, "Why"), (4, "\u6771\u4eac\u306f")]
+    texts = {
+        1: ("So: what is  the Capital of France? Paris.", [1]), 2: ("Somewhat is the capital of France?", []), 3: ("and " + " ".join(words[3:53]) + " end", [2]),
+        4: (other + " " + " ".join(words[:20]), []), 5: (long, [2]), 6: ("why not", [3]), 7: ("whyever, awhy", []), 8: ("\u306f\u6771\u4eac\u306f\u6771", [4]), 9: (None, []), 10: ("", []),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    for size in (1 << 24, 64):
+        got = {r.doc_id: r.leaks for r in decontaminate.mark_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size).collect()}
+        assert {i: [x.item_id for x in found] for i, found in got.items()} == {i: want for i, (_, want) in texts.items()}
+        assert (got[1][0].start, got[1][0].end, got[5][0].edits, got[5][0].end) == (4, 35, 0, len(long))
