@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import connected, settle
 from skein.operators.similarity import near_pairs
+from skein.shared import connected, settle
 
 
 def greedy_clusters(vectors: DataFrame, block: str, key: str, vector: str, least: float, lead_slack: float = 0.03, shown: int = 40, total: int = 80) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.bind import articles, load
 from skein.functions import text as T
-from skein.llm.common import settle
 from skein.operators import similarity as S
 from skein.registry import query
+from skein.shared import settle
 
 c = F.col
 _PRINT = """SELECT id, CAST(sum(CASE WHEN votes > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808 ELSE CAST(1 AS HUGEINT) << i END ELSE 0 END) AS BIGINT) AS h FROM (

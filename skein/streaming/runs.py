@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,17 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_local: dict[str, str] = {}
-
-
-def folder(spark: SparkSession, label: str) -> str:
-    """A new place in the folder all executors share; a local one where spark.checkpoint.dir is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _local[app] = _local.get(app) or "file://" + tempfile.mkdtemp(prefix="skein-stream-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
+from skein.shared import new_path
 
 def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 4) -> DataFrame:
     """Reader events as a stream of files; ts becomes a timestamp, which windows need. No watermark: files come in any order of time, the
@@ -34,7 +22,7 @@ def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 4) -> Data
 def drained(stream: DataFrame, label: str, mode: str = "complete") -> DataFrame:
     """What the stream gives once all present input is read: in complete mode the last batch's rows, else all batches' rows."""
     spark = stream.sparkSession
-    out, schema = folder(spark, label), stream.schema
+    out, schema = new_path(spark, label), stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={number}")

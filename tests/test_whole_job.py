@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skein import registry
 from skein.bind import articles
-from skein.llm import decontaminate, langid
 from skein.operators import ordered, similarity
 from tests.test_queries import sorted_rows
 
@@ -73,40 +72,3 @@ def test_pairs_and_classes_give_all_near_titles(spark, sf):
     pairs = {(r.a, r.b) for r in registry.QUERIES["j13_near_duplicate_titles"](spark, sf).collect()}
     near = {(x, y) for x in reps for y in reps if x < y and (reps[x] == reps[y] or (min(reps[x], reps[y]), max(reps[x], reps[y])) in pairs)}
     assert near == want and any(reps[x] == reps[y] for x, y in near)
-
-
-def test_small_languages_have_models(spark):
-    """Languages of one text, copied, and of three get a model of all their texts."""
-    alphabet = [chr(0x0431 + i) for i in range(16)]
-    text = {f"l{i:02d}": (x + chr(ord(x) + 1)) * 12 + " " + x * 20 for i, x in enumerate(alphabet)}
-    rows = [(t, k) for k, t in text.items() for _ in range(20)] + [(f"abc{i} abab cbcb " * 4, "few") for i in "xyz"]
-    labelled = spark.createDataFrame(rows, "text string, lang string")
-    languages, models, limits = langid.fit(labelled, 5)
-    assert languages == ["few", *sorted(text)] and len(models) == len(limits) == 17
-    got = langid.predict(labelled, languages, models, limits).select("lang", "lang_pred", "accepted").distinct().collect()
-    assert all(r.lang == r.lang_pred for r in got) and {r.lang for r in got if r.accepted} >= set(text)
-    assert limits[0] < float("inf")
-
-
-@pytest.mark.parametrize("n", [7, 13, 4000])
-def test_sample_is_of_distinct_texts(spark, n):
-    """Copies neither fill the sample nor empty it: of n texts, one of them 5,000 times, min(2 * sample, n) are drawn once each."""
-    rows = spark.range(n + 5000).select(F.concat(F.lit("text "), F.least("id", F.lit(n - 1)).cast("string")).alias("text"), F.lit("en").alias("lang"))
-    drawn = langid.draw(rows, {"en": n}, 5).collect()
-    assert len(drawn) == len({r.text for r in drawn}) == min(10, n)
-    assert sum(r.fold == 0 for r in drawn) == min(10, n) // 2
-
-
-def test_leaks_of_short_items_and_parts(spark):
-    words = [f"{x}{y}word" for x in "abcdefgh" for y in "klmnopqr"]
-    long, other = " ".join(words[:56]), " ".join(reversed(words))
-    items = [(1, "What is the capital of France?"), (2, long), (3, "Why"), (4, "\u6771\u4eac\u306f")]
-    texts = {
-        1: ("So: what is  the Capital of France? Paris.", [1]), 2: ("Somewhat is the capital of France?", []), 3: ("and " + " ".join(words[3:53]) + " end", [2]),
-        4: (other + " " + " ".join(words[:20]), []), 5: (long, [2]), 6: ("why not", [3]), 7: ("whyever, awhy", []), 8: ("\u306f\u6771\u4eac\u306f\u6771", [4]), 9: (None, []), 10: ("", []),
-    }
-    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
-    for size in (1 << 24, 64):
-        got = {r.doc_id: r.leaks for r in decontaminate.mark_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size).collect()}
-        assert {i: [x.item_id for x in found] for i, found in got.items()} == {i: want for i, (_, want) in texts.items()}
-        assert (got[1][0].start, got[1][0].end, got[5][0].edits, got[5][0].end) == (4, 35, 0, len(long))
