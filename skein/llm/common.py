@@ -1,41 +1,18 @@
-"""Shared pieces of the corpus operators: shared-folder tables, Arrow batches as flat bytes, hashing, connected components."""
+"""Shared pieces of the corpus operators: Arrow batches as flat bytes, hashing, words and shingles."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a new local one where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _local[app] = _local.get(app) or "file://" + tempfile.mkdtemp(prefix="skein-")
-    return folder.rstrip("/")
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -150,20 +127,3 @@ def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int
             step = hashes[np.minimum(at + i, len(hashes) - 1)] if len(hashes) else np.zeros(0, np.uint64)
             out = np.where(i < left, mix(out * _B + step), out)
     return out, row
-
-
-def connected(edges: DataFrame, label: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id that links reach, for every id in edges. Min labels spread and jump until nothing changes; each
-    round is a written table, the join inputs are plain scans so that adaptive execution can split a hub's rows, and mins combine map-side."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = settle(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{label}-edges")
-    near = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least"))
-    labels = settle(near.select("id", F.least("id", "least").alias("component")), f"{label}-labels")
-    while True:
-        # a component tells its members what it is part of, as an edge would: one join spreads labels and jumps
-        told = both.unionByName(labels.where("component <> id").select(F.col("component").alias("u"), F.col("id").alias("v")))
-        said = told.join(labels, told.u == labels.id).select(F.col("v").alias("id"), "component").unionByName(labels)
-        after = settle(said.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("worst")), f"{label}-labels")
-        if after.where("component <> worst").isEmpty():
-            return after.select("id", "component")
-        labels = after.select("id", "component")

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import chunks, connected, mix, settle, shingle_hashes, words
+from skein.llm.common import chunks, mix, shingle_hashes, words
+from skein.shared import connected, settle
 
 #: Words beyond those that the pigeonhole needs, so that empty words seldom must be keys; ratio of a size band's ends.
 SPARE, BAND = 1, 1.4

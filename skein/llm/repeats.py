@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import _B, _BYTES, chunks, mix, powers, settle, span_hashes
+from skein.llm.common import _B, _BYTES, chunks, mix, powers, span_hashes
+from skein.shared import settle
 
 LENGTH, GRAM = 100, 32
 #: Kinds of runs of one anchor in one shard; bytes of a shard and of a bucket of run hashes; bytes of text between two flushes.

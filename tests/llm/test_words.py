@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, jaccard, langid, queries, repeats
-from skein.llm.common import connected, shingle_hashes, span_hashes, words
+from skein.llm.common import shingle_hashes, span_hashes, words
+from skein.shared import connected
 
 DOCS = "doc_id long, text string"
 
