@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -20,8 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from skein.llm.common import mix
+from skein.llm.common import mix, release
 
 #: Pieces a worker remembers; beyond it the memory starts anew (results don't depend on it).
 CACHE_PIECES = 200_000
@@ -29,7 +31,7 @@ CACHE_PIECES = 200_000
 CACHE_BYTES = 64
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 20
-_NONE = np.int64(1 << 62)
+_NONE = np.int32((1 << 31) - 1)
 
 
 def read_ranks(rank_file: bytes) -> dict[bytes, int]:
@@ -47,10 +49,10 @@ class PairTable:
                 if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
                     left.append(a), right.append(b), merged.append(rank)
         keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
-        values = np.array(merged, np.int64)
+        values = np.array(merged, np.int32)
         size = 1 << max(4, int(len(keys) * 3).bit_length())
         self.mask = np.int64(size - 1)
-        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, _NONE, np.int64)
+        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, _NONE, np.int32)
         slot = self._slot(keys)
         pending = np.arange(len(keys))
         self.reach = 0
@@ -68,18 +70,19 @@ class PairTable:
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged ids of the pairs; _NONE where they don't merge. Ids below 0 are padding."""
-        keys = (left << 32 | right).ravel()
-        out = np.full(len(keys), _NONE, np.int64)
-        look = np.flatnonzero((left.ravel() >= 0) & (right.ravel() >= 0))
-        slot = self._slot(keys[look])
+        a, b = left.ravel(), right.ravel()
+        out = np.full(len(a), _NONE, np.int32)
+        look = np.flatnonzero((a >= 0) & (b >= 0))
+        keys = a[look].astype(np.int64) << 32 | b[look]
+        slot = self._slot(keys)
         for _ in range(self.reach):
             found = self.keys[slot]
-            hit = found == keys[look]
+            hit = found == keys
             out[look[hit]] = self.values[slot[hit]]
             more = ~hit & (found != -1)
             if not more.any():
                 break
-            look, slot = look[more], (slot[more] + 1) & self.mask
+            look, keys, slot = look[more], keys[more], (slot[more] + 1) & self.mask
         return out.reshape(left.shape)
 
 
@@ -89,7 +92,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.pairs = PairTable(ranks)
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""
@@ -115,9 +118,9 @@ class Encoder:
     def _merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """One bucket: rows leave when none of their pairs merge; the rest are compacted to the longest row left."""
         n = np.array([len(x) for x in pieces])
-        ids = np.full((len(pieces), int(n.max()) + 1), -1, np.int64)
+        ids = np.full((len(pieces), int(n.max()) + 1), -1, np.int32)
         ids[np.arange(ids.shape[1])[None, :] < n[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        ranks = np.full(ids.shape, _NONE, np.int64)
+        ranks = np.full(ids.shape, _NONE, np.int32)
         ranks[:, :-1] = self.pairs.ranks_of(ids[:, :-1], ids[:, 1:])
         row = np.arange(len(pieces))
         out: list = [None] * len(pieces)
@@ -151,7 +154,7 @@ class Encoder:
         n = keep.sum(axis=1)
         shape = (len(ids), int(n.max()) + 1)
         fill = np.arange(shape[1])[None, :] < n[:, None]
-        new_ids, new_ranks, new = np.full(shape, -1, np.int64), np.full(shape, _NONE, np.int64), np.zeros(shape, bool)
+        new_ids, new_ranks, new = np.full(shape, -1, np.int32), np.full(shape, _NONE, np.int32), np.zeros(shape, bool)
         new_ids[fill], new_ranks[fill], new[fill] = np.where(places, made[:, None], ids)[keep], ranks[keep], places[keep]
         stale = new.copy()
         stale[:, :-1] |= new[:, 1:]
@@ -242,6 +245,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
             for at, to, texts in _text_runs(batch, text):
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.encode(texts), _ids_type())], names)
+        release()
 
     return kept.mapInArrow(run, schema)
 
@@ -264,7 +268,8 @@ def decode(coded: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids
 
 
 def round_trip_digests(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so that ids of long texts never leave the task."""
+    """(key, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so that ids of long texts never leave the task. Null texts are
+    empty; a repeated row gives its row again; other columns, also of these names, are ignored; empty in, empty out."""
     with open(rank_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(key, F.col(text).alias("text"))
@@ -280,6 +285,7 @@ def round_trip_digests(docs: DataFrame, rank_path: str, pattern: str, key: str =
                     one.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                     two.append(hashlib.sha256(c.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return rows.mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -287,39 +293,68 @@ def round_trip_digests(docs: DataFrame, rank_path: str, pattern: str, key: str =
 # -- token counts -------------------------------------------------------------------------------------------------------------------
 
 
-def byte_letters() -> dict[str, int]:
-    """Letter that stands for each byte in a byte-level vocabulary file: printable Latin-1 stands for itself, the rest follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+class LengthTable:
+    """Token counts of pieces by 128-bit hash, in sorted arrays: 18 bytes a piece."""
+
+    def __init__(self, pieces: list[str], lengths: list[int]):
+        high, low = self._hashes(pieces)
+        order = np.lexsort((low, high))
+        self.high, self.low, self.lengths = high[order], low[order], np.array(lengths, np.uint16)[order]
+
+    @staticmethod
+    def _hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        digests = b"".join([xxh3_128_digest(p.encode()) for p in pieces])
+        both = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def lookup(self, pieces: list[str]) -> np.ndarray:
+        """Tokens of each piece; 0 for a piece that isn't here."""
+        if not len(self.high) or not pieces:
+            return np.zeros(len(pieces), np.int64)
+        high, low = self._hashes(pieces)
+        at = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
+        return np.where((self.high[at] == high) & (self.low[at] == low), self.lengths[at], 0).astype(np.int64)
+
+
+def frequent_pieces(docs: DataFrame, pattern: str, frequent: int, sample: int, text: str = "text") -> list[str]:
+    """The most frequent pieces of about `sample` rows, `frequent` at most. Tasks tally their own rows; only tallies are shuffled."""
+    split = regex.compile(pattern).findall
+    n = docs.count()
+    drawn = docs.select(F.col(text).alias("text")).sample(min(1.0, sample / max(1, n)), seed=7)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: Counter[str] = Counter()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                tally.update(p for p in split(x or "") if len(p) <= CACHE_BYTES)
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], ["piece", "n"])
+        release()
+
+    counted = drawn.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return [r.piece for r in counted.orderBy(F.desc("n"), "piece").limit(frequent).collect()]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, frequent: int = 50_000, text: str = "text", out: str = "n_tokens") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, frequent: int = 50_000, sample: int = 10_000, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """docs with a long column: the tokens that the tokenizers library gives for column text by this byte-level file, without added tokens;
-    added tokens' strings inside a text count as the library counts them. Null text: 0. Narrow: no pre-token is ever shuffled.
+    added tokens' strings inside a text count as the library counts them. Null text: 0. A column of the name `out` is replaced; repeated rows
+    get the same count; empty in, empty out. Narrow: no pre-token is ever shuffled.
 
-    Tier one is broadcast: of the vocabulary, which is in order of frequency, the first `frequent` entries that are one pre-token, each
-    a single token. Tier two is the worker's memory of misses, which the library itself encodes in batches; it starts anew when it holds
-    CACHE_PIECES, and pieces over CACHE_BYTES aren't kept.
+    Tier one is broadcast: a compact table of hashes and token counts of the `frequent` pre-tokens that a sample of about `sample` rows has most
+    often; all counts are right whatever is in it. Tier two is the worker's memory of what it has looked up, misses included, which the library
+    itself encodes in batches; it starts anew when it holds CACHE_PIECES, and pieces over CACHE_BYTES aren't kept.
     """
     import json
 
+    from tokenizers import Tokenizer
+
     with open(tokenizer_path, encoding="utf-8") as f:
         file = f.read()
-    spec = json.loads(file)
-    letters = byte_letters()
-    split = regex.compile(pattern).findall
-    tier_one = []
-    for token, rank in sorted(spec["model"]["vocab"].items(), key=lambda x: x[1])[:frequent]:
-        if all(x in letters for x in token):
-            try:
-                piece = bytes(letters[x] for x in token).decode()
-            except UnicodeDecodeError:
-                continue
-            if split(piece) in ([piece], [piece, ""]):
-                tier_one.append(piece)
-    added = [x["content"] for x in spec.get("added_tokens", [])]
-    shared = docs.sparkSession.sparkContext.broadcast((file, tier_one, added))
+    added = [x["content"] for x in json.loads(file).get("added_tokens", [])]
+    pieces = frequent_pieces(docs, pattern, frequent, sample, text)
+    library = Tokenizer.from_str(file)
+    library.no_truncation(), library.no_padding()
+    table = LengthTable(pieces, [len(x) for x in library.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else [])
+    shared = docs.sparkSession.sparkContext.broadcast((file, table, added))
     kept = docs.drop(out)
     names = [*kept.columns, out]
     schema = kept.withColumn(out, F.lit(0).cast("long")).schema
@@ -331,6 +366,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, frequent: i
             for _, _, texts in _text_runs(batch, text):
                 n += count(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names)
+        release()
 
     return kept.mapInArrow(run, schema)
 
@@ -339,7 +375,8 @@ _counters: dict[bytes, Callable] = {}
 
 
 def counter(shared: tuple, pattern: str) -> Callable[[list[str]], list[int]]:
-    file, tier_one, added = shared
+    """The worker's counter for this vocabulary, made once."""
+    file, table, added = shared
     key = hashlib.md5(file.encode()).digest()
     if key in _counters:
         return _counters[key]
@@ -348,21 +385,20 @@ def counter(shared: tuple, pattern: str) -> Callable[[list[str]], list[int]]:
     library = Tokenizer.from_str(file)
     library.no_truncation(), library.no_padding()
     split = regex.compile(pattern).findall
-    frequent = dict.fromkeys(tier_one, 1)
-    # a merge table may miss a vocabulary entry's own merges: tier one holds what the library really gives
-    for piece, got in zip(tier_one, library.encode_batch_fast(tier_one, add_special_tokens=False), strict=True):
-        frequent[piece] = len(got)
-    known = dict(frequent)
+    known: dict[str, int] = {}
 
     def count(texts: list[str]) -> list[int]:
         parts = [split(x) for x in texts]
-        if len(known) > len(frequent) + CACHE_PIECES:
+        if len(known) > CACHE_PIECES:
             known.clear()
-            known.update(frequent)
         new = list({p for pieces in parts for p in pieces if p not in known})
+        lengths = table.lookup(new)
+        misses = np.flatnonzero(lengths == 0).tolist()
+        if misses:
+            lengths[misses] = [len(x) for x in library.encode_batch_fast([new[i] for i in misses], add_special_tokens=False)]
         extra = {}
-        for piece, got in zip(new, library.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            (known if len(piece) <= CACHE_BYTES else extra)[piece] = len(got)
+        for piece, n in zip(new, lengths.tolist(), strict=True):
+            (known if len(piece) <= CACHE_BYTES else extra)[piece] = n
         look = known if not extra else {**known, **extra}
         n = [sum(map(look.__getitem__, pieces)) for pieces in parts]
         for i, x in enumerate(texts):

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.shared import settle
+
 #: Turns whose numbers fall into one block are ordered together; a conversation of any length is dealt over its blocks.
 BLOCK = 256
+#: The block of turns without a number, before all others.
+_FIRST = -(1 << 62)
 
 
 def _flagged(c: str) -> list[Column]:
@@ -17,16 +21,17 @@ def _flagged(c: str) -> list[Column]:
 def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, at, n, h1, h2): for each turn, its place from 1 on, the conversation's number of turns, and 128 bits that are the same for
     two conversations where their first `at` turns have the same roles and texts. The hash rolls: it is the exclusive or of place-salted
-    turn hashes. Texts stay where they are read; only hashes are shuffled."""
+    turn hashes. Turns of one number are in order of role and text, as they are rendered."""
     hashed = turns.where(F.col("conv_id").isNotNull()).select(
         "conv_id",
         "turn",
-        F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).alias("block"),
+        F.coalesce(F.floor(F.col("turn") / block), F.lit(_FIRST)).alias("block"),
         F.xxhash64(F.lit(1), *_flagged("role"), *_flagged("text")).alias("t1"),
         F.xxhash64(F.lit(2), *_flagged("text"), *_flagged("role")).alias("t2"),
-    ).distinct()
-    by_block = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "t1", "t2")
-    local = hashed.withColumn("place", F.row_number().over(by_block))
+        "role", "text",
+    ).dropDuplicates(["conv_id", "block", "turn", "t1", "t2"])
+    by_block = Window.partitionBy("conv_id", "block").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")])
+    local = hashed.withColumn("place", F.row_number().over(by_block)).drop("role", "text")
     sizes = local.groupBy("conv_id", "block").agg(F.count("*").alias("m"))
     order = Window.partitionBy("conv_id").orderBy("block")
     offsets = sizes.select(
@@ -52,7 +57,7 @@ def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of the conversations that are no proper prefix of another; of equal ones the smallest conv_id stays
     and n_copies counts them."""
-    hashes = prefix_hashes(turns)
+    hashes = settle(prefix_hashes(turns), "op2-prefixes")
     whole = hashes.where("at = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     proper = hashes.where("at < n").select(F.col("at").alias("n"), "h1", "h2").distinct()
     return whole.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")

@@ -39,6 +39,12 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    release()
+
+
+def release() -> None:
+    """Give what a task has freed back to the system: workers live on, and the next stage needs memory for other things."""
+    pa.default_memory_pool().release_unused()
 
 
 # splitmix64 constants

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import chunks, span_hashes
+from skein.shared import settle
 
 #: Bytes of a gram (as many as a 64-bit code has); share of a passage's bytes that may be edits; shortest passage, normalised, that may have edits.
 Q, RATE, LEAST_BYTES = 8, 0.06, 40
@@ -33,6 +34,7 @@ BLOCK_BYTES = 16 << 20
 _WINDOW = 64
 _FILTER_BITS = 20
 _BAND_BITS = 30
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,41 +255,41 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
     Passages that are equal after normalisation count as the one with the smallest item_id; null passages, null item_ids and passages without
     a byte after normalisation are left out; those below LEAST_BYTES count where they stand exactly, at token borders. Null and empty texts have no leaks. Rows are judged each on their
     own: repeated rows get the same answer. Narrow: the documents aren't shuffled; the benchmark is broadcast in blocks of at most about
-    block_bytes, windows included, and a worker indexes one block at a time.
+    block_bytes, windows included. A task indexes its block once; each further block is one more pass over the documents, from a written table.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    folded = F.trim(F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), r"[\x00-\x20]+", " "))
+    items = benchmark.where("item_id is not null and text is not null").groupBy(folded.alias("text")).agg(F.min("item_id").alias("item_id")).where("text <> ''")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-2 * GROWTH * size // block_bytes) if GROWTH * size > block_bytes else 1)
-    blocks = []
+    marked = docs.drop(out).withColumn(out, F.lit(None).cast("array<struct<item_id:bigint,edits:int,start:bigint,end:bigint>>"))
     for b in range(n_blocks):
-        folded: dict[bytes, int] = {}
-        for item, text in items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).select("item_id", "text").toLocalIterator():
-            key = fold(text.encode()).strip()
-            if key:
-                folded[key] = min(item, folded.get(key, item))
-        blocks.append(spark.sparkContext.broadcast(sorted((i, x) for x, i in folded.items())))
-    kept = docs.drop(out)
-    names = [*kept.columns, out]
-    schema = kept.withColumn(out, F.lit(None).cast("array<struct<item_id:bigint,edits:int,start:bigint,end:bigint>>")).schema
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).select("item_id", "text").toLocalIterator()
+        marked = _marked(marked, sorted((i, x.encode()) for i, x in part), rate, out)
+        if n_blocks > 1:
+            marked = settle(marked, "leaks")
+    return marked
+
+
+def _marked(docs: DataFrame, passages: list[tuple[int, bytes]], rate: float, out: str) -> DataFrame:
+    """docs with the leaks of these passages added to column out, in order of place and passage."""
+    shared = docs.sparkSession.sparkContext.broadcast(passages)
+    at_out, names = docs.columns.index(out), docs.columns
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Index] = {}
+        index = Index(shared.value, rate)
         for part, data, offsets in chunks(batches, "text"):
             low, at, origin = normalised(data, offsets)
             origin = np.append(origin, len(data))
-            found: list[list] = [[] for _ in range(part.num_rows)]
-            for b, block in enumerate(blocks):
-                index = made.get(b) or Index(block.value, rate)
-                if len(blocks) == 1:
-                    made[b] = index
-                for i, leaks in enumerate(index.leaks(low, at)):
-                    start = int(offsets[i])
-                    found[i] += [{"item_id": x, "edits": e, "start": int(origin[s]) - start, "end": int(origin[t - 1]) + 1 - start} for x, e, s, t in leaks]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names)
-
-    return kept.mapInArrow(run, schema)
+            found = [x or [] for x in part.column(at_out).to_pylist()]
+            for i, leaks in enumerate(index.leaks(low, at)):
+                start = int(offsets[i])
+                found[i] += [{"item_id": x, "edits": e, "start": int(origin[s]) - start, "end": int(origin[t - 1]) + 1 - start} for x, e, s, t in leaks]
+            columns = list(part.columns)
+            columns[at_out] = pa.array(found, kind)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:

@@ -47,11 +47,11 @@ _EDGES = np.array(band_edges(1 << 40), np.int64)
 
 
 def sketch_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of one set's sketch words, in its own band and, if a larger linked set can lie in the next band, there too."""
+    """Keys of one set's sketch words, in its own band and in every higher one that a larger linked set can lie in."""
     n = len(hashes)
     own = int(np.searchsorted(_EDGES, n, "right")) - 1
     keys = []
-    for band in (own, own + 1):
+    for band in range(own, len(_EDGES) - 1):
         low, high = int(_EDGES[band]), int(_EDGES[band + 1]) - 1
         if band > own and n * den < low * num:
             break
@@ -225,11 +225,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     null text or one without words has an empty set and links with nothing. Rows with a null doc_id get a null component. Rows that repeat
     a doc_id are judged each and share nothing but the id. Columns other than doc_id and text are ignored.
     """
+    if not 0 < num <= den:
+        raise ValueError("num / den must lie over 0 and be 1 at most")
     docs = docs.select("doc_id", "text")
     made = settle(sets_of(docs, width), f"{label}-sets")
     classes = settle(made.where("n > 0 and doc_id is not null").groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), f"{label}-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    per_shingle = 1.5 * 2 * BAND * (den - num) / (den + num) + 0.02
+    bands = 1 + np.log(den / num) / np.log(BAND)
+    per_shingle = bands * 2 * BAND * (den - num) / (den + num) + 0.02
     buckets = max(1, round(total * per_shingle * 16 / BUCKET_BYTES))
     buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = settle(bucket_links(bucket_rows(docs, width, num, den, buckets)), f"{label}-candidates")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import release
 from skein.shared import settle
 
 #: Texts a language to fit on, and as many to calibrate on; languages a corpus may have; character outcomes of the last, uniform back-off.
@@ -194,6 +195,7 @@ def predict(docs: DataFrame, languages: list[str], models: list[Model], limits:
                     pa.array(np.where(known, score, 0.0)), pa.array(least, mask=~known), pa.array(fine & known),
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, *out], names)
+        release()
 
     return kept.mapInArrow(run, schema)
 

@@ -7,24 +7,29 @@ suffix array's common prefixes are found by increasing value, by breadth-first b
 transform; it stops at LENGTH, when the boundaries not reached are those between suffixes that share LENGTH bytes or more.
 
 Only hashes of runs are shuffled for all texts; texts of runs only where an anchor is contested. An anchor with more than SPREAD kinds of runs
-is dealt over several shards, whose first windows are then matched by hash with map-side minima.
+is dealt over several shards, whose first windows are then matched by hash with map-side minima. So is one of which a flush alone holds more
+than HOT_KINDS kinds (fewer, where there are so many flushes that one bucket would gather too much): its runs go to buckets by content.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import _B, _BYTES, chunks, mix, powers, span_hashes
+from skein.llm.common import _B, _BYTES, chunks, mix, powers, release, span_hashes
 from skein.shared import settle
 
 LENGTH, GRAM = 100, 32
 #: Kinds of runs of one anchor in one shard; bytes of a shard and of a bucket of run hashes; bytes of text between two flushes.
 SPREAD, SHARD_BYTES, BUCKET_BYTES, FLUSH_BYTES = 256, 1 << 20, 8 << 20, 8 << 20
+#: Kinds of runs of one anchor beyond which a flush deals them by content over all buckets, and that all flushes may leave in one bucket.
+HOT_KINDS, BUCKET_KINDS = 64, 1 << 20
+#: Bytes of a longer text that are looked at at once.
+SEGMENT = 1 << 24
 _PLACE_BITS = 28
 
 
@@ -76,6 +81,19 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int)
     return row, first - offsets[row], end - first, grams[anchor], whole
 
 
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """anchored_runs, of a long text segment by segment: runs are cut there, which changes no anchor."""
+    if len(data) <= SEGMENT + length:
+        return anchored_runs(data, offsets, length, gram)
+    made = []
+    for row in range(len(offsets) - 1):
+        for at in range(int(offsets[row]), int(offsets[row + 1]), SEGMENT):
+            piece = data[at : min(at + SEGMENT + length - 1, int(offsets[row + 1]))]
+            _, first, n, anchor, whole = anchored_runs(piece, np.array([0, len(piece)]), length, gram)
+            made.append((np.full(len(first), row), first + at - offsets[row], n, anchor, whole))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
 #: A run in transit: document, hash of its text, first window, number of windows, anchor hash, content hash.
 _RUN = np.dtype([("doc", "<i8"), ("th", "<i8"), ("first", "<u4"), ("n", "<u2"), ("anchor", "<u8"), ("whole", "<u8")])
 _RUN_FIELDS = ["doc", "th", "first", "n", "anchor", "whole"]
@@ -101,8 +119,12 @@ def _ordered(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs, new | same
 
 
-def run_hashes(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(bucket, done, runs): for each flush and bucket of anchors the first run of each content; later ones of the flush are done, in any bucket."""
+_BY_ANCHOR, _SETTLED, _BY_CONTENT, _MARKS = range(4)
+
+
+def run_hashes(docs: DataFrame, buckets: int, length: int, gram: int, hot_kinds: int = HOT_KINDS) -> DataFrame:
+    """(bucket, what, runs): for each flush and bucket of anchors the first run of each content; later ones of the flush are settled, in any
+    bucket. Runs of an anchor with more than hot_kinds kinds in the flush are dealt by content instead, and the anchor's own bucket gets a mark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -111,19 +133,32 @@ def run_hashes(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFra
             runs, keep = _ordered(np.concatenate(held))
             held.clear()
             gone, runs = runs[~keep], runs[keep]
-            bucket = (runs["anchor"] >> np.uint64(_PLACE_BITS)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            runs, bucket = runs[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(runs) else np.zeros(1, int)
+            new = np.ones(len(runs), bool)
+            new[1:] = runs["anchor"][1:] != runs["anchor"][:-1]
+            group = np.cumsum(new) - 1
+            hot = np.bincount(group)[group] > hot_kinds if len(runs) else new
+            home = lambda x: (x >> np.uint64(_PLACE_BITS)).astype(np.int64) % buckets
             # columns rather than records, which compress better on the way
             pack = lambda x: b"".join(np.ascontiguousarray(x[f]).tobytes() for f in _RUN_FIELDS)
-            made = [(int(bucket[a]), False, pack(runs[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            made = []
+
+            def deal(rows: np.ndarray, bucket: np.ndarray, what: int, packed: Callable) -> None:
+                order = np.argsort(bucket, kind="stable")
+                rows, bucket = rows[order], bucket[order]
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(rows) else np.zeros(1, int)
+                made.extend((int(bucket[a]), what, packed(rows[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+            deal(runs[~hot], home(runs["anchor"][~hot]), _BY_ANCHOR, pack)
+            if hot.any():
+                deal(runs[hot], home(runs["whole"][hot]), _BY_CONTENT, pack)
+                marks = runs["anchor"][hot & new]
+                deal(marks, home(marks), _MARKS, lambda x: np.ascontiguousarray(x).tobytes())
             if len(gone):
-                made.append((int(gone["whole"][0] % np.uint64(buckets)), True, pack(gone)))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.bool_()), pa.array([x[2] for x in made], pa.binary())], ["bucket", "done", "runs"])
+                made.append((int(gone["whole"][0] % np.uint64(buckets)), _SETTLED, pack(gone)))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.int32()), pa.array([x[2] for x in made], pa.binary())], ["bucket", "what", "runs"])
 
         for part, data, offsets in chunks(batches, "text"):
-            row, first, n, anchor, whole = anchored_runs(data, offsets, length, gram)
+            row, first, n, anchor, whole = runs_of(data, offsets, length, gram)
             made = np.empty(len(row), _RUN)
             made["doc"], made["th"] = np.asarray(part.column(0))[row], np.asarray(part.column(1))[row]
             made["first"], made["n"], made["anchor"], made["whole"] = first, n, anchor, whole
@@ -135,44 +170,57 @@ def run_hashes(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFra
         if held:
             yield flush()
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "bucket long, done boolean, runs binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "bucket long, what int, runs binary")
 
 
 def compare_runs(packed: DataFrame) -> DataFrame:
     """kind 0: windows first .. first + n - 1 of a document go; kind 1: the first run of its content under a contested anchor, its shard key
     and whether its anchor is dealt over several shards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list] = {_BY_ANCHOR: [], _BY_CONTENT: []}
+        marks, bucket = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            done, column = batch.column(1).to_pylist(), batch.column(2)
+            what, column = batch.column(1).to_pylist(), batch.column(2)
             for i in range(batch.num_rows):
                 raw = column[i].as_buffer()
+                if what[i] == _MARKS:
+                    marks.append(np.frombuffer(raw, np.uint64))
+                    continue
                 runs, at = np.empty(raw.size // _RUN.itemsize, _RUN), 0
                 for f in _RUN_FIELDS:
                     runs[f] = np.frombuffer(raw, _RUN[f], len(runs), at)
                     at += runs[f].dtype.itemsize * len(runs)
-                if done[i]:
+                if what[i] == _SETTLED:
                     yield from _rows(0, runs["doc"], runs["th"], runs["first"], runs["n"])
                 else:
-                    held.append(runs)
-        if not held:
-            return
-        runs, keep = _ordered(np.concatenate(held))
-        held.clear()
-        gone = runs[~keep]
-        yield from _rows(0, gone["doc"], gone["th"], gone["first"], gone["n"])
-        runs = runs[keep]
-        new = np.ones(len(runs), bool)
-        new[1:] = runs["anchor"][1:] != runs["anchor"][:-1]
-        group = np.cumsum(new) - 1
-        lead = np.flatnonzero(new)
-        kinds = np.bincount(group)[group]
-        salt = (np.arange(len(runs)) - lead[group]) // SPREAD
-        with np.errstate(over="ignore"):
-            shard = mix(runs["anchor"] + salt.astype(np.uint64) * _B).view(np.int64)
-        want = kinds > 1
-        runs = runs[want]
-        yield from _rows(1, runs["doc"], runs["th"], runs["first"], runs["n"], shard[want], kinds[want] > SPREAD)
+                    bucket = batch.column(0)[i].as_py()
+                    held[what[i]].append(runs)
+        marked = np.unique(np.concatenate(marks))
+        for what, parts in held.items():
+            if not parts:
+                continue
+            runs, keep = _ordered(np.concatenate(parts))
+            parts.clear()
+            gone = runs[~keep]
+            yield from _rows(0, gone["doc"], gone["th"], gone["first"], gone["n"])
+            runs = runs[keep]
+            new = np.ones(len(runs), bool)
+            new[1:] = runs["anchor"][1:] != runs["anchor"][:-1]
+            group = np.cumsum(new) - 1
+            lead = np.flatnonzero(new)
+            kinds = np.bincount(group)[group]
+            salt = (np.arange(len(runs)) - lead[group]) // SPREAD
+            hot = kinds > SPREAD
+            if what == _BY_CONTENT:
+                salt += (bucket + 1) << 24
+                hot[:] = True
+            elif len(marked):
+                hot |= np.isin(runs["anchor"], marked)
+            with np.errstate(over="ignore"):
+                shard = mix(runs["anchor"] + salt.astype(np.uint64) * _B).view(np.int64)
+            want = hot | (kinds > 1)
+            runs = runs[want]
+            yield from _rows(1, runs["doc"], runs["th"], runs["first"], runs["n"], shard[want], hot[want])
 
     return packed.groupBy("bucket").applyInArrow(run, _OUT)
 
@@ -328,6 +376,7 @@ def compare_texts(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
         yield from _shard_windows(rows, length)
+        release()
 
     return texts.groupBy("shard").applyInArrow(run, _OUT)
 
@@ -338,7 +387,8 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, label: str) -> Dat
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     runs = 2 * total // (length - gram + 2)
     buckets = max(2 * partitions, runs * _RUN.itemsize // BUCKET_BYTES)
-    found = settle(compare_runs(run_hashes(docs, buckets, length, gram)), f"{label}-runs")
+    hot_kinds = max(1, min(HOT_KINDS, BUCKET_KINDS // (total // FLUSH_BYTES + partitions)))
+    found = settle(compare_runs(run_hashes(docs, buckets, length, gram, hot_kinds)), f"{label}-runs")
     contested = found.where("kind = 1")
     size = contested.agg(F.sum(F.col("n") + length)).first()[0] or 0
     windows = found.where("kind = 0").select("doc_id", "th", "first", "n")

@@ -2,8 +2,8 @@
 
 Equal vectors are one class, which a member stands for. Classes are dealt over shards by a hash; each shard builds its graph, and every class is
 searched in every shard. A search's beam widens until its worst hit is below the threshold, so that a crowded neighbourhood is read to its end;
-a task compares a sample of its queries with all vectors of its shard and widens all beams until the recall it audits is reached, at the last by
-reading the whole shard. Hits are verified by their cosine in double precision. A task returns counts of links and a spanning forest of those
+a task compares a share of its queries with all vectors of its shard, more of them until enough true pairs are seen, and widens all beams until the
+recall it audits is reached, over all pairs and on average over queries that have any, at the last by reading the whole shard. Hits are verified by their cosine in double precision. A task returns counts of links and a spanning forest of those
 it found, never the pairs, and the components are united over all tasks.
 """
 
@@ -22,8 +22,12 @@ from skein.shared import connected, settle
 
 #: Neighbours of a node (twice as many on the lowest layer), beam while building, first beam of a search.
 NEIGHBOURS, BUILD_BEAM, BEAM = 16, 48, 48
-#: Vectors of a shard at most, and shards at least; queries searched at once; audited queries of a task and the recall they must show.
-SHARD_ROWS, LEAST_SHARDS, BATCH, AUDIT, RECALL = 65_536, 6, 512, 64, 0.97
+#: Bytes of a shard's vectors and links and its vectors at most, and shards at least; queries searched at once.
+SHARD_BYTES, SHARD_ROWS, LEAST_SHARDS, BATCH = 96 << 20, 65_536, 6, 512
+#: Audited queries of a task: so many at least and this share; more, up to AUDIT_MOST of all, until they have AUDIT_PAIRS true pairs. Recall they must show.
+AUDIT, AUDIT_SHARE, AUDIT_MOST, AUDIT_PAIRS, RECALL = 64, 0.01, 0.1, 64, 0.97
+#: Shards' worth of queries in one task: a graph is sent to as many tasks as there are such chunks.
+QUERY_SHARDS = 4
 
 
 class Layer:
@@ -151,19 +155,35 @@ class Graph:
                 near = self.search(queries, layer, near, 8)
         return self.search(queries, self.layers[0], near, beam)
 
-    def within(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
+    def audited(self, queries: np.ndarray, least: float, own: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(query, its true nodes but itself) of the audited queries that have any; own: each query's own node here, or -1."""
+        order = np.argsort(mix(np.arange(len(queries), dtype=np.uint64)))
+        enough, most = max(AUDIT, int(AUDIT_SHARE * len(queries))), max(AUDIT, int(AUDIT_MOST * len(queries)))
+        found, pairs = [], 0
+        for at in range(0, min(most, len(queries)), AUDIT):
+            if at >= enough and pairs >= AUDIT_PAIRS:
+                break
+            part = order[at : at + AUDIT]
+            for i, sims in zip(part, queries[part] @ self.unit.T, strict=True):
+                true = np.flatnonzero(sims >= least)
+                true = true[true != own[i]]
+                pairs += len(true)
+                if len(true):
+                    found.append((int(i), true))
+        return found
+
+    def within(self, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
         """Nodes at a similarity of `least` or more to each query, as far as the beams find them."""
         queries = queries.astype(np.float32)
-        audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-        truth = [np.flatnonzero(x >= least) for x in queries[audit] @ self.unit.T]
+        truth = self.audited(queries, least, np.full(len(queries), -1) if own is None else own)
         beam = BEAM
         while True:
             if beam >= len(self.unit):
                 return [np.flatnonzero(x >= least) for at in range(0, len(queries), BATCH) for x in queries[at : at + BATCH] @ self.unit.T]
             found = self._found(queries, least, beam)
-            total = sum(map(len, truth))
-            hit = sum(len(np.intersect1d(found[i], t)) for i, t in zip(audit, truth, strict=True))
-            if hit >= RECALL * total:
+            hits = np.array([len(np.intersect1d(found[i], t)) for i, t in truth])
+            sizes = np.array([len(t) for _, t in truth])
+            if not len(hits) or (hits.sum() >= RECALL * sizes.sum() and (hits / sizes).mean() >= RECALL):
                 return found
             beam *= 2
 
@@ -225,9 +245,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, label: str = "vector
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v"), F.size("v")).alias("h2"), "v")
     classes = settle(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v")), f"{label}-classes")
-    n = classes.count()
-    shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
-    parts = shards  # chunks of queries
+    n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    rows_of_shard = max(1, min(SHARD_ROWS, SHARD_BYTES // (20 * width + 12 * NEIGHBOURS)))
+    shards = max(LEAST_SHARDS, -(-n // rows_of_shard))
+    parts = max(LEAST_SHARDS, -(-n // (QUERY_SHARDS * rows_of_shard)))  # chunks of queries
     keyed = classes.select("rep", "m", "v", F.size("v").alias("dim"), F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod("h2", F.lit(parts)).cast("int").alias("part"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +273,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, label: str = "vector
         rep = np.asarray(left["rep"])
         v = np.stack([np.asarray(x.values) for x in left["v"]])
         q = v / np.linalg.norm(v / np.abs(v).max(axis=1)[:, None], axis=1)[:, None] / np.abs(v).max(axis=1)[:, None]
-        found = graph.within(q, least - 1e-5)
+        place = np.minimum(np.searchsorted(ids, rep), len(ids) - 1)
+        found = graph.within(q, least - 1e-5, np.where(ids[place] == rep, place, -1))
         a = np.repeat(np.arange(len(rep)), [len(x) for x in found])
         b = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
         cosine = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", q[a[i : i + 50_000]], unit[b[i : i + 50_000]]) for i in range(0, len(a), 50_000)]])

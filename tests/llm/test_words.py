@@ -66,6 +66,16 @@ def test_jaccard(spark, width, num, den):
     assert got == brute_components(rows, width, num, den)
 
 
+@pytest.mark.parametrize(("num", "den", "part", "whole"), [(1, 2, 11, 22), (3, 5, 601, 1000), (1, 4, 25, 100)])
+def test_low_ratios_reach_every_band(num, den, part, whole):
+    """A subset of exactly the least similarity shares a key with its set, however many size bands lie between."""
+    rng = np.random.default_rng(part)
+    for _ in range(30):
+        large = np.unique(rng.integers(0, 1 << 63, whole, dtype=np.uint64))
+        small = np.sort(rng.choice(large, part, replace=False))
+        assert len(np.intersect1d(jaccard.sketch_keys(large, num, den), jaccard.sketch_keys(small, num, den)))
+
+
 def test_jaccard_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_jaccard_join(spark, sf).collect()}
@@ -143,9 +153,20 @@ def passages(seed):
     return rows + [(50, None), (51, ""), (52, "a" * 99), (53, "a" * 100), (54, "a" * 350), (55, "\x00" * 250), (56, "short")]
 
 
-@pytest.mark.parametrize("spread", [256, 3])
-def test_repeats(spark, monkeypatch, spread):
+@pytest.mark.parametrize("segment", [50, 101, 777])
+def test_segments_change_no_anchor(monkeypatch, segment):
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
+    data = np.random.default_rng(segment).integers(97, 100, 3000).astype(np.uint8)
+    offsets = np.array([0, 0, 1200, 1290, 3000])
+    windows = lambda runs: {(r, f + k): a for r, f, n, a, _ in zip(*(x.tolist() for x in runs), strict=True) for k in range(n)}
+    assert windows(repeats.runs_of(data, offsets, 100, 32)) == windows(repeats.anchored_runs(data, offsets, 100, 32))
+
+
+@pytest.mark.parametrize(("spread", "hot"), [(256, 64), (3, 1)])
+def test_repeats(spark, monkeypatch, spread, hot):
+    """The second case deals anchors of two kinds over shards and buckets."""
     monkeypatch.setattr(repeats, "SPREAD", spread)
+    monkeypatch.setattr(repeats, "HOT_KINDS", hot)
     rows = passages(spread)
     got = repeats.remove_repeats(spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(1)).withColumn("extra", F.lit(2)))
     assert "extra" in got.columns and digest(got.collect()) == brute_repeats(rows, 100)
@@ -224,8 +245,10 @@ def test_leaks(spark):
                 continue
             if i == 73:
                 continue
-            edits = fewest_edits(passage, text)
-            assert (item in got[i]) == (edits <= decontaminate.budget(len(passage))), (i, item, edits)
+            within = [fewest_edits(x, text) <= decontaminate.budget(len(x)) for x in (passage, *decontaminate.parts(passage))]
+            assert (item in got[i]) == any(within), (i, item, within)
+            if within[0]:
+                assert got[i][item] == fewest_edits(passage, text)
 
 
 def test_leaks_in_blocks_and_spans(spark):
