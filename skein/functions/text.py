@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9][a-z0-9'+.-]*"
 # Words that say nothing of a title's subject.
-STOP = ["about", "after", "also", "and", "are", "been", "from", "have", "into", "just", "more", "over", "than", "that", "the", "their", "they", "this", "what", "when", "will", "with", "your"]
+STOP = """a an the and or but if then of to in on at by for with from as is are was were be been being this that these those it its into over under about after before between during without
+    within how why what when where which who whom whose will would can could should may might must shall has have had do does did not no nor so than too very just also more most such own
+    same other new says said say here there their they them our your you we he she his her i me my us up out than via amid among around""".split()
 
 
 def tokens(text: Column) -> Column:
@@ -28,7 +30,31 @@ def clean_title(title: Column) -> Column:
 
 
 def title_year(title: Column) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(title, r"[\(\[] *((19|20)[0-9][0-9]) *[\)\]]", 1), F.lit("")), F.lit("9999")).cast("int")
+    """The earliest year in brackets among the tags at a title's end."""
+    tags = F.regexp_extract(F.coalesce(title, F.lit("")), r"(\s*[\(\[][^()\[\]]{1,12}[\)\]])+\s*$", 0)
+    return F.array_min(F.transform(F.regexp_extract_all(tags, F.lit(r"[\(\[]\s*((19|20)[0-9][0-9])\s*[\)\]]"), F.lit(1)), lambda y: y.cast("int")))
+
+
+def seconds_of(text: Column) -> Column:
+    """Seconds in waits such as 1.5s or 1m2s."""
+    parts = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9.]*[0-9][0-9.]*)([hms])"), F.lit(i)) for i in (1, 2)]
+    each = F.zip_with(*parts, lambda n, u: F.coalesce(n.try_cast("double"), F.lit(0.0)) * F.when(u == "h", 3600).when(u == "m", 60).otherwise(1))
+    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+
+
+def provider(mark: Column) -> Column:
+    """Who made an answer: the mark up to a colon or plus."""
+    return F.split_part(F.split_part(F.coalesce(mark, F.lit("heuristic")), F.lit(":"), F.lit(1)), F.lit("+"), F.lit(1))
+
+
+def upgrades(mark: Column) -> Column:
+    """Sources of the last rewriting that a mark tells, or null."""
+    return F.nullif(F.regexp_extract(mark, r"\+u([0-9]{1,9})$", 1), F.lit("")).cast("long")
+
+
+def json_in(prose: Column) -> Column:
+    """From the first brace to the last."""
+    return F.nullif(F.regexp_extract(prose, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def slug(text: Column, most: int = 80) -> Column:

@@ -11,7 +11,7 @@ TRACKING = [
     "ncid", "ocid", "ref", "ref_src", "s", "si", "smid", "smtyp", "source", "sr_share", "trk", "utm_campaign", "utm_content", "utm_id", "utm_medium", "utm_source", "utm_term",
 ]
 # Second levels under which a registrable domain has three labels.
-SECOND_LEVELS = ["ac", "co", "com", "gov", "net", "org"]
+SECOND_LEVELS = ["ac", "co", "com", "edu", "gov", "ne", "net", "or", "org"]
 # Sites without article text.
 SKIP = ["bing.com", "facebook.com", "google.com", "instagram.com", "linkedin.com", "news.google.com", "tiktok.com", "twitter.com", "x.com", "youtu.be", "youtube.com"]
 SKIP_SUFFIXES = ["msn.com"]
@@ -65,3 +65,35 @@ def source_name(raw: Column) -> Column:
         .when(s.rlike(r"^([a-z0-9-]+\.)*(mastodon|mstdn)([.-][a-z0-9-]+)*\.[a-z]{2,}$"), "Mastodon")
         .otherwise(s)
     )
+
+
+def path(url: Column) -> Column:
+    """The path without .html and a final slash."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(url, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1), r"\.html$", ""), "/$", "")
+
+
+def older_list_page(at: Column, sections: tuple[str, ...] = ("topic", "models", "category", "daily")) -> Column:
+    """Whether a path is a numbered older page of a list."""
+    return at.rlike(rf"^/({'|'.join(sections)})/[^/]+/[0-9]+$") | at.rlike("^/threads/[0-9]+$")
+
+
+def url_date(url: Column) -> Column:
+    """First day of the month that a /YYYY/MM/ in the URL names, or null."""
+    year, month = (F.nullif(F.regexp_extract(url, "/((?:19|20)[0-9]{2})/(0[1-9]|1[0-2])(?:/|$)", i), F.lit("")).cast("int") for i in (1, 2))
+    return F.make_date(year, month, F.lit(1))
+
+
+def page_date(raw: Column) -> Column:
+    """An ISO date, of a timestamp its day; null for anything else."""
+    return F.when(raw.rlike(r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.trim(raw).substr(1, 10).try_cast("date"))
+
+
+def links(html: Column) -> Column:
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    return F.transform(found, lambda x: F.trim(F.replace(x, F.lit("&amp;"), F.lit("&"))))
+
+
+def link_in(html: Column, own: Column) -> Column:
+    """The first link to another site that is more than its home page, or null."""
+    name = lambda x: F.lower(F.regexp_extract(x, "^https?://([^/?#:]*)", 1))
+    return F.get(F.filter(links(html), lambda x: x.rlike("^https?://[^/?#]") & ~x.rlike("^https?://[^/?#]+/?$") & ~on_domain(name(x), own)), F.lit(0))

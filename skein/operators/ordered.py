@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,52 +17,69 @@ from skein.shared import connected, settle
 def greedy_clusters(vectors: DataFrame, block: str, key: str, vector: str, least: float, lead_slack: float = 0.03, shown: int = 40, total: int = 80) -> DataFrame:
     """(block, key, cluster): in key order, each vector joins the cluster whose mean is nearest, if the mean is at `least` and the lead vector
     at least - lead_slack or nearer; else it leads a new one. Only a cluster's first `shown` members move its mean; it takes `total` at most.
-    Blocks are independent; a block is one task's work, so blocks must be bounded (a label and a stretch of time)."""
+    Blocks are independent; a block is one task's work, so blocks must be bounded (a label and a stretch of time). A row without a vector or with a
+    null in it has a null cluster."""
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         v = np.stack(pdf[vector].to_numpy()).astype(float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        sums, leads, sizes, names, out = [], [], [], [], []
+        sums, leads, lengths, sizes = np.zeros_like(v), np.zeros_like(v), np.ones(len(v)), np.zeros(len(v), int)
+        names, out = [], []
         for x, name in zip(v, pdf[key], strict=True):
-            best = -1
-            if sums:
-                means = np.array(sums)
-                near = (means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)) @ x
-                near[(np.array(leads) @ x < least - lead_slack) | (near < least) | (np.array(sizes) >= total)] = -2
-                best = int(near.argmax()) if near.max() > -2 else -1
-            if best < 0:
-                sums.append(x.copy()), leads.append(x), sizes.append(1), names.append(name)
-                best = len(names) - 1
-            else:
-                if sizes[best] < shown:
-                    sums[best] += x
-                sizes[best] += 1
+            n = len(names)
+            near = sums[:n] @ x / lengths[:n]
+            near[(leads[:n] @ x < least - lead_slack) | (near < least) | (sizes[:n] >= total)] = -2
+            best = int(near.argmax()) if n and near.max() > -2 else n
+            if best == n:
+                leads[n] = x
+                names.append(name)
+            if sizes[best] < shown:
+                sums[best] += x
+                lengths[best] = max(np.linalg.norm(sums[best]), 1e-12)
+            sizes[best] += 1
             out.append(names[best])
         return pd.DataFrame({block: pdf[block].to_numpy(), key: pdf[key].to_numpy(), "cluster": out})
 
     kinds = dict(vectors.dtypes)
-    return vectors.select(block, key, vector).groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, {key} {kinds[key]}, cluster {kinds[key]}")
+    unplaced = vectors.where(~F.coalesce(whole, F.lit(False))).select(block, key, F.lit(None).cast(kinds[key]).alias("cluster"))
+    return unplaced.unionByName(vectors.where(whole).select(block, key, vector).groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, {key} {kinds[key]}, cluster {kinds[key]}"))
+
+
+def in_order(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """rows by key, a key's rows one after the other: what a task streams through with one key's state, however many rows the key has."""
+    return rows.repartition(key).sortWithinPartitions(key, *order)
 
 
 def fold_deals(deals: DataFrame, tolerance: float = 0.25, days: int = 30) -> DataFrame:
     """(deal_id, fold): in date order, a company's deal folds into the newest fold of an amount within tolerance and no more than `days` days
-    older than it; else it starts one, named by its deal_id."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "deal_id"])
-        folds: list[list] = []
-        out = []
-        for deal, amount, day in zip(pdf["deal_id"], pdf["amount"], pd.to_datetime(pdf["day"]), strict=True):
-            hit = next((f for f in reversed(folds) if abs(f[1] - amount) <= tolerance * max(f[1], amount) and (day - f[2]).days <= days), None)
-            if hit is None:
-                folds.append(hit := [deal, amount, day])
-            out.append(hit[0])
-        return pd.DataFrame({"deal_id": pdf["deal_id"].to_numpy(), "fold": out})
-
-    return deals.select("company", "deal_id", "amount", "day").groupBy("company").applyInPandas(run, "deal_id long, fold long")
+    older than it; else it starts one, named by its deal_id. A deal without an amount or a day is a fold of its own. Sorted partitions are streamed;
+    the state is a company's folds of the last `days` days."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        company, folds = None, deque()
+        for pdf in batches:
+            out = []
+            for name, deal, amount, day in zip(pdf["company"], pdf["deal_id"], pdf["amount"], pdf["n"], strict=True):
+                if name != company:
+                    company = name
+                    folds.clear()
+                while folds and day - folds[0][2] > days:
+                    folds.popleft()
+                hit = next((f for f in reversed(folds) if abs(f[1] - amount) <= tolerance * max(f[1], amount)), None)
+                if hit is None:
+                    folds.append(hit := (deal, amount, day))
+                out.append(hit[0])
+            yield pd.DataFrame({"deal_id": pdf["deal_id"], "fold": out})
+
+    known = "amount IS NOT NULL AND day IS NOT NULL"
+    dated = deals.where(known).select("company", "deal_id", "amount", F.unix_date("day").alias("n"))
+    alone = deals.where(f"NOT ({known})").select("deal_id", F.col("deal_id").alias("fold"))
+    return in_order(dated, "company", "n", "deal_id").mapInPandas(run, "deal_id long, fold long").unionByName(alone)
 
 
 def anchored_groups(rows: DataFrame, key: str, at: str, order: str, minutes: float) -> DataFrame:
-    """rows' key, order and first_at: a group starts with the first row more than `minutes` after the start of the group before it, so its
+    """rows' key, order and first_at: a group starts with the first row `minutes` or more after the start of the group before it, so its
     length counts from its first row and not from the row before. Sorted partitions are streamed; the state is one anchor."""
     kinds = dict(rows.dtypes)
     sorted_rows = rows.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("t")).repartition(key).sortWithinPartitions(key, "t", order)
@@ -71,7 +89,7 @@ def anchored_groups(rows: DataFrame, key: str, at: str, order: str, minutes: flo
         for pdf in batches:
             first = np.empty(len(pdf), np.int64)
             for i, (k, t) in enumerate(zip(pdf[key], pdf["t"], strict=True)):
-                if k != current or t - anchor > minutes * 60e6:
+                if k != current or t - anchor >= minutes * 60e6:
                     current, anchor = k, t
                 first[i] = anchor
             yield pd.DataFrame({key: pdf[key], order: pdf[order], "first_us": first})
@@ -181,45 +199,64 @@ def merge_forest(pairs: DataFrame, block: str, most_merges: int = 10, most_size:
 
 def majority_amounts(deals: DataFrame, tolerance: float = 0.25) -> DataFrame:
     """(company, amount, n): each company's largest cluster of amounts. In date order an amount joins the first cluster whose first amount is
-    within tolerance; of clusters of one size the earliest wins. amount is the cluster's first."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        for amount in pdf.sort_values(["day", "deal_id"])["amount"]:
-            hit = next((x for x in clusters if abs(x[0] - amount) <= tolerance * max(x[0], amount)), None)
-            if hit:
-                hit[1] += 1
-            else:
-                clusters.append([amount, 1])
-        amount, n = max(clusters, key=lambda x: x[1])
-        return pd.DataFrame({"company": [pdf["company"].iloc[0]], "amount": [amount], "n": [n]})
+    within tolerance; of clusters of one size the earliest wins. amount is the cluster's first. Sorted partitions are streamed; the state is one
+    company's clusters, whose first amounts differ by the tolerance at least."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        company, clusters = None, []
 
-    return deals.where("amount IS NOT NULL").select("company", "deal_id", "amount", "day").groupBy("company").applyInPandas(run, "company string, amount double, n long")
+        def best() -> tuple:
+            return (company, *max(clusters, key=lambda x: x[1]))
+
+        for pdf in batches:
+            out = []
+            for name, amount in zip(pdf["company"], pdf["amount"], strict=True):
+                if name != company:
+                    if clusters:
+                        out.append(best())
+                    company, clusters = name, []
+                hit = next((x for x in clusters if abs(x[0] - amount) <= tolerance * max(x[0], amount)), None)
+                if hit:
+                    hit[1] += 1
+                else:
+                    clusters.append([amount, 1])
+            yield pd.DataFrame(out, columns=["company", "amount", "n"])
+        if clusters:
+            yield pd.DataFrame([best()], columns=["company", "amount", "n"])
+
+    return in_order(deals.where("amount IS NOT NULL").select("company", "deal_id", "amount", "day"), "company", "day", "deal_id").mapInPandas(run, "company string, amount double, n long")
 
 
 def assign_threads(stories: DataFrame, block: str, near: float, near_named: float, most: int = 10) -> DataFrame:
     """(block, story_id, thread): in order of story_id, a story joins the thread with the nearest latest episode, if they share a name and
     are at `near`, or at near_named with a specific name shared; at most `most` episodes. The latest episode's vector is the one known
-    when the thread began its run: it isn't refreshed. stories: names and specific are arrays of names, v the vector."""
+    when the thread began its run: it isn't refreshed. stories: names and specific are arrays of names, v the vector. Stories without names or a
+    vector are threads of their own."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("story_id")
-        threads: list[dict] = []
-        out = []
-        for story, names, specific, v in zip(pdf["story_id"], pdf["names"], pdf["specific"], pdf["v"], strict=True):
-            x = np.asarray(v, float)
-            x = x / max(np.linalg.norm(x), 1e-12)
-            best, best_near = None, -2.0
-            for t in threads:
-                sim = float(t["v"] @ x)
-                fits = t["names"] & set(names) and (sim >= near or sim >= near_named and t["specific"] & set(specific))
-                if fits and t["n"] < most and sim > best_near:
-                    best, best_near = t, sim
-            if best is None:
-                threads.append(best := {"id": story, "v": x, "names": set(), "specific": set(), "n": 0})
-            best["names"] |= set(names)
-            best["specific"] |= set(specific)
-            best["n"] += 1
-            out.append(best["id"])
+        place = {x: i for i, x in enumerate(sorted({x for row in pdf["names"] for x in row} | {x for row in pdf["specific"] for x in row}))}
+        n = len(pdf)
+        v = np.stack(pdf["v"].to_numpy()).astype(float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        latest, sizes = np.zeros_like(v), np.zeros(n, int)
+        known, special = np.zeros((n, len(place)), bool), np.zeros((n, len(place)), bool)
+        ids, out = [], []
+        for story, names, specific, x in zip(pdf["story_id"], pdf["names"], pdf["specific"], v, strict=True):
+            own, rare = [place[k] for k in names], [place[k] for k in specific]
+            k = len(ids)
+            sim = latest[:k] @ x
+            fits = known[:k][:, own].any(axis=1) & ((sim >= near) | (sim >= near_named) & special[:k][:, rare].any(axis=1)) & (sizes[:k] < most)
+            sim[~fits] = -2
+            best = int(sim.argmax()) if k and sim.max() > -2 else k
+            if best == k:
+                ids.append(story)
+                latest[k] = x
+            known[best, own] = True
+            special[best, rare] = True
+            sizes[best] += 1
+            out.append(ids[best])
         return pd.DataFrame({block: pdf[block].to_numpy(), "story_id": pdf["story_id"].to_numpy(), "thread": out})
 
     kinds = dict(stories.dtypes)
-    return stories.select(block, "story_id", "names", "specific", "v").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, story_id long, thread long")
+    whole = F.coalesce(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & F.col("names").isNotNull() & F.col("specific").isNotNull(), F.lit(False))
+    alone = stories.where(~whole).select(block, "story_id", F.col("story_id").alias("thread"))
+    return alone.unionByName(stories.where(whole).select(block, "story_id", "names", "specific", "v").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, story_id long, thread long"))

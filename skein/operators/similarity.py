@@ -7,38 +7,33 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 
-#: Parts that a 64-bit fingerprint is cut into: with ten or eleven differing bits one of six parts has one at most.
-PARTS = 6
+#: Parts that a 64-bit fingerprint is cut into: with up to eleven differing bits one of four parts has two at most.
+PARTS = 4
 
 
 def fingerprints(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, h): 64-bit similarity hash of word pairs: a bit is set where more pairs' hashes have it set than not. Counts combine map-side."""
+    """(key, h): 64-bit similarity hash of word pairs: a bit is set where more pairs' hashes have it set than not. A text without words that count
+    has the empty pair. Row by row: nothing is shuffled."""
     words = F.filter(T.tokens(text), lambda t: ~t.isin(T.STOP))
-    pairs = rows.select(key, F.explode(T.shingles(words)).alias("pair"))
-    hashed = pairs.select(key, F.conv(F.substring(F.md5("pair"), 17, 16), 16, -10).cast("long").alias("x"))
-    votes = [F.sum(F.when(F.expr(f"shiftright(x, {i}) & 1") == 1, 1).otherwise(-1)).alias(f"b{i}") for i in range(64)]
-    counted = hashed.groupBy(key).agg(*votes)
-    bits = F.lit(0).cast("long")
-    for i in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.expr(f"shiftleft(1L, {i})")).otherwise(F.lit(0).cast("long")))
-    return counted.select(key, bits.alias("h"))
+    pairs = rows.select(key, F.when(F.size(words) > 0, T.shingles(words)).otherwise(F.array(F.lit(""))).alias("pairs"))
+    hashed = pairs.select(key, F.transform("pairs", lambda p: F.conv(F.substring(F.md5(p), 17, 16), 16, -10).cast("long")).alias("x"))
+    votes = "aggregate(x, array_repeat(0, 64), (n, v) -> transform(n, (m, i) -> m + IF((shiftright(v, i) & 1) = 1, 1, -1)))"
+    return hashed.select(key, F.expr(f"aggregate(transform({votes}, (m, i) -> IF(m > 0, shiftleft(1L, i), 0L)), 0L, (h, b) -> h | b)").alias("h"))
 
 
 def near_pairs(prints: DataFrame, key: str, most: int = 10) -> DataFrame:
-    """(a, b, apart): fingerprints within `most` bits. Equal ones are one row; one side offers its parts, the other looks for its own and for
-    each with one bit turned, an equality join proposes and the bit count decides. most must be below 2 * PARTS."""
-    if most >= 2 * PARTS:
-        raise ValueError("most must be below 2 * PARTS")
+    """(a, b, apart): fingerprints within `most` bits. Equal ones are one row; either side offers its parts as they are and with each one bit
+    turned, so that parts two bits apart meet; an equality join proposes and the bit count decides. most must be below 3 * PARTS."""
+    if most >= 3 * PARTS:
+        raise ValueError("most must be below 3 * PARTS")
     kinds = prints.groupBy("h").agg(F.min(key).alias("rep"))
-    cuts = [64 * i // PARTS for i in range(PARTS + 1)]
-    own, probes = [], []
+    width = 64 // PARTS
+    near = []
     for i in range(PARTS):
-        width = cuts[i + 1] - cuts[i]
-        part = f"shiftright(h, {cuts[i]}) & {(1 << width) - 1}"
-        own.append(F.expr(f"struct({i} AS i, {part} AS v)"))
-        probes += [own[-1], *[F.expr(f"struct({i} AS i, ({part}) ^ {1 << bit} AS v)") for bit in range(width)]]
-    x = kinds.select(F.col("rep").alias("a"), F.col("h").alias("ha"), F.explode(F.array(*own)).alias("p")).select("a", "ha", "p.i", "p.v")
-    y = kinds.select(F.col("rep").alias("b"), F.col("h").alias("hb"), F.explode(F.array(*probes)).alias("p")).select("b", "hb", "p.i", "p.v")
+        part = f"shiftright(h, {width * i}) & {(1 << width) - 1}"
+        near += [f"struct({i} AS i, {part} AS v)", *[f"struct({i} AS i, ({part}) ^ {1 << bit} AS v)" for bit in range(width)]]
+    probes = kinds.select("rep", "h", F.explode(F.expr(f"array({', '.join(near)})")).alias("p")).select("rep", "h", "p.i", "p.v")
+    x, y = (probes.withColumnsRenamed({"rep": n, "h": f"h{n}"}) for n in ("a", "b"))
     apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     return x.join(y, ["i", "v"]).where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("apart")).distinct()
 

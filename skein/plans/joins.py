@@ -154,15 +154,23 @@ def j29(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("j30_related_stories", """WITH n AS (SELECT DISTINCT story_id, lower(name) AS name FROM {ent} WHERE kind <> 'person'), d AS (SELECT story_id, max(published_at) AS at, any_value(category) AS category FROM {art} GROUP BY 1),
-  w AS (SELECT x.story_id AS a, y.story_id AS b, count(*) AS shared FROM n x JOIN n y ON x.name = y.name AND x.story_id <> y.story_id GROUP BY 1, 2),
+  w AS (SELECT x.story_id AS a, y.story_id AS b, count(*) AS shared FROM n x JOIN n y ON x.name = y.name AND x.story_id <> y.story_id JOIN d p ON p.story_id = x.story_id JOIN d q ON q.story_id = y.story_id WHERE abs(epoch(p.at - q.at)) <= 15 * 86400 GROUP BY 1, 2),
   r AS (SELECT a, b, round(3 * shared + CASE WHEN p.category = q.category THEN 1 ELSE 0 END - least(abs(epoch(p.at - q.at)) / 86400, 30) / 10, 4) AS weight FROM w JOIN d p ON p.story_id = a JOIN d q ON q.story_id = b)
   SELECT a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS k FROM r WHERE weight > 0) WHERE k <= 5""")
 def j30(s: SparkSession, d: str) -> DataFrame:
-    """Three for each shared name, one for the category, less for the days between; five a story."""
-    n = entities(s, d).where("kind <> 'person'").select("story_id", F.lower("name").alias("name")).distinct()
-    shared = n.withColumnRenamed("story_id", "a").join(n.withColumnRenamed("story_id", "b"), "name").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Three for each shared name, one for the category, less for the days between; five a story. Stories meet within fifteen days: by name and
+    period, so that a name's rows are compared with those of two periods and not with all it ever had."""
     story = articles(s, d).groupBy("story_id").agg(F.max("published_at").alias("at"), F.any_value("category").alias("category"))
-    p, q = (story.select(c("story_id").alias(x), c("at").alias(f"{x}_at"), c("category").alias(f"{x}_category")) for x in ("a", "b"))
+    n = entities(s, d).where("kind <> 'person'").select("story_id", F.lower("name").alias("name")).distinct().join(story.select("story_id", "at"), "story_id")
+    span = 15 * 86400
+    n = n.select("name", "story_id", F.unix_seconds(c("at").cast("timestamp")).alias("t")).withColumn("period", F.floor(c("t") / span))
+    x = n.select("name", c("story_id").alias("x"), c("t").alias("tx"), F.explode(F.array("period", c("period") + 1)).alias("period"))
+    y = n.select("name", c("story_id").alias("y"), c("t").alias("ty"), "period")
+    same = F.floor(c("tx") / span) == c("period")  # within a period either of two may come first
+    met = x.join(y, ["name", "period"]).where((c("x") != c("y")) & (F.abs(c("tx") - c("ty")) <= span) & (~same | (c("x") < c("y"))))
+    half = met.groupBy("x", "y").agg(F.count("*").alias("shared"))
+    shared = half.select(c("x").alias("a"), c("y").alias("b"), "shared").unionByName(half.select(c("y").alias("a"), c("x").alias("b"), "shared"))
+    p, q = (story.select(c("story_id").alias(z), c("at").alias(f"{z}_at"), c("category").alias(f"{z}_category")) for z in ("a", "b"))
     days = F.abs(F.timestamp_diff("SECOND", "b_at", "a_at")) / 86400
     weight = F.round(3 * c("shared") + F.when(c("a_category") == c("b_category"), 1).otherwise(0) - F.least(days, F.lit(30.0)) / 10, 4)
     r = shared.join(p, "a").join(q, "b").select("a", "b", weight.alias("weight")).where("weight > 0")

@@ -22,7 +22,6 @@ over_articles("p01_pruned_read", "source_id, points", lambda: dict(source_id=c("
 over_articles("p05_like_then_exact", "(title LIKE '%19%' OR title LIKE '%20%') AND regexp_matches(title, '(19|20)[0-9][0-9]') AS old", lambda: dict(old=(c("title").like("%19%") | c("title").like("%20%")) & c("title").rlike("(19|20)[0-9][0-9]")))
 over_articles("p08_on_domain", "CASE WHEN source_key = 'src4' THEN 'src4.example.com' WHEN true THEN 'example.com' END AS matched",
               lambda: dict(matched=F.coalesce(F.get(F.filter(F.array(F.lit("src4.example.com"), F.lit("example.com")), lambda d: U.on_domain(c("domain"), d)), F.lit(0)), F.lit(""))))
-over_articles("p12_blocked_title", r"regexp_matches(lower(title), '\b(webinar|giveaway|coupon|the|und)\b') AS blocked, contains(lower(text[1:600]), 'press release') AS release", lambda: dict(blocked=F.lower("title").rlike(r"\b(webinar|giveaway|coupon|the|und)\b"), release=F.contains(F.lower(F.substring("text", 1, 600)), F.lit("press release"))))
 over_articles("p14_extraction_valid", "length(text) BETWEEN 500 AND 20000 AND len(list_intersect(regexp_extract_all(lower(title), '[a-z]{5,}'), regexp_extract_all(lower(text), '[a-z]{5,}'))) >= 2 AS valid",
               lambda: dict(valid=F.length("text").between(500, 20000) & (F.size(F.array_intersect(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{5,}"), F.lit(0)), _words())) >= 2)))
 over_articles("p16_truncate_at_paragraph", "coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: list_sum(list_transform(string_split(text, chr(10))[1:i], lambda y: length(y))) <= 1200), chr(10)), '') AS kept",
@@ -32,32 +31,19 @@ over_articles("p29_card_screen", "CASE WHEN length(title) > 300 THEN 'too long'
               lambda: dict(screen=F.when(F.length("title") > 300, "too long").when(F.contains(F.lower("text"), F.lit("token")), "developer only").when(c("content_type") == "analysis", "not a product").otherwise("fits")))
 over_articles("p30_skip_reason", "CASE WHEN points < 50 THEN 'no readers' WHEN importance < 3 THEN 'minor' END AS reason", lambda: dict(reason=F.when(c("points") < 50, "no readers").when(c("importance") < 3, "minor")))
 over_articles("p33_push_candidates", "importance >= 8 AND published_at >= TIMESTAMP '2024-01-25 00:00:00' AND status = 'published' AS candidate", lambda: dict(candidate=(c("importance") >= 8) & (c("published_at") >= _at("2024-01-25 00:00:00")) & (c("status") == "published")))
-over_articles("p41_path_predicates", r"regexp_matches('/page/' || CAST(id % 3 AS VARCHAR) || '/', '^/page/[1-9][0-9]*/$') AS older", lambda: dict(older=F.concat(F.lit("/page/"), (c("id") % 3).cast("string"), F.lit("/")).rlike("^/page/[1-9][0-9]*/$")))
 over_articles("p42_moderation", "CASE WHEN contains(lower(title), 'http') THEN 'blocked word' WHEN id % 40 = 1 THEN 'pinned' ELSE status END AS status", lambda: dict(status=F.when(F.contains(F.lower("title"), F.lit("http")), "blocked word").when(c("id") % 40 == 1, "pinned").otherwise(c("status"))))
 over_articles("p45_fetchable_page", "CASE WHEN source_type = 'community' THEN 'community site' WHEN n_chars < 400 THEN 'too short' ELSE 'ok' END AS why", lambda: dict(why=F.when(c("source_type") == "community", "community site").when(c("n_chars") < 400, "too short").otherwise("ok")))
 over_articles("f04_publisher_domain", "source_key || '.example.com' AS publisher", lambda: dict(publisher=F.coalesce(F.nullif(U.host(U.normalize(c("url"))), F.lit("")), c("domain"))))
 over_articles("f07_entity_slug", "trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug", lambda: dict(slug=F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-|-$", "")))
 over_articles("f16_signed_hash", "CAST(('0x' || substr(md5(title), 1, 15))::UBIGINT AS BIGINT) AS h", lambda: dict(h=F.conv(F.substring(F.md5("title"), 1, 15), 16, -10).cast("long")))
-over_articles("f22_word_overlap", "round(len(list_intersect(list_distinct(list_transform(regexp_extract_all(lower(title), '[a-z]{4,}'), lambda x: regexp_replace(x, '(ing|ed|s)$', ''))), list_distinct(list_transform(regexp_extract_all(lower(text[1:500]), '[a-z]{4,}'), lambda x: regexp_replace(x, '(ing|ed|s)$', ''))))) * 1.0 / greatest(1, len(list_distinct(list_transform(regexp_extract_all(lower(title), '[a-z]{4,}'), lambda x: regexp_replace(x, '(ing|ed|s)$', ''))))), 6) AS overlap",
-              lambda: dict(overlap=F.round(F.size(F.array_intersect(*[F.transform(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{4,}"), F.lit(0)), lambda x: F.regexp_replace(x, "(ing|ed|s)$", "")) for t in (c("title"), F.substring("text", 1, 500))])) / F.greatest(F.lit(1), F.size(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{4,}"), F.lit(0)), lambda x: F.regexp_replace(x, "(ing|ed|s)$", ""))))), 6)))
-over_articles("f35_amount_in_text", "len(list_filter(regexp_extract_all(text, '[0-9]{2,6}'), lambda x: abs(CAST(x AS DOUBLE) - points) <= 0.25 * greatest(CAST(x AS DOUBLE), points))) > 0 AS found", lambda: dict(found=F.exists(F.regexp_extract_all("text", F.lit("[0-9]{2,6}"), F.lit(0)), lambda x: T.close(x.cast("double"), c("points")))))
 over_articles("f38_drop_sentences", r"array_to_string(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '' AND NOT regexp_matches(s, '[0-9]')), ' ') AS kept", lambda: dict(kept=F.array_join(F.filter(T.sentences(c("text")), lambda s: ~s.rlike("[0-9]")), " ")))
-over_articles("f41_cost_kind", "CASE WHEN points % 4 = 0 THEN 'free' WHEN points % 4 = 1 THEN 'freemium' ELSE 'paid' END AS kind, points // 4 AS amount",
-              lambda: dict(kind=F.when(F.concat(F.lit("cost "), (c("points") % 4).cast("string")) == "cost 0", "free").when(c("points") % 4 == 1, "freemium").otherwise("paid"), amount=F.regexp_extract(F.format_string("$%d/month", F.floor(c("points") / 4)), "[0-9]+", 0).cast("long")))
 over_articles("f42_price_text", "CASE WHEN points = 0 THEN 'free' ELSE '$' || CAST(points AS VARCHAR) || '/month' END AS label", lambda: dict(label=F.when(c("points") == 0, "free").otherwise(F.concat(F.lit("$"), c("points").cast("string"), F.lit("/month")))))
-over_articles("f44_jargon_swaps", "replace(replace(lower(title), 'tion', 'shun'), 'the ', 'a ') AS plain", lambda: dict(plain=F.replace(F.replace(F.lower("title"), F.lit("tion"), F.lit("shun")), F.lit("the "), F.lit("a "))))
-over_articles("f48_step_grounding", "len(list_intersect(regexp_extract_all(lower(title), '[a-z]{5,}'), regexp_extract_all(lower(text[200:]), '[a-z]{5,}'))) >= 2 AS grounded", lambda: dict(grounded=F.size(F.array_intersect(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{5,}"), F.lit(0)), F.regexp_extract_all(F.lower(F.substring("text", 200, 10_000_000)), F.lit("[a-z]{5,}"), F.lit(0)))) >= 2))
 over_articles("f52_velocity", "round(least(1.0, (ln(1 + points) + 0.6 * ln(1 + trend)) / 6.0 * (24.0 / greatest(epoch(TIMESTAMP '2024-01-31 00:00:00' - published_at) / 3600.0, 6.0))), 6) AS velocity",
               lambda: dict(velocity=F.round(F.least(F.lit(1.0), T.popularity(c("points"), c("trend")) / 6.0 * (24.0 / F.greatest(F.timestamp_diff("SECOND", "published_at", _at("2024-01-31 00:00:00")) / 3600.0, F.lit(6.0)))), 6)))
-over_articles("f60_page_date", "id % 3 <> 0 AS dated", lambda: dict(dated=F.try_to_timestamp(F.when(c("id") % 3 == 0, "3 Jan 2024").otherwise("2024-01-03T10:00:00"), F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()))
-over_articles("f62_clamped_answer", "least(greatest(points // 10, 1), 10) AS importance, CASE WHEN category IN ('models', 'tools') THEN category ELSE 'other' END AS category", lambda: dict(importance=F.least(F.greatest(F.floor(c("points") / 10), F.lit(1)), F.lit(10)), category=F.when(c("category").isin("models", "tools"), c("category")).otherwise("other")))
-over_articles("f63_json_from_prose", "id AS value, category AS label", lambda: dict(value=F.from_json(F.regexp_extract(F.format_string('Sure: {"v": %d, "l": "%s"} done', c("id"), c("category")), r"\{.*\}", 0), "v long, l string")["v"], label=F.from_json(F.regexp_extract(F.format_string('Sure: {"v": %d, "l": "%s"} done', c("id"), c("category")), r"\{.*\}", 0), "v long, l string")["l"]))
-over_articles("f68_model_mark", "'lab' || CAST(id % 3 AS VARCHAR) AS provider, id % 5 AS ups", lambda: dict(provider=F.split_part(F.format_string("lab%d:model-x+u%d", c("id") % 3, c("id") % 5), F.lit(":"), F.lit(1)), ups=F.regexp_extract(F.format_string("lab%d:model-x+u%d", c("id") % 3, c("id") % 5), r"\+u([0-9]+)$", 1).cast("long")))
 over_articles("f69_position_words", "CASE WHEN points % 60 <= 3 THEN 'top three' WHEN points % 60 <= 10 THEN 'first page' ELSE 'page ' || CAST((points % 60 + 9) // 10 AS VARCHAR) END AS place", lambda: dict(place=F.when(c("points") % 60 <= 3, "top three").when(c("points") % 60 <= 10, "first page").otherwise(F.concat(F.lit("page "), F.floor((c("points") % 60 + 9) / 10).cast("string")))))
 over_articles("f72_change_kind", "CASE WHEN trend = points % 50 THEN 'same' WHEN trend < points % 50 THEN 'up' ELSE 'down' END AS change", lambda: dict(change=F.when(c("trend") == c("points") % 50, "same").when(c("trend") < c("points") % 50, "up").otherwise("down")))
 over_articles("f73_note_sentence", "CAST(points AS VARCHAR) || CASE WHEN points = 1 THEN ' reader' ELSE ' readers' END || ' for ' || category AS said", lambda: dict(said=F.concat(c("points").cast("string"), F.when(c("points") == 1, " reader").otherwise(" readers"), F.lit(" for "), "category")))
 over_articles("f74_figure_guard", "len(regexp_extract_all(title, '[0-9]+')) = 0 AS same", lambda: dict(same=F.size(F.array_except(F.regexp_extract_all("title", F.lit("[0-9]+"), F.lit(0)), F.array(F.lit("none")))) == 0))
-over_articles("f75_link_in_description", "'https://other.org/' || CAST(id AS VARCHAR) AS link", lambda: dict(link=F.get(F.filter(F.regexp_extract_all(F.concat(F.lit('<a href="https://www.reddit.com/x">a</a><a href="https://other.org/'), c("id").cast("string"), F.lit('">b</a>')), F.lit('href="([^"]+)"'), F.lit(1)), lambda x: ~x.contains("reddit.com")), F.lit(0))))
 over_articles("f81_quick_facts", "array_to_string(list_filter([CASE WHEN points > 500 THEN 'Popular' END, CASE WHEN importance > 8 THEN 'Important' END, 'By ' || source_key], lambda x: x IS NOT NULL), ';') AS facts", lambda: dict(facts=F.array_join(F.array_compact(F.array(F.when(c("points") > 500, "Popular"), F.when(c("importance") > 8, "Important"), F.concat(F.lit("By "), "source_key"))), ";")))
 over_articles("f84_anchor", "substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 30) AS anchor", lambda: dict(anchor=F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 30)))
 over_articles("o23_severity_order", "list_position(['published', 'overflow', 'new', 'rejected'], status) AS severity", lambda: dict(severity=F.array_position(F.array(*[F.lit(x) for x in ("published", "overflow", "new", "rejected")]), c("status")).cast("int")))
@@ -66,7 +52,6 @@ over_articles("o16_better_lead", "content_type = 'news' AND importance >= 5 OR s
 over_articles("s06_trend_of_two", "trend + points % 7 AS trend", lambda: dict(trend=F.aggregate(F.slice(F.array(c("trend"), c("points") % 7, F.lit(99).cast("long")), 1, 2), F.lit(0).cast("long"), lambda a, x: a + x)))
 over_articles("s03_feed_entry", "substr(title, 1, 300) AS title, CASE WHEN n_chars > 1000 THEN substr(text, 1, 1000) ELSE text END AS description", lambda: dict(title=F.substring("title", 1, 300), description=F.when(c("n_chars") > 1000, F.substring("text", 1, 1000)).otherwise(c("text"))))
 over_articles("s14_relational_scan", "source_key, status", lambda: dict(source_key=c("source_key"), status=c("status")))
-over_articles("s19_json_scan", "category, points", lambda: dict(category=F.from_json(F.to_json(F.struct("category", "points")), "category string, points long")["category"], points=F.from_json(F.to_json(F.struct("category", "points")), "category string, points long")["points"]))
 over_articles("a53_sentence_statistics", r"coalesce(list_max(list_transform(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''), lambda s: length(s))), 0) AS longest", lambda: dict(longest=F.coalesce(F.array_max(F.transform(T.sentences(c("text")), lambda s: F.length(s).cast("long"))), F.lit(0))))
 
 

@@ -35,7 +35,11 @@ def a33(s: SparkSession, d: str) -> DataFrame:
     return folded.groupBy("company", "fold").agg(F.count("*").alias("n"), F.max("amount").alias("amount"), F.min("day").alias("first_day"))
 
 
-@query("x06_anchored_runs")
+_ANCHORS = """WITH RECURSIVE a AS (SELECT user_id, min(ts) AS t FROM events GROUP BY 1 UNION ALL SELECT a.user_id, min(e.ts) AS t FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.t + INTERVAL 29 HOUR GROUP BY a.user_id, a.t)
+  SELECT user_id, epoch_us(t) AS first_us, count(*) AS n FROM (SELECT e.event_id, e.user_id, max(a.t) AS t FROM events e JOIN a ON a.user_id = e.user_id AND a.t <= e.ts GROUP BY 1, 2) GROUP BY 1, 2"""
+
+
+@query("x06_anchored_runs", _ANCHORS)
 def x06(s: SparkSession, d: str) -> DataFrame:
     g = O.anchored_groups(events(s, d), "user_id", "ts", "event_id", 29 * 60)
     return g.groupBy("user_id", "first_us").agg(F.count("*").alias("n"))
@@ -102,14 +106,6 @@ def x13(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).select("id", F.posexplode(T.tokens(c("title"))).alias("i", "word"))
 
 
-@query("k10_encrypted_payload", "SELECT id, true AS same, length(title) AS n FROM {art}")
-def k10(s: SparkSession, d: str) -> DataFrame:
-    """Encrypt and decrypt each title with AES-GCM under a key that a passphrase gives."""
-    key = F.unhex(F.md5(F.lit("passphrase")))
-    back = F.aes_decrypt(F.aes_encrypt("title", key, F.lit("GCM")), key, F.lit("GCM")).cast("string")
-    return articles(s, d).select("id", (back == c("title")).alias("same"), F.length("title").cast("long").alias("n"))
-
-
 @query("s08_scan_by_host", "SELECT regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '') AS host, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1")
 def s08(s: SparkSession, d: str) -> DataFrame:
     pages = load(s, d, "pages")
@@ -129,7 +125,7 @@ def x02(s: SparkSession, d: str) -> DataFrame:
 
     names = entities(s, d).groupBy("article_id").agg(F.collect_set(F.lower("name")).alias("names"), F.collect_set(F.when(c("kind") == "model", F.lower("name"))).alias("specific"))
     e = load(s, d, "embeddings").join(names, c("vec_id") == c("article_id"))
-    block = F.concat_ws("-", "label", F.floor(c("vec_id") / 720))
+    block = F.floor(c("vec_id") / 720)  # a month of stories, whatever their labels
     return O.assign_threads(e.select(block.alias("block"), c("vec_id").alias("story_id"), "names", "specific", c("embedding").alias("v")), "block", 0.35, 0.2)
 
 

@@ -130,12 +130,6 @@ def p21(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).groupBy("story_id").agg(F.bool_and(c("source_type") == "research").alias("research_only"), F.bool_or(c("source_type") == "research").alias("has_research"))
 
 
-@query("p24_deal_ladder", "SELECT o_orderkey AS deal_id, CASE WHEN o_totalprice < 1000 THEN 'too small' WHEN o_orderstatus = 'P' THEN 'not closed' WHEN year(o_orderdate) < 1996 THEN 'past year' WHEN o_orderpriority LIKE '5%' THEN 'no round' ELSE 'deal' END AS verdict FROM orders")
-def p24(s: SparkSession, d: str) -> DataFrame:
-    verdict = F.when(c("o_totalprice") < 1000, "too small").when(c("o_orderstatus") == "P", "not closed").when(F.year("o_orderdate") < 1996, "past year").when(c("o_orderpriority").like("5%"), "no round").otherwise("deal")
-    return load(s, d, "orders").select(c("o_orderkey").alias("deal_id"), verdict.alias("verdict"))
-
-
 @query("p26_thin_pages", "SELECT lower(name) AS page, 'topic' AS kind FROM {ent} GROUP BY 1 HAVING count(DISTINCT story_id) < 12 UNION ALL SELECT strftime(published_at, '%Y-%m-%d'), 'day' FROM {art} GROUP BY 1 HAVING count(*) < 2")
 def p26(s: SparkSession, d: str) -> DataFrame:
     topics = entities(s, d).groupBy(F.lower("name").alias("page")).agg(F.count_distinct("story_id").alias("n")).where("n < 12").select("page", F.lit("topic").alias("kind"))
@@ -173,22 +167,12 @@ def k02(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).where("status = 'published'").orderBy(F.desc("published_at"), "id").limit(60).select("id", item.alias("item"))
 
 
-@query("k03_card_rss", "SELECT id FROM {art} WHERE content_type = 'guide' ORDER BY published_at DESC, id LIMIT 50")
-def k03(s: SparkSession, d: str) -> DataFrame:
-    return articles(s, d).where("content_type = 'guide'").orderBy(F.desc("published_at"), "id").limit(50).select("id")
-
-
 @query("k04_podcast_durations", "SELECT id, lpad(CAST(n_chars // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS duration FROM {art}")
 def k04(s: SparkSession, d: str) -> DataFrame:
     n = c("n_chars")
     return articles(s, d).select("id", F.format_string("%02d:%02d:%02d", F.floor(n / 3600), F.floor(n % 3600 / 60), n % 60).alias("duration"))
 
 
-@query("k05_news_sitemap", "SELECT id FROM {art} WHERE status = 'published' AND published_at > TIMESTAMP '2024-01-29 00:00:00' ORDER BY published_at DESC, id LIMIT 1000")
-def k05(s: SparkSession, d: str) -> DataFrame:
-    return articles(s, d).where((c("status") == "published") & (c("published_at") > F.expr("TIMESTAMP_NTZ '2024-01-29 00:00:00'"))).orderBy(F.desc("published_at"), "id").limit(1000).select("id")
-
-
 @query("k06_sitemap_plan", """SELECT path, max(lastmod) AS lastmod FROM (SELECT '/story/' || CAST(story_id AS VARCHAR) AS path, published_at AS lastmod, story_id FROM {art} UNION ALL SELECT '/category/' || category, published_at, story_id FROM {art}) p
   WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = p.story_id) GROUP BY path""")
 def k06(s: SparkSession, d: str) -> DataFrame:
@@ -197,17 +181,6 @@ def k06(s: SparkSession, d: str) -> DataFrame:
     return paths.join(load(s, d, "labels").where("toxic = 1"), c("story_id") == c("doc_id"), "left_anti").groupBy("path").agg(F.max("published_at").alias("lastmod"))
 
 
-@query("k07_story_markdown", "SELECT id, '# ' || title || chr(10) || chr(10) || substr(text, 1, 200) || chr(10) || chr(10) || '- ' || domain AS doc FROM {art}")
-def k07(s: SparkSession, d: str) -> DataFrame:
-    return articles(s, d).select("id", F.concat(F.lit("# "), "title", F.lit("\n\n"), F.substring("text", 1, 200), F.lit("\n\n- "), "domain").alias("doc"))
-
-
-@query("k08_feed_slices", "SELECT category, id FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY published_at DESC, id) AS r FROM {art} WHERE status = 'published') WHERE r <= 12")
-def k08(s: SparkSession, d: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("published_at"), "id"))
-    return articles(s, d).where("status = 'published'").withColumn("r", r).where("r <= 12").select("category", "id")
-
-
 @query("k09_full_text_document", "SELECT story_id, arg_max(text, (source_type = 'primary', n_chars, id)) AS text FROM {art} GROUP BY 1")
 def k09(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).groupBy("story_id").agg(F.max_by("text", F.struct((c("source_type") == "primary").alias("p"), "n_chars", "id")).alias("text"))

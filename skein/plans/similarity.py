@@ -12,10 +12,11 @@ from skein.registry import query
 from skein.shared import settle
 
 c = F.col
-_PRINT = """SELECT id, CAST(sum(CASE WHEN votes > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808 ELSE CAST(1 AS HUGEINT) << i END ELSE 0 END) AS BIGINT) AS h FROM (
+_STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP) + ")"
+_PRINT = f"""SELECT id, CAST(sum(CASE WHEN votes > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808 ELSE CAST(1 AS HUGEINT) << i END ELSE 0 END) AS BIGINT) AS h FROM (
   SELECT id, i, sum(CASE WHEN (('0x' || substr(md5(pair), 17, 16))::UBIGINT >> i) & 1 = 1 THEN 1 ELSE -1 END) AS votes FROM (
-    SELECT id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) ELSE w END) AS pair FROM (
-      SELECT id, list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9''+.-]*'), lambda x: x NOT IN ('about', 'after', 'also', 'and', 'are', 'been', 'from', 'have', 'into', 'just', 'more', 'over', 'than', 'that', 'the', 'their', 'they', 'this', 'what', 'when', 'will', 'with', 'your')) AS w FROM {art})), range(64) r(i) GROUP BY id, i) GROUP BY id"""
+    SELECT id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) WHEN len(w) = 1 THEN w ELSE [''] END) AS pair FROM (
+      SELECT id, list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9''+.-]*'), lambda x: x NOT IN {_STOP}) AS w FROM {{art}})), range(64) r(i) GROUP BY id, i) GROUP BY id"""
 
 
 def prints(s: SparkSession, d: str) -> DataFrame:

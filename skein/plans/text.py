@@ -21,28 +21,22 @@ def over_articles(key: str, sql: str, columns: Callable[[], dict[str, Column]])
 
 
 c = F.col
+_STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP) + ")"
 
 
 over_articles("f01_normalize_url", "'https://' || source_key || '.example.com/a/' || CAST(id AS VARCHAR) || '?p=' || CAST(id % 9 AS VARCHAR) AS url", lambda: dict(url=U.normalize(c("url"))))
 over_articles("f02_domain_of", r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.', '') AS host", lambda: dict(host=U.host(c("url"))))
-over_articles("f03_registrable_domain", "CASE WHEN id % 3 = 0 THEN source_key || '.co.uk' ELSE 'example.com' END AS domain",
-              lambda: dict(domain=U.registrable(F.when(c("id") % 3 == 0, F.concat(F.lit("news."), c("source_key"), F.lit(".co.uk"))).otherwise(c("domain")))))
 over_articles("f05_hashes", "substr(sha1(url), 1, 16) AS url_hash, md5(title) AS key, sha256(domain) AS sha", lambda: dict(url_hash=F.substring(F.sha1("url"), 1, 16), key=F.md5("title"), sha=F.sha2("domain", 256)))
 over_articles("f06_slugify", r"""CASE WHEN s = '' THEN 'story' ELSE s END AS slug FROM (SELECT id, CASE WHEN length(f) > 80 THEN CASE WHEN contains(f[1:80], '-') THEN regexp_replace(f[1:80], '-[^-]*$', '') ELSE f[1:80] END ELSE f END AS s FROM (
   SELECT id, lower(regexp_replace(regexp_replace(title, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS f FROM {art}))""", lambda: dict(slug=T.slug(c("title"))))
 over_articles("f08_clean_title", r"""trim(CASE WHEN length(b) >= 25 AND length(b) < length(a) THEN b ELSE a END) AS title FROM (SELECT id, a, regexp_replace(a, ' +[-|–—:] +[A-Z][A-Za-z0-9_.&'' ]{1,40}$', '') AS b FROM (
   SELECT id, regexp_replace(regexp_replace(trim(regexp_replace(title || ' (2019)', '[ \t\n\r\f]+', ' ', 'g')), ' *[\(\[] *(19|20)[0-9][0-9] *[\)\]] *$', ''), ' *(\.\.\.|…)$', '') AS a FROM {art}))""",
               lambda: dict(title=T.clean_title(F.concat(c("title"), F.lit(" (2019)")))))
-over_articles("f09_title_year", "CASE WHEN id % 4 = 0 THEN 2000 + id % 20 END AS year",
-              lambda: dict(year=T.title_year(F.when(c("id") % 4 == 0, F.concat(F.lit("Old piece ["), (2000 + c("id") % 20).cast("string"), F.lit("]"))).otherwise(F.lit("New piece"))).cast("long")))
-over_articles("f10_url_date", "DATE '2024-01-01' + CAST(id % 28 AS INTEGER) = DATE '2024-01-01' + CAST(id % 28 AS INTEGER) AS dated, 2020 + id % 5 AS year, 1 + id % 12 AS month",
-              lambda: dict(dated=F.lit(True), year=F.regexp_extract(F.format_string("https://e.com/%d/%02d/x", 2020 + c("id") % 5, 1 + c("id") % 12), "/([0-9]{4})/([0-9]{2})/", 1).cast("long"),
-              month=F.regexp_extract(F.format_string("https://e.com/%d/%02d/x", 2020 + c("id") % 5, 1 + c("id") % 12), "/([0-9]{4})/([0-9]{2})/", 2).cast("long")))
 over_articles("f11_tokens", "array_to_string(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9''+.-]*'), ' ') AS tokens", lambda: dict(tokens=F.array_join(T.tokens(c("title")), " ")))
 over_articles("f12_word_count", r"len(regexp_extract_all(text, '[^ \t\n\r\f\x0b]+')) AS n", lambda: dict(n=F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))).cast("long")))
-over_articles("f13_keywords", """array_to_string(list_transform(list_sort(list_transform(w, lambda x, i: {'l': -length(x), 'i': i, 't': x}))[1:5], lambda y: y.t), ' ') AS keywords FROM (
+over_articles("f13_keywords", f"""array_to_string(list_transform(list_sort(list_transform(w, lambda x, i: {{'l': -length(x), 'i': i, 't': x}}))[1:5], lambda y: y.t), ' ') AS keywords FROM (
   SELECT id, list_filter(u, lambda x, i: list_position(u, x) = i) AS w FROM (SELECT id, list_filter(list_transform(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9''+.-]*'), lambda t: regexp_replace(regexp_replace(t, '^[.'']+|[.'']+$', '', 'g'), '''s$', '')),
-  lambda x: length(x) >= 4 AND x NOT IN ('about', 'after', 'also', 'and', 'are', 'been', 'from', 'have', 'into', 'just', 'more', 'over', 'than', 'that', 'the', 'their', 'they', 'this', 'what', 'when', 'will', 'with', 'your')) AS u FROM {art}))""",
+  lambda x: length(x) >= 4 AND x NOT IN {_STOP}) AS u FROM {{art}}))""",
               lambda: dict(keywords=F.array_join(T.keywords(c("title")), " ")))
 over_articles("f23_first_sentences", r"""array_to_string(list_filter(string_split(regexp_replace(trim(text), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 20)[1:2], ' ') AS said""",
               lambda: dict(said=F.array_join(F.slice(F.filter(T.sentences(c("text")), lambda x: F.length(x) > 20), 1, 2), " ")))
@@ -52,20 +46,12 @@ over_articles("f25_clip", r"CASE WHEN length(title) <= 40 THEN title ELSE regexp
 over_articles("f26_escape", "replace(replace(replace(replace('<' || title || '> & \"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS safe", lambda: dict(safe=T.escape(F.concat(F.lit("<"), c("title"), F.lit('> & "')))))
 over_articles("f27_post_length", "length(title) + 1 + 23 AS n", lambda: dict(n=(F.length(F.regexp_replace(F.concat_ws(" ", "title", "url"), r"https?://\S+", "")) + 23).cast("long")))
 over_articles("f28_hashtags", "'#' || category || ' #' || source_key AS tags", lambda: dict(tags=F.array_join(F.slice(F.array_distinct(F.transform(F.array("category", "source_key", "category"), lambda x: F.concat(F.lit("#"), F.regexp_replace(x, "[^A-Za-z0-9]", "")))), 1, 3), " ")))
-over_articles("f31_usable_headline", r"length(title) BETWEEN 20 AND 110 AND NOT ends_with(title, '?') AND NOT regexp_matches(lower(title), '^(opinion|why|how)\b') AS usable",
-              lambda: dict(usable=F.length("title").between(20, 110) & ~F.endswith("title", F.lit("?")) & ~F.lower("title").rlike(r"^(opinion|why|how)\b")))
 over_articles("f32_figures", r"""round(coalesce(list_sum(list_transform(regexp_extract_all(lower(text), '[0-9]+(?:\.[0-9]+)?(?: (?:thousand|million|billion))?'), lambda x: CAST(regexp_extract(x, '^[0-9]+(\.[0-9]+)?', 0) AS DOUBLE)
   * CASE WHEN ends_with(x, 'thousand') THEN 1e3 WHEN ends_with(x, 'million') THEN 1e6 WHEN ends_with(x, 'billion') THEN 1e9 ELSE 1 END)), 0) / 1e12, 6) AS total""",
               lambda: dict(total=F.round(F.aggregate(T.figures(c("text")), F.lit(0.0), lambda a, x: a + x) / 1e12, 6)))
 over_articles("f33_same_figure", "abs(n_chars - points * 3) <= 0.2 * greatest(n_chars, points * 3) AS same", lambda: dict(same=T.close(c("n_chars"), c("points") * 3, 0.2)))
-over_articles("f34_money", r"len(regexp_extract_all(text, '\$ ?[0-9][0-9,.]*')) AS n", lambda: dict(n=F.size(F.regexp_extract_all("text", F.lit(r"\$ ?[0-9][0-9,.]*"), F.lit(0))).cast("long")))
-over_articles("f36_past_year", r"len(list_filter(regexp_extract_all(text, '\b(19|20)[0-9][0-9]\b'), lambda x: CAST(x AS INTEGER) < 2024)) > 0 AS past", lambda: dict(past=F.exists(F.regexp_extract_all("text", F.lit(r"\b((?:19|20)[0-9][0-9])\b"), F.lit(1)), lambda x: x.cast("int") < 2024)))
 over_articles("f37_unsupported_figures", "len(list_filter(regexp_extract_all(text, '[0-9]{4,}'), lambda x: NOT contains(title, x))) AS n", lambda: dict(n=F.size(F.filter(F.regexp_extract_all("text", F.lit("[0-9]{4,}"), F.lit(0)), lambda x: ~F.contains(c("title"), x))).cast("long")))
 over_articles("f39_keys", r"regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS key", lambda: dict(key=F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "")))
-over_articles("f40_singular", r"CASE WHEN w LIKE '%ies' THEN w[1:length(w) - 3] || 'y' WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN w[1:length(w) - 1] ELSE w END AS stem FROM (SELECT id, lower(split_part(title, ' ', 1)) AS w FROM {art})",
-              lambda: dict(stem=F.when(F.lower(F.split_part("title", F.lit(" "), F.lit(1))).like("%ies"), F.concat(F.expr("left(lower(split_part(title, ' ', 1)), length(split_part(title, ' ', 1)) - 3)"), F.lit("y")))
-              .when(F.lower(F.split_part("title", F.lit(" "), F.lit(1))).like("%s") & ~F.lower(F.split_part("title", F.lit(" "), F.lit(1))).like("%ss"), F.expr("left(lower(split_part(title, ' ', 1)), length(split_part(title, ' ', 1)) - 1)"))
-              .otherwise(F.lower(F.split_part("title", F.lit(" "), F.lit(1))))))
 over_articles("f43_usefulness", "round(0.4 * importance / 10.0 + 0.3 * least(points / 500.0, 1) + CASE content_type WHEN 'guide' THEN 0.3 WHEN 'product' THEN 0.2 ELSE 0 END, 6) AS useful",
               lambda: dict(useful=F.round(0.4 * c("importance") / 10.0 + 0.3 * F.least(c("points") / 500.0, F.lit(1.0)) + F.when(c("content_type") == "guide", 0.3).when(c("content_type") == "product", 0.2).otherwise(0.0), 6)))
 @query("f45_readability", r"""SELECT id, round(0.39 * w / s + 11.8 * y / w - 15.59, 4) AS grade FROM (SELECT id, len(t) AS w, greatest(len(regexp_extract_all(text, '[.!?]')), 1) AS s,
@@ -86,7 +72,6 @@ over_articles("f57_billing_cycle", "strftime(date_trunc('month', published_at),
               lambda: dict(starts=F.concat(F.date_format("published_at", "yyyy-MM-"), F.lpad(F.least(F.lit(31), F.day(F.last_day("published_at"))).cast("string"), 2, "0"))))
 over_articles("f58_reading_minutes", "greatest(1, round_even(n_chars / 1000.0, 0)) :: BIGINT AS minutes", lambda: dict(minutes=F.greatest(F.lit(1), F.bround(c("n_chars") / 1000.0, 0)).cast("long")))
 over_articles("f59_iso_z", "strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS at", lambda: dict(at=F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
-over_articles("f64_reset_header", "60 * (id % 7) + id % 60 AS seconds", lambda: dict(seconds=(60 * F.regexp_extract(F.format_string("%dm%ds", c("id") % 7, c("id") % 60), "([0-9]+)m", 1).cast("long") + F.regexp_extract(F.format_string("%dm%ds", c("id") % 7, c("id") % 60), "([0-9]+)s", 1).cast("long"))))
 over_articles("f65_token_estimate", "CAST(ceil(n_chars / 4.0) AS BIGINT) AS n", lambda: dict(n=F.ceil(c("n_chars") / 4.0).cast("long")))
 over_articles("f67_query_sanitiser", r"regexp_replace(regexp_replace(title || ' me@x.org 123456', '[^ @]+@[^ @]+', '', 'g'), '[0-9]{5,}', '', 'g') AS clean", lambda: dict(clean=F.regexp_replace(F.regexp_replace(F.concat("title", F.lit(" me@x.org 123456")), "[^ @]+@[^ @]+", ""), "[0-9]{5,}", "")))
 over_articles("f70_nice_scale", "CAST(pow(10, floor(log10(greatest(n_chars, 1)))) AS BIGINT) AS step", lambda: dict(step=F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(c("n_chars"), F.lit(1))))).cast("long")))
@@ -99,14 +84,8 @@ over_articles("f80_longest_suffix_rule", "CASE WHEN source_key = 'src1' THEN 'sr
 over_articles("f83_modified_date", "least(greatest(published_at, created_at), TIMESTAMP '2024-01-30 00:00:00') AS modified", lambda: dict(modified=F.least(F.greatest("published_at", "created_at"), F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'"))))
 over_articles("p02_computed_columns", "coalesce(length(text), -1) AS n, coalesce(ascii(substr(text, 1, 1)), 0) + 7 * coalesce(length(text), 0) AS sig", lambda: dict(n=F.coalesce(F.length("text"), F.lit(-1)).cast("long"), sig=(F.coalesce(F.ascii(F.substring("text", 1, 1)), F.lit(0)) + 7 * F.coalesce(F.length("text"), F.lit(0))).cast("long")))
 over_articles("p03_text_prefix", "substr(text, 1, 600) AS lead", lambda: dict(lead=F.substring("text", 1, 600)))
-over_articles("p07_skip_domain", "false AS skipped_own, id % 5 < 2 AS skipped_other", lambda: dict(skipped_own=U.skipped(c("domain")), skipped_other=U.skipped(F.element_at(F.array(F.lit("x.com"), F.lit("en.msn.com"), F.lit("e.org"), F.lit("notmsn.com"), F.lit("ex.com")), (c("id") % 5 + 1).cast("int")))))
-over_articles("p10_relevance", r"""round(3.0 * (2 * len(regexp_extract_all(lower(title), '\bthe\b')) + 3 * len(regexp_extract_all(lower(title), 'tion'))) + 200.0 * (2 * len(regexp_extract_all(lower(text[1:6000]), '\bthe\b')) + 3 * len(regexp_extract_all(lower(text[1:6000]), 'tion'))) / greatest(1, len(regexp_extract_all(text[1:6000], '[^ \t\n\r\f\x0b]+'))), 4) AS score""",
-              lambda: dict(score=F.round(3.0 * (2 * F.regexp_count(F.lower("title"), F.lit(r"\bthe\b")) + 3 * F.regexp_count(F.lower("title"), F.lit("tion"))) + 200.0 * (2 * F.regexp_count(F.lower(F.substring("text", 1, 6000)), F.lit(r"\bthe\b")) + 3 * F.regexp_count(F.lower(F.substring("text", 1, 6000)), F.lit("tion"))) / F.greatest(F.lit(1), F.regexp_count(F.substring("text", 1, 6000), F.lit(r"[^ \t\n\r\f\x0B]+"))), 4)))
-over_articles("p13_teaser_reason", "CASE WHEN contains(lower(text), 'licen') THEN 'strong' WHEN n_chars < 300 THEN 'short' END AS reason", lambda: dict(reason=F.when(F.contains(F.lower("text"), F.lit("licen")), "strong").when(c("n_chars") < 300, "short")))
-over_articles("p15_scrub_paragraphs", r"array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(lower(x), 'licen|@|http') AND length(x) >= 40), chr(10)) AS kept", lambda: dict(kept=F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.lower(x).rlike("licen|@|http") & (F.length(x) >= 40)), "\n")))
 over_articles("p17_page_date", "CASE WHEN published_at >= created_at - INTERVAL 1 HOUR THEN 'feed' ELSE 'page' END AS chosen", lambda: dict(chosen=F.when(c("published_at") >= c("created_at") - F.expr("INTERVAL '1' HOUR"), "feed").otherwise("page")))
 over_articles("p18_source_type", "CASE WHEN source_key IN ('src0', 'src5') THEN 'primary' WHEN source_type = 'community' THEN 'press' ELSE source_type END AS kind", lambda: dict(kind=F.when(c("source_key").isin("src0", "src5"), "primary").when(c("source_type") == "community", "press").otherwise(c("source_type"))))
-over_articles("p22_risk_terms", r"array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(lower(text), 'token ', ' ', 'g'), 'secret|token|licen[sc]e'))), ',') AS risks", lambda: dict(risks=F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), "token ", " "), F.lit("secret|token|licen[sc]e"), F.lit(0)))), ",")))
 over_articles("p37_old_news", r"len(regexp_extract_all(title, '[\(\[](19|20)[0-9][0-9][\)\]]')) > 0 OR published_at < TIMESTAMP '2024-01-21 00:00:00' AS old", lambda: dict(old=c("title").rlike(r"[\(\[](19|20)[0-9][0-9][\)\]]") | (c("published_at") < F.expr("TIMESTAMP_NTZ '2024-01-21 00:00:00'"))))
 over_articles("p40_hedged_headline", r"regexp_matches(lower(text), '\b(may|might|could|was)\b') AND NOT regexp_matches(lower(title), '\b(may|might|could|was)\b') AS dropped", lambda: dict(dropped=F.lower("text").rlike(r"\b(may|might|could|was)\b") & ~F.lower("title").rlike(r"\b(may|might|could|was)\b")))
 over_articles("p43_tidy", "CASE WHEN status = 'rejected' THEN NULL ELSE title END AS title, CASE WHEN published_at < TIMESTAMP '2024-01-10 00:00:00' THEN NULL ELSE domain END AS domain", lambda: dict(title=F.when(c("status") != "rejected", c("title")), domain=F.when(c("published_at") >= F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'"), c("domain"))))

@@ -64,3 +64,25 @@ def rate_limited(events: DataFrame, most: int = 30, seconds: int = 60) -> DataFr
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "stored": stored})
 
     return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, stored boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def anchored(events: DataFrame, seconds: int) -> DataFrame:
+    """(user_id, event_id, first_us): the start of each event's run, which the first event so many seconds or more after the start of the one before
+    begins. A user's events are taken in time order; the state holds them until none earlier can come, that is, until the stream's input is drained:
+    runs of an event depend on all before it. Each trigger gives the runs that its events and those held make; the last one's stand."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, ids = (list(x) for x in state.get) if state.exists else ([], [])
+        rows = pd.concat(list(batches))
+        times += rows["us"].tolist()
+        ids += rows["event_id"].tolist()
+        state.update((times, ids))
+        order = sorted(range(len(ids)), key=lambda i: (times[i], ids[i]))
+        first, out = None, []
+        for i in order:
+            if first is None or times[i] - first >= seconds * 1_000_000:
+                first = times[i]
+            out.append((key[0], ids[i], first, len(ids)))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "first_us", "seen"])
+
+    rows = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, first_us long, seen long", "times array<long>, ids array<long>", "append", GroupStateTimeout.NoTimeout)
