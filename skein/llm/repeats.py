@@ -25,7 +25,7 @@ from skein.shared import settle
 
 LENGTH, GRAM = 100, 32
 #: Kinds of runs of one anchor in one shard; bytes of a shard and of a bucket of run hashes; bytes of text between two flushes.
-SPREAD, SHARD_BYTES, BUCKET_BYTES, FLUSH_BYTES = 256, 1 << 20, 8 << 20, 8 << 20
+SPREAD, SHARD_BYTES, BUCKET_BYTES, FLUSH_BYTES = 256, 1 << 19, 8 << 20, 8 << 20
 #: Kinds of runs of one anchor beyond which a flush deals them by content over all buckets, and that all flushes may leave in one bucket.
 HOT_KINDS, BUCKET_KINDS = 64, 1 << 20
 #: Bytes of a longer text that are looked at at once.
