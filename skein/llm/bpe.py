@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from skein.llm.common import mix, release
+from skein.llm.common import mix, release, thrifty
 
 #: Pieces a worker remembers; beyond it the memory starts anew (results don't depend on it).
 CACHE_PIECES = 200_000
@@ -240,6 +240,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
     schema = kept.withColumn(ids, F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         c = codec(ranks.value, pattern)
         for batch in batches:
             for at, to, texts in _text_runs(batch, text):
@@ -259,6 +260,7 @@ def decode(coded: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids
     schema = kept.withColumn(out, F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         c = codec(ranks.value, pattern)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
@@ -276,6 +278,7 @@ def round_trip_digests(docs: DataFrame, rank_path: str, pattern: str, key: str =
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         c = codec(ranks.value, pattern)
         for batch in batches:
             for at, to, texts in _text_runs(batch, "text"):
@@ -360,6 +363,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, frequent: i
     schema = kept.withColumn(out, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         count = counter(shared.value, pattern)
         for batch in batches:
             n: list[int] = []

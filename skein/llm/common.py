@@ -32,6 +32,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows whose texts have at most limit bytes (one longer text stands alone), with their flat bytes and offsets."""
+    thrifty()
     for batch in batches:
         data, offsets = flat(batch.column(batch.schema.get_field_index(column)))
         at = 0
@@ -43,12 +44,24 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
     release()
 
 
+#: Of glibc's mallopt: blocks from MMAP on are the system's again as soon as they are freed, and so is what lies unused at the heap's end beyond TRIM.
+_MMAP, _TRIM = (-3, 4 << 20), (-1, 16 << 20)
+_libc = ctypes.CDLL(None)
+
+
+def thrifty() -> None:
+    """At a task's start, in a Python worker: have Arrow and numpy hand back what they free. Workers live on, and each stage needs memory for other things."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(_libc, "mallopt"):  # glibc
+        for option in (_MMAP, _TRIM):
+            _libc.mallopt(*option)
+
+
 def release() -> None:
-    """Give what a task has freed back to the system: workers live on, and the next stage needs memory for other things."""
+    """At a task's end, in a Python worker."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 # splitmix64 constants

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import release
+from skein.llm.common import release, thrifty
 from skein.shared import settle
 
 #: Texts a language to fit on, and as many to calibrate on; languages a corpus may have; character outcomes of the last, uniform back-off.
@@ -175,6 +175,7 @@ def predict(docs: DataFrame, languages: list[str], models: list[Model], limits:
     state: dict[str, Scorer] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         languages, models, limits = shared.value
         scorer = state.setdefault("scorer", Scorer(models)) if models else None
         for batch in batches:

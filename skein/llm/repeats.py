@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import _B, _BYTES, chunks, mix, powers, release, span_hashes
+from skein.llm.common import _B, _BYTES, chunks, mix, powers, release, span_hashes, thrifty
 from skein.shared import settle
 
 LENGTH, GRAM = 100, 32
@@ -177,6 +177,7 @@ def compare_runs(packed: DataFrame) -> DataFrame:
     """kind 0: windows first .. first + n - 1 of a document go; kind 1: the first run of its content under a contested anchor, its shard key
     and whether its anchor is dealt over several shards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         held: dict[int, list] = {_BY_ANCHOR: [], _BY_CONTENT: []}
         marks, bucket = [np.zeros(0, np.uint64)], 0
         for batch in batches:
@@ -374,6 +375,7 @@ def run_texts(docs: DataFrame, contested: DataFrame, shards: int, length: int) -
 
 def compare_texts(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         rows = [r for batch in batches for r in batch.to_pylist()]
         yield from _shard_windows(rows, length)
         release()
