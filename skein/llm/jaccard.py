@@ -8,8 +8,9 @@ linked sets is missed.
 
 Equal sets are one class from the start. A word's bucket is first reduced within each map-side run of rows and then by bucket: members are
 tied to a hub (the smallest class there), so a bucket of k classes makes k - 1 candidates. After these are verified and connected, classes
-outside a bucket's largest component are compared with a member of it; and then buckets that still hold classes of two components are compared
-in full across the components, which loses no link that could join them. Pairs are screened by sizes and parity bits before sets are read.
+outside a bucket's largest component are compared with a member of it. Classes of buckets that still hold two components are then keyed by their
+rarest shingles, one of which any two that link share, so that a sketch word that a template fills doesn't make all pairs under it; no link that
+could join two components is lost. Pairs are screened by sizes and parity bits before sets are read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SPARE, BAND = 1, 1.4
 RUN_KEYS, BUCKET_BYTES = 1 << 18, 8 << 20
 
 
+#: Counters of the table that tells rare shingles from frequent ones: a bounded broadcast.
+SLOTS = 1 << 18
 #: 64-bit words of the parity bits that screen candidates.
 PARITY_WORDS = 16
 _PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
@@ -217,6 +220,51 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def rare_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, label: str) -> DataFrame:
+    """(a, b): pairs of classes (lo, part) of different parts that may link, from their sets (lo, n, hashes). In one order of all shingles, linked sets
+    share one among the first n - ceil(n * num / den) + 1 of either. The order is by how many classes hold a shingle, as far as a table of SLOTS
+    counters tells, rarest first: what many texts share, such as a template, then is no key, and few classes meet under one."""
+    held = sets.join(classes, "lo").select("lo", "part", "n", "hashes")
+    mask = np.uint64(SLOTS - 1)
+
+    def hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            found = hashes_of(batch)
+            if found:
+                counts += np.bincount((np.concatenate(found) & mask).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+    counted = held.mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
+    table = np.zeros(SLOTS, np.int64)
+    table[[r.slot for r in counted]] = [r.n for r in counted]
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by = shared.value
+        for batch in batches:
+            taken = []
+            for s in hashes_of(batch):
+                order = np.lexsort((s, held_by[(s & mask).astype(np.int64)]))
+                taken.append(s[order[: len(s) + 1 - -(-num * len(s) // den)]])
+            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in taken])
+            shingles = np.concatenate(taken) if taken else np.zeros(0, np.uint64)
+            for i in range(0, len(at), 100_000):
+                rows = pa.array(at[i : i + 100_000])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(3)], pa.array(shingles[i : i + 100_000].view(np.int64))], ["lo", "part", "n", "shingle"])
+
+    keys = settle(held.mapInArrow(rarest, "lo long, part long, n long, shingle long"), f"{label}-rare")
+    open_keys = keys.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("shingle")
+    keys = settle(keys.join(open_keys, "shingle"), f"{label}-keys")
+    x, y = (keys.select("shingle", F.col("lo").alias(i), F.col("part").alias(f"p{i}"), F.col("n").alias(f"n{i}")) for i in ("a", "b"))
+    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return x.join(y, "shingle").where(fits).select("a", "b").distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, label: str = "jaccard") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: documents link when the Jaccard similarity of their sets of width-word shingles is at
     least num/den; component_id is the smallest doc_id that links reach.
@@ -271,13 +319,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         if not final:
             # under each key one member of the largest component, another one for every key, stands for it
             pairs = rest.where("part <> main").select(F.least("lo", "pick").alias("a"), F.greatest("lo", "pick").alias("b")).distinct()
-            pairs = pairs.join(renamed(bits, "a"), "a").join(renamed(bits, "b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
         else:
-            rest = settle(rest.select("key", "lo", "part", "main").join(bits, "lo"), f"{label}-rest")
-            odd = renamed(rest.where("part <> main").withColumnRenamed("key", "k"), "u").withColumnRenamed("part", "pu")
-            other = renamed(rest.drop("main"), "v").withColumnRenamed("part", "pv")
-            pairs = odd.join(other, (F.col("k") == F.col("key")) & F.expr("pu <> pv and (pv = main or u < v)") & may_link("u", "v", num, den))
-            pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+            pairs = rare_pairs(sets, settle(rest.select("lo", "part").distinct(), f"{label}-rest"), num, den, label)
+        pairs = pairs.join(renamed(bits, "a"), "a").join(renamed(bits, "b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
         new = settle(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{label}-new")
         more = settle(verified(new, sets, num, den), f"{label}-more")
         if not more.isEmpty():

@@ -105,6 +105,22 @@ def test_hot_near_copies(spark):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+def test_templates_with_different_fillings(spark):
+    """Texts of one template whose fillings are too large for a link share sketch words; near copies of some of them must still be found."""
+    rnd = random.Random(8)
+    template = [f"t{i}" for i in range(160)]
+    rows = []
+    for i in range(60):
+        text = template + [f"f{i}x{k}" for k in range(40)]
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:
+            text[rnd.randrange(165, 195)] = "other"
+            rows.append((500 + i, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85, 100).collect()}
+    want = brute_components(rows, 4, 85, 100)
+    assert got == want and sum(k != c for k, (_, c) in want.items()) == 20
+
+
 def test_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"abc def abc", np.uint8)
     h = span_hashes(data, np.array([0, 8, 4]), np.array([3, 11, 7]))
