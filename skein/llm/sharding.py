@@ -44,15 +44,15 @@ def place(rows: DataFrame, shards: dict[str, int], key: str = "doc_id", slots: i
     the text "null". The table has `slots` rows whatever the data, so its broadcast is bounded; placement shuffles nothing."""
     table = lookup_table(shards, slots)
     spark = rows.sparkSession
-    lookup = spark.createDataFrame([(i, x) for i, x in enumerate(table)], "skein_slot long, skein_shard string")
+    own_slot, own_shard = "skein_slot", "skein_shard"
+    while {own_slot, own_shard} & set(rows.columns):
+        own_slot, own_shard = own_slot + "_", own_shard + "_"
+    lookup = spark.createDataFrame([(i, x) for i, x in enumerate(table)], f"`{own_slot}` long, `{own_shard}` string")
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
     at = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % slots
-    kept = rows.drop(slot, shard) if key not in (slot, shard) else rows
-    return (
-        kept.withColumn("skein_slot", at)
-        .join(F.broadcast(lookup), "skein_slot", "left")
-        .select(*[kept[c] for c in kept.columns], F.col("skein_slot").alias(slot), F.col("skein_shard").alias(shard))
-    )
+    kept = [c for c in rows.columns if c not in (slot, shard)]
+    joined = rows.withColumn(own_slot, at).join(F.broadcast(lookup), own_slot, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{own_slot}`").alias(slot), F.col(f"`{own_shard}`").alias(shard))
 
 
 def write_shards(placed: DataFrame, path: str, shard: str = "shard", files_per_shard: int = 4) -> None:

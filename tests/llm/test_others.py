@@ -1,6 +1,9 @@
 """Chat formatting, URL filters, sharding, vectors and the pipeline."""
 
+import hashlib
+import random
 from collections import Counter
+from urllib.parse import urljoin
 
 import duckdb
 import numpy as np
@@ -30,7 +33,8 @@ def brute_chats(rows):
 def test_chats(spark):
     u, a = "user", "assistant"
     rows = [(1, 0, u, "hi"), (1, 1, a, "yo"), (2, 0, u, "hi"), (3, 5, u, "hi"), (3, 6, a, "yo"), (3, 7, u, "ok"), (4, 0, u, "hi"), (4, 1, a, "yo"), (4, 2, u, "ok"),
-            (5, 0, u, None), (6, 0, u, ""), (6, 1, a, "x"), (7, 0, None, "hi"), (7, 0, None, "hi"), (8, None, u, "hi"), (8, 1, a, "no"), (None, 0, u, "lost"), (9, 0, u, "tie"), (9, 0, u, "tia")]
+            (5, 0, u, None), (6, 0, u, ""), (6, 1, a, "x"), (7, 0, None, "hi"), (7, 0, None, "hi"), (8, None, u, "hi"), (8, 1, a, "no"), (None, 0, u, "lost"), (9, 0, u, "tie"), (9, 0, u, "tia"), (10, 0, u, "tia"), (11, 0, u, "tie")]
+    rows += [(30, None, u, "first"), (30, -300, u, "second"), (30, 0, u, "third"), (31, None, u, "first"), (31, -300, u, "second"), (32, -300, u, "second"), (32, None, u, "first"), (32, 5, u, "third"), (32, 6, u, "last")]
     rows += [(20, i, u, f"t{i}") for i in range(700)] + [(21, i, u, f"t{i}") for i in range(300)] + [(22, i, u, f"t{i}") for i in range(299)] + [(22, 299, u, "other")]
     got = chat.format_chats(spark.createDataFrame(rows, TURNS).withColumn("n_turns", F.lit(0)))
     assert {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in got.collect()} == brute_chats(rows)
@@ -74,6 +78,56 @@ def test_url_aliases(spark):
     assert urls.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_links_resolve(spark):
+    """Against the standard library's rules, for targets of each kind."""
+    base = "https://A.org/x/y/z.html?q=1#f"
+    targets = ["http://b.org/1", "//b.org/2", "/root", "leaf", "./leaf", "../up", "../../../top", "a/./b/../c", "?only=query", "d/..", ".", "/p?x=1&amp;y=2"]
+    got = spark.createDataFrame([(t,) for t in targets], "t string").select("t", urls.resolved(F.col("t"), F.lit(base)).alias("u")).collect()
+    for r in got:
+        want = urljoin(base.replace("A.org", "a.org"), r.t.replace("&amp;", "&"))
+        assert r.u == want, (r.t, r.u, want)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_link_graphs(spark, seed):
+    """Verdicts on random graphs of canonical and refresh links against union-find, with quoted, bare and relative targets."""
+    rnd = random.Random(seed)
+    hosts = ["a.org", "b.org", "x.com", "example.com", "y.example.com", "z.net", "example.net"]
+    url = lambda: f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'de', 'es', 'fr'])}/{rnd.randrange(9)}"
+    pages = [(i, url()) for i in range(60)]
+    links, rows = [], []
+    for i, u in pages:
+        html = "<p>text</p>"
+        if rnd.random() < 0.6:
+            target = rnd.choice([url(), f"../{rnd.choice(['en', 'de'])}/{rnd.randrange(9)}", f"{rnd.randrange(9)}"])
+            html += rnd.choice(['<link rel="canonical" href="{}">', "<link rel=canonical href={}>", "<link href='{}' rel='canonical'>", '<meta http-equiv="refresh" content="0; url={}">', "<meta content='1;URL={}' http-equiv=refresh>"]).format(target)
+            links.append((u, urljoin(u, target)))
+        rows.append((i, u, html))
+    part = {x: x for pair in links for x in pair} | {u: u for _, u in pages}
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in links:
+        part[root(a)] = root(b)
+
+    def ruled(u):
+        host, path = u.split("://")[1].split("/", 1)
+        fits = [(len(r), v) for v, r in queries.URL_RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and f"/{path}".startswith(r[r.index("/") :])]
+        return max(fits)[1] if fits else None
+
+    def want(u):
+        if ruled(u):
+            return ruled(u)
+        said = {ruled(x) for x in part if root(x) == root(u)}
+        return "block" if "block" in said and "allow" not in said else "allow"
+
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()}
+    assert got == {i: want(u) for i, u in pages}
+
+
 @pytest.mark.parametrize("name", ["op2_chat_formatting", "op3_url_filters"])
 def test_sql_twins(spark, sf, name):
     con = duckdb.connect()
@@ -103,10 +157,30 @@ def test_lookup_table():
             sharding.lookup_table(*bad)
 
 
-def test_sharding_query(spark, sf):
-    import hashlib
+def claimed(shards, slots):
+    """The table by its definition: each shard has a list of all slots, and takes turns at claiming the first that is free."""
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:16], 16)
+    lists = {}
+    for name in shards:
+        offset, skip = number(f"offset:{name}") % slots, number(f"skip:{name}") % (slots - 1) + 1
+        lists[name] = iter([(offset + skip * j) % slots for j in range(slots)])
+    table = {}
+    while len(table) < slots:
+        for name in sorted(shards):
+            for _ in range(shards[name]):
+                if len(table) < slots:
+                    slot = next(x for x in lists[name] if x not in table)
+                    table[slot] = name
+    return [table[i] for i in range(slots)]
+
+
+def test_table_by_its_definition():
+    for shards, slots in (({f"s{i}": 1 for i in range(20)}, 1009), ({"a": 3, "b": 1, "c": 0}, 101), ({"only": 1}, 7)):
+        assert sharding.lookup_table(shards, slots) == claimed(shards, slots)
 
-    table = sharding.lookup_table(queries.SHARDS)
+
+def test_sharding_query(spark, sf):
+    table = claimed({k: v for k, v in list(queries.SHARDS.items())}, sharding.SLOTS)
     rows = queries.op9_sharding(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     for r in rows:
@@ -114,6 +188,13 @@ def test_sharding_query(spark, sf):
         assert (r.slot, r.shard) == (slot, table[slot])
 
 
+def test_clashing_slot(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "slot long, skein_shard string")
+    placed = sharding.place(df, {"a": 1, "b": 1}, key="slot", slots=101, slot="at")
+    assert placed.columns == ["slot", "skein_shard", "at", "shard"] and placed.where("shard IS NULL").count() == 0
+    assert sharding.place(df, {"a": 1}, key="slot", slots=101).columns == ["skein_shard", "slot", "shard"]
+
+
 def test_place_odd_rows(spark, tmp_path):
     df = spark.createDataFrame([(None, "x"), (1, "y"), (1, "y"), (2, "z")], "doc_id long, shard string")
     placed = sharding.place(df, {"a": 1, "b": 1}, slots=101)
@@ -173,6 +254,25 @@ def test_vector_recall_and_rows(spark, sf):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_vectors_of_many_parts(spark, monkeypatch):
+    """More shards than chunks of queries, each several."""
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 12)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 8))
+    rows = [(i, [float(x) for x in base[i % 40] + rng.normal(size=8) * 0.1]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
+    want = brute_vectors(rows)
+    assert sum(min(got[i][0], want[i][0]) for i in want) >= 0.97 * sum(w[0] for w in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_audit_leaves_out_the_query_itself():
+    x = np.eye(6)[[0, 1, 2, 3, 0]].astype(float)
+    graph = vectors.Graph(x)
+    found = dict(graph.audited(x.astype(np.float32), 0.9, np.arange(5)))
+    assert {k: v.tolist() for k, v in found.items()} == {0: [4], 4: [0]}
+
+
 def test_graph_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 32))
@@ -219,6 +319,22 @@ def test_pipeline(spark, sf):
     assert {r.doc_id: bytes(r.decoded).decode() for r in back} == texts and all(r.n_tokens == len(r.token_ids) for r in back)
 
 
+def test_pipeline_of_odd_rows(spark, sf):
+    """Null and empty texts go at the first stage; repeated rows are one group's and go together or stay together; null ids stay where they are clean."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(12)
+    odd = spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, None, "en", None, 1)], docs.schema)
+    clean = docs.orderBy("doc_id").first()
+    again = spark.createDataFrame([tuple(clean), (None, *tuple(clean)[1:])], docs.schema)
+    rows = docs.unionByName(odd).unionByName(again)
+    for _, stage in pipeline.STAGES[:-1]:
+        made = stage(spark, rows, sf)
+        assert made.columns == docs.columns
+        rows = spark.createDataFrame(made.collect(), docs.schema)
+    kept = Counter(r.doc_id for r in rows.collect())
+    assert not {9000, 9001, 9002} & set(kept) and (clean.doc_id not in kept or kept[clean.doc_id] == 2)
+
+
 def test_pipeline_of_nothing(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -331,3 +332,45 @@ def test_kneser_ney_sums_to_one():
     total = np.exp2(model.score(context | known)).sum()
     rest = np.exp2(model.score(np.array([context | np.uint64(0x7777)])))[0] * (langid.OUTCOMES - len(known))
     assert abs(total + rest - 1) < 1e-6
+
+
+def plain_model(texts):
+    """Interpolated Kneser-Ney by dictionaries: (counts of each order, discount of each order)."""
+    levels = [Counter(p[i : i + 4] for t in texts for p in [f"\x01{t}\x01\x01"] for i in range(len(t)))]
+    for _ in range(3):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    discounts = []
+    for level in levels:
+        ones, twos = sum(n == 1 for n in level.values()), sum(n == 2 for n in level.values())
+        discounts.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+    return levels, discounts
+
+
+def plain_probability(model, gram):
+    if not gram:
+        return 1 / langid.OUTCOMES
+    levels, discounts = model
+    level, d = levels[4 - len(gram)], discounts[4 - len(gram)]
+    beside = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+    below = plain_probability(model, gram[1:])
+    return below if not beside else max(level[gram] - d, 0) / sum(beside) + d * len(beside) / sum(beside) * below
+
+
+def test_language_models_against_dictionaries(spark):
+    """Languages, bits a character and scores of small models by the definition."""
+    rnd = random.Random(2)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 5)))
+    labelled = [(" ".join(word(letters) for _ in range(12)), k) for k, letters in (("aa", "abcde"), ("bb", "bcdef"), ("cc", "aeiou")) for _ in range(6)]
+    asked = [" ".join(word(letters) for _ in range(9)) for letters in ("abcde", "bcdef", "aeiou", "xyzab") for _ in range(4)] + ["b", "zz zz"]
+    languages, models, limits = langid.fit(spark.createDataFrame(labelled, "text string, lang string"))
+    plain = {k: plain_model([t for t, x in labelled if x == k]) for k in ("aa", "bb", "cc")}
+    got = {r.text: r for r in langid.predict(spark.createDataFrame([(t,) for t in asked], "text string"), languages, models, limits).collect()}
+    for t in asked:
+        p = f"\x01{t}\x01\x01"
+        bits = {k: -sum(np.log2(plain_probability(m, p[i : i + 4])) for i in range(len(t))) / len(t) for k, m in plain.items()}
+        best = min(sorted(bits), key=bits.get)
+        second = sorted(bits.values())[1]
+        if second - bits[best] > 1e-4:
+            assert got[t].lang_pred == best
+        assert abs(got[t].bits - bits[best]) < 1e-4
+        assert abs(got[t].score - 1 / sum(2 ** ((bits[best] - b) * min(len(t), 40)) for b in bits.values())) < 1e-3
