@@ -1,5 +1,7 @@
 """The corpus pipeline: documents that stay and read well in a known language, one of each near-duplicate group, without repeated passages and
-benchmark leaks, as token ids. Each stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs."""
+benchmark leaks, as token ids. Each stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs.
+
+Stages keep all columns, also ones named like their own results, and rows with a null in any column but text; an empty table stays empty."""
 
 from __future__ import annotations
 
@@ -25,12 +27,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles at a similarity of 0.8 connect, the one with the smallest doc_id stays."""
+    """Of documents that links of five-word shingles at a similarity of 0.8 connect, the one with the smallest doc_id stays. Texts without words link
+    with nothing. Rows that repeat that doc_id stay as well; rows with a null doc_id are left alone."""
     return jaccard.keep_one_of_each_group(docs, width=5, num=4, den=5, label="stage1")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under a 100-byte string that stands earlier go; n_chars follows; a document of which nothing but space is left goes."""
+    """Bytes under a 100-byte string that stands earlier go; n_chars follows; a document of which nothing but space is left goes. Rows that repeat both
+    doc_id and text are one document and change alike; rows with a null doc_id are left alone; a null text is an empty one."""
     own, back = _apart(docs, ("n_bytes", "kept", "n_removed", "n_spans"))
     done = repeats.remove_repeats(own, label="stage7", as_text=True).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     if "n_chars" in own.columns:
@@ -39,12 +43,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark passage leaks go."""
+    """Documents into which a benchmark passage leaks go. Null and empty texts have no leaks; repeated rows go or stay together."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of texts, and their number."""
+    """Token ids in place of texts, and their number; a null text has none. Columns of the names token_ids and n_tokens are replaced."""
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.drop("text").withColumn("n_tokens", F.size("token_ids").cast("long"))
 
