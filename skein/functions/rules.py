@@ -460,8 +460,6 @@ KNOWN_SPELLINGS = "OpenAI ChatGPT DeepMind DeepSeek GitHub YouTube LinkedIn TikT
 COMMON_FIRST = """a an the this that these those it its is are was were be will would can could should may might must do does did has have had how why what when where who which whose while
     if as at by for from in into of on onto to with without about after before over under new more most less all any some every each no not our your their my his her we you they i here
     there study report researchers says said just only why inside""".split()
-#: A question, a possibility or an allegation in a source's title.
-HEDGE = r"\b(?:may|might|could|reportedly|allegedly|alleged|rumou?r(?:ed|s)?|according to)\b|\?"
 
 WORD = r"[A-Za-z][A-Za-z0-9'’.+&-]*"
 _VOWEL = r"[\"“‘'(]*(?:(?-i:[AEFHILMNORSX][A-Z]{0,4})\b|hour|honest|heir|(?!uni|use|usu|eu|one|once|(?-i:[A-Z]{1,5})\b)[aeiou])"
@@ -580,7 +578,7 @@ def discipline(headline: Column, title: Column, names: Column) -> Column:
     """A plain headline: capitals restored, then the rules. What the rules would break is replaced by the source's own title by the same rules, and
     where that is no headline either nothing changes."""
     title = F.trim(F.coalesce(title, F.lit("")))
-    hedged = (title == "") | has(title, HEDGE)
+    hedged = (title == "") | title_asks(title) | has(title, rf"\b(?:{SOURCE_HEDGES})\b")
     ruled = lambda h: let(headline_rules(h, hedged), lambda x: F.struct(x.alias("raw"), tidy(x).alias("text")))
 
     def chosen(x: Column) -> Column:
@@ -728,9 +726,11 @@ def plain_catch(text: Column) -> Column:
     good = lambda a: F.filter(F.transform(a, lambda c: capital(F.regexp_replace(c, r"\.+$", ""))), lambda c: F.length(c).between(*CATCH_SIZE) & plain_enough(c))
 
     def best(a: Column) -> Column:
-        top = F.get(a, F.lit(0))
-        easier = F.get(F.filter(a, lambda c: readable(c) & (F.length(c) >= 0.75 * F.length(top))), F.lit(0))
-        return F.coalesce(F.when(readable(top), top).otherwise(F.coalesce(easier, top)), F.lit(GENERIC_CATCH))
+        """Candidates are judged once each, as far as they may be asked for."""
+        judged = F.transform(a, lambda c: F.struct(c.alias("c"), readable(c).alias("easy")))
+        top = lambda j: F.get(j, F.lit(0))
+        easier = lambda j: F.get(F.filter(j, lambda x: x["easy"] & (F.length(x["c"]) >= 0.75 * F.length(top(j)["c"]))), F.lit(0))["c"]
+        return let(judged, lambda j: F.coalesce(F.when(top(j)["easy"], top(j)["c"]).otherwise(F.coalesce(easier(j), top(j)["c"])), F.lit(GENERIC_CATCH)))
 
     return let(good(let(let(t, every), both)), best)
 
@@ -739,13 +739,16 @@ def plain_what(text: Column) -> Column:
     """What a thing does on one plain line: the text, its first sentence or a clause of it; empty where none is plain and short."""
     t = swap_jargon(F.regexp_replace(squash(text), "^[\"“”']+|[\"“”']+$", ""))
 
+    first = lambda x: F.get(x, F.lit(0))
+    done = lambda x: ended(capital(x))
+    whole = lambda a: F.filter(F.transform(a, done), lambda c: F.length(c).between(*WHAT_SIZE) & plain_enough(c))
+    short = lambda a: F.filter(F.transform(a, lambda c: cut_phrase(c, 16, WHAT_SIZE[1] - 1)), lambda s: (F.length(s) >= WHAT_SIZE[0]) & plain_enough(s))
+    judged = lambda a: F.transform(a, lambda c: F.struct(c.alias("c"), readable(c).alias("easy")))
+    easy = lambda a: first(F.filter(a, lambda x: x["easy"]))["c"]
+
     def pick(a: Column) -> Column:
-        lines = F.transform(a, lambda c: ended(capital(c)))
-        fits = F.filter(lines, lambda c: F.length(c).between(*WHAT_SIZE) & plain_enough(c))
-        shorts = F.filter(F.transform(a, lambda c: cut_phrase(c, 16, WHAT_SIZE[1] - 1)), lambda s: (F.length(s) >= WHAT_SIZE[0]) & plain_enough(s))
-        first = lambda x: F.get(x, F.lit(0))
-        done = lambda x: ended(capital(x))
-        return F.coalesce(first(F.filter(fits, readable)), done(first(F.filter(shorts, readable))), first(fits), done(first(shorts)), F.lit(""))
+        both = F.struct(judged(whole(a)).alias("whole"), judged(short(a)).alias("short"))
+        return let(both, lambda x: F.coalesce(easy(x["whole"]), done(easy(x["short"])), first(x["whole"])["c"], done(first(x["short"])["c"]), F.lit("")))
 
     return let(let(t, lambda x: F.concat(F.array(x), clauses(x))), pick)
 
@@ -755,3 +758,75 @@ def plain_uses(uses: Column) -> Column:
     short = F.transform(uses, lambda u: let(swap_jargon(F.regexp_replace(squash(u), r"\.+$", "")), lambda x: capital(cut_phrase(F.coalesce(imperative(x), x), USES[1]))))
     good = F.filter(short, lambda s: (s != "") & plain_enough(s))
     return let(good, lambda g: F.slice(F.filter(g, lambda s, i: F.array_position(F.transform(g, F.lower), F.lower(s)) == i + 1), 1, USES[0]))
+
+
+# -- fixed values: terms that are no company or model, cards that don't belong, hedges --------------------------------------------------------
+
+GENERIC_TERM = (
+    r"^(the|a|an)\s|\b(fund|funds|capital|ventures?|partners|holdings|group|bank|university|institute|commission|council|government|ministry|department|agency|association|foundation|news|times|"
+    r"journal|post|media|information|report|index|initiative|programme|program|project|act|summit|conference|week|court|parliament|congress|senate|white house|pentagon)\b"
+)
+DEVELOPER = (
+    r"\b(?:gpus?|cuda|kubernetes|k8s|docker|containeri[sz]\w*|(?:gpu|compute|kubernetes|training|inference|hpc) clusters?|clusters? of gpus|sdks?|inference (?:gateway|endpoints?|server|serving|engine)|"
+    r"model serving|api endpoints?|api[- ]only|(?:only |available )?(?:via|through) (?:the |an |its )?api|developer (?:api|platform|preview)|for developers|clis?|command[- ]line|in (?:the|your) terminal|"
+    r"terminal (?:app|tool|commands?)|ides?|vs ?code|coding (?:assistant|agent|tool|model)s?|code (?:editor|assistant|completion|review|generation)|"
+    r"(?:write|writing|generate|generating|review|reviewing|debug|debugging) code|codebases?|(?:code|git) repositor(?:y|ies)|git(?:hub)? (?:history|repos?)|pull requests?|fine[- ]?tun\w*|"
+    r"local (?:llms?|models?)|run (?:llms?|models?) locally|ollama|llama\.cpp|lm studio|self[- ]host\w*|open[- ]weights?|vector (?:database|store)s?|embeddings|embedding models?|rag pipelines?|"
+    r"first[- ]token latency|tokens per second|agent (?:harness|framework|orchestration|sdk)\w*|agents? from any provider|multi[- ]?agent|agent[- ]to[- ]agent|mcp servers?|aws|amazon web services|"
+    r"sagemaker|(?:amazon |aws )bedrock|ec2|gcp|google cloud|vertex ai|azure|hyperpod)\b"
+)
+NO_CODE = r"\b(?:no[- ]code|without (?:writing )?(?:any )?code|drag[- ]and[- ]drop|point[- ]and[- ]click|visual (?:builder|editor)|non[- ]?(?:technical|developers?))\b"
+#: "of course" and "gift certificate" are taken out first.
+COURSE = (
+    r"\b(?:courses?|e-?degrees?|certificat(?:e|es|ion|ions)|bootcamps?|masterclass(?:es)?|training bundle|(?:course|training|learning) (?:bundle|pack)|bundle of \w+ courses|"
+    r"lifetime (?:access|deal|subscription|licen[cs]e)|resell\w*|wrapper (?:app|for)|access to (?:multiple|several|all the|many|\d+\+?) (?:ai )?(?:models|chatbots|ais))\b"
+)
+NO_COURSE = r"\bof courses?\b|\bgift certificat(?:e|es)\b"
+SOURCE_HEDGES = (
+    r"may|might|could|reportedly|allegedly|alleged|according to|claims?|claimed|suggests?|appears? to|seems? to|possibl[ey]|rumou?r(?:s|ed)?|sources? (?:say|said|tell)|is said to|are said to|"
+    r"report says|reports say|in talks|considering|opinion"
+)
+ATTRIBUTIONS = (
+    r"says?|said|tells?|told|report(?:s|ed)?|likely|would|expected to|plans? to|accus(?:es|ed)|warns?|argues?|debates?|whether|sees?|predicts?|expects?|estimates?|forecasts?|believes?|opinion:?"
+)
+OPEN_CLAIMS = (
+    r"\b(?:study|studies|research|researchers|report|survey|paper|analysis|data)\s+(?:finds?|found|shows?|suggests?)\b|"
+    r"\b(?:eyes|weighs|mulls|explores|seeks|tests?|tested|testing|examines?|investigat(?:es|ed|ing)|probes?|asks?|questions?)\b"
+)
+RELATIVE_HEDGE = r"\b(?:that|which|who|what)\s+(?:\S+\s+){0,3}(?:may|might|could)\b"
+OPEN_QUESTION = r"^[^\p{L}\p{N}_]*(?:why|how|when|where|who|which|if|what)\b"
+
+
+def discovery_term(term: Column) -> Column:
+    t = F.trim(F.coalesce(term, F.lit("")))
+    return F.length(t).between(3, 39) & ~has(t, GENERIC_TERM)
+
+
+def card_screen(text: Column) -> Column:
+    """Why a card doesn't belong: a course, or for developers without a screen that others can use; else null."""
+    t = plain_dashes(text)
+    return F.when(has(F.regexp_replace(t, f"(?i){NO_COURSE}", " "), COURSE), "course").when(has(t, DEVELOPER) & ~has(t, NO_CODE), "developer")
+
+
+def title_asks(title: Column) -> Column:
+    """Whether a title is a question: at most two words after its last question mark."""
+    after = F.regexp_extract(F.coalesce(title, F.lit("")), r"(?s)\?([^?]*)$", 1)
+    return F.contains(title, F.lit("?")) & (T.word_count(F.regexp_replace(after, r"[^\p{L}\p{N}_\s]", " ")) <= 2)
+
+
+def claim_hedged(title: Column) -> Column:
+    """Whether a title hedges its main claim, which ends at a dash, a colon or a sentence's end, or asks a real yes-or-no question."""
+    marked = F.regexp_replace(F.regexp_replace(title, r"([a-z]{4})[.!]\s+([A-Z])", "$1\u0001$2"), r"([a-z]{3}['’”\"])[.!]\s+([A-Z])", "$1\u0001$2")
+    claim = F.split_part(F.regexp_replace(marked, r"\s[—–-]\s|[—–]|:\s", "\u0001"), F.lit("\u0001"), F.lit(1))
+    claim = F.regexp_replace(claim, f"(?i){RELATIVE_HEDGE}", " ")
+    label = F.regexp_replace(F.regexp_replace(claim, r"(?i)\bopinion:", "\u0002:"), r"(?i)\bopinion\b", " ")
+    hedge = has(F.replace(label, F.lit("\u0002"), F.lit("opinion")), rf"\b(?:{SOURCE_HEDGES})\b")
+    before = F.regexp_extract(title, r"(?s)^(.*)\?", 1)
+    opened = has(title, OPEN_QUESTION) & ~has(title, r"^[^\p{L}\p{N}_]*what\s+if\b")
+    return F.coalesce(hedge | (title_asks(title) & ~before.rlike(r"[.!]\s+\S") & ~opened), F.lit(False))
+
+
+def hedge_dropped(title: Column, headline: Column) -> Column:
+    """Whether a headline states as a fact what its source's title only suggests."""
+    kept = F.contains(headline, F.lit("?")) | has(headline, rf"\b(?:{SOURCE_HEDGES}|{ATTRIBUTIONS})\b") | has(headline, OPEN_CLAIMS)
+    return F.coalesce((F.trim(title) != F.trim(headline)) & (F.trim(headline) != "") & claim_hedged(title) & ~kept, F.lit(False))

@@ -27,8 +27,6 @@ over_articles("p14_extraction_valid", "length(text) BETWEEN 500 AND 20000 AND le
 over_articles("p16_truncate_at_paragraph", "coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: list_sum(list_transform(string_split(text, chr(10))[1:i], lambda y: length(y))) <= 1200), chr(10)), '') AS kept",
               lambda: dict(kept=F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.aggregate(F.slice(F.split("text", "\n"), F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y)) <= 1200), "\n")))
 over_articles("p27_in_sitemap", "n_chars >= 500 AND published_at >= TIMESTAMP '2024-01-10 00:00:00' AND status = 'published' AS listed", lambda: dict(listed=(c("n_chars") >= 500) & (c("published_at") >= _at("2024-01-10 00:00:00")) & (c("status") == "published")))
-over_articles("p29_card_screen", "CASE WHEN length(title) > 300 THEN 'too long' WHEN contains(lower(text), 'token') THEN 'developer only' WHEN content_type = 'analysis' THEN 'not a product' ELSE 'fits' END AS screen",
-              lambda: dict(screen=F.when(F.length("title") > 300, "too long").when(F.contains(F.lower("text"), F.lit("token")), "developer only").when(c("content_type") == "analysis", "not a product").otherwise("fits")))
 over_articles("p30_skip_reason", "CASE WHEN points < 50 THEN 'no readers' WHEN importance < 3 THEN 'minor' END AS reason", lambda: dict(reason=F.when(c("points") < 50, "no readers").when(c("importance") < 3, "minor")))
 over_articles("p33_push_candidates", "importance >= 8 AND published_at >= TIMESTAMP '2024-01-25 00:00:00' AND status = 'published' AS candidate", lambda: dict(candidate=(c("importance") >= 8) & (c("published_at") >= _at("2024-01-25 00:00:00")) & (c("status") == "published")))
 over_articles("p42_moderation", "CASE WHEN contains(lower(title), 'http') THEN 'blocked word' WHEN id % 40 = 1 THEN 'pinned' ELSE status END AS status", lambda: dict(status=F.when(F.contains(F.lower("title"), F.lit("http")), "blocked word").when(c("id") % 40 == 1, "pinned").otherwise(c("status"))))

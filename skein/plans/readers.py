@@ -209,11 +209,6 @@ def w14(s: SparkSession, d: str) -> DataFrame:
     return _ranks(s, d).select("story_id", (F.col("view_rank") - F.col("dwell_rank")).alias("moved")).orderBy(F.abs("moved").desc(), "story_id").limit(4)
 
 
-@query("t01_ingest_validation", """SELECT event_id, CASE WHEN type = 'search' AND value > 95 THEN 'reject' WHEN user_id % 13 = 0 THEN 'drop' ELSE 'accept' END AS verdict FROM {ev}""")
-def t01(s: SparkSession, d: str) -> DataFrame:
-    return events(s, d).select("event_id", F.when((F.col("type") == "search") & (F.col("value") > 95), "reject").when(F.col("user_id") % 13 == 0, "drop").otherwise("accept").alias("verdict"))
-
-
 @query("t02_time_clamp", """SELECT event_id, CASE WHEN ts IS NULL OR ts > TIMESTAMP '2024-01-15 00:05:00' OR ts < TIMESTAMP '2024-01-14 00:00:00' THEN TIMESTAMP '2024-01-15 00:00:00' ELSE ts END AS at FROM {ev}""")
 def t02(s: SparkSession, d: str) -> DataFrame:
     now = F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")

@@ -11,6 +11,7 @@ from skein.functions import text as T
 from skein.functions import urls as U
 from skein.plans.text import over_articles
 from skein.registry import query
+from skein.sources import html
 
 c = F.col
 YEAR = 2024
@@ -91,6 +92,29 @@ def p22_held(s: SparkSession, d: str) -> DataFrame:
 over_articles("p23_headline_names", f"""len(list_filter(list_transform(regexp_extract_all(title, {q(R.NAME_WORD)}, 2), lambda w: regexp_extract(regexp_replace(w, '^[''’.-]+|[''’.-]+$', '', 'g'), '^[^''’]*', 0)),
   lambda w: w <> '' AND lower(w) NOT IN {listed(R.NOT_NAMES)} AND regexp_matches(w, '[A-Z]'))) > 0 AS named""", lambda: dict(named=R.names_someone(c("title"))))
 
+_TERM = "trim(name)"
+
+
+@query("p28_discovery_terms", f"SELECT DISTINCT name FROM {{ent}} WHERE length({_TERM}) BETWEEN 3 AND 39 AND NOT {hit(_TERM, R.GENERIC_TERM)} UNION SELECT DISTINCT title FROM {{art}} WHERE length(trim(title)) BETWEEN 3 AND 39 AND NOT {hit('trim(title)', R.GENERIC_TERM)}")
+def p28(s: SparkSession, d: str) -> DataFrame:
+    """Names and short titles that may be searched for."""
+    names = entities(s, d).select("name").unionByName(articles(s, d).select(c("title").alias("name")))
+    return names.where(R.discovery_term(c("name"))).distinct()
+
+
+_CARD = "regexp_replace(text, '[‐-―−]', '-', 'g')"
+over_articles("p29_card_screen", f"CASE WHEN {hit(f'regexp_replace({_CARD}, {q(chr(40) + '?i)' + R.NO_COURSE)}, {q(' ')}, {q('g')})', R.COURSE)} THEN 'course' WHEN {hit(_CARD, R.DEVELOPER)} AND NOT {hit(_CARD, R.NO_CODE)} THEN 'developer' END AS screen",
+              lambda: dict(screen=R.card_screen(c("text"))))
+
+_CLAIM = rf"""split_part(regexp_replace(regexp_replace(regexp_replace(said, '([a-z]{{4}})[.!]\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '([a-z]{{3}}[''’”"])[.!]\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '\s[—–-]\s|[—–]|:\s', chr(1), 'g'), chr(1), 1)"""
+_CLAIM = f"regexp_replace({_CLAIM}, {q('(?i)' + R.RELATIVE_HEDGE)}, ' ', 'g')"
+_CLAIM = rf"replace(regexp_replace(regexp_replace({_CLAIM}, '(?i)\bopinion:', chr(2) || ':', 'g'), '(?i)\bopinion\b', ' ', 'g'), chr(2), 'opinion')"
+_ASKS = rf"contains(said, '?') AND {n_words(rf"regexp_replace(regexp_extract(said, '(?s)\?([^?]*)$', 1), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')")} <= 2"
+_REAL = rf"{_ASKS} AND NOT regexp_matches(regexp_extract(said, '(?s)^(.*)\?', 1), '[.!]\s+\S') AND NOT ({hit('said', R.OPEN_QUESTION)} AND NOT {hit('said', r'^[^\p{L}\p{N}_]*what\s+if')})"
+_KEPT = f"contains(title, '?') OR {hit('title', rf'(?:{R.SOURCE_HEDGES}|{R.ATTRIBUTIONS})')} OR {hit('title', R.OPEN_CLAIMS)}"
+over_articles("p40_hedged_headline", f"({hit(_CLAIM, rf'(?:{R.SOURCE_HEDGES})')} OR {_REAL}) AS hedged, trim(said) <> trim(title) AND trim(title) <> '' AND ({hit(_CLAIM, rf'(?:{R.SOURCE_HEDGES})')} OR {_REAL}) AND NOT ({_KEPT}) AS dropped FROM (SELECT id, title, split_part(text, chr(10), 2) AS said FROM {{art}})",
+              lambda: dict(hedged=R.claim_hedged(F.split_part("text", F.lit("\n"), F.lit(2))), dropped=R.hedge_dropped(F.split_part("text", F.lit("\n"), F.lit(2)), c("title"))))
+
 # -- money and deals: the claim is that the company a later line begins with did a deal of the text's first amount --------------------------
 
 _SCALE = " ".join(f"WHEN {q(k)} THEN {v!r}" for k, v in R.SCALES.items())
@@ -239,6 +263,21 @@ def x10(s: SparkSession, d: str) -> DataFrame:
     return claims.select("id", "claim", bad.alias("bad")).select("id", F.array_join("bad", ",").alias("unsupported"), R.drop_sentences(c("claim"), c("bad")).alias("safe"))
 
 
+@query("t01_ingest_validation", r"""SELECT event_id, CASE WHEN NOT EXISTS (SELECT 1 FROM {art} a WHERE a.story_id = e.story_id) THEN 'unknown story' WHEN length(session) > 40 OR length(who) > 40 OR length(source) > 60 OR length(tz) > 40 OR length(detail) > 100 THEN 'payload too large'
+  WHEN type NOT IN ('view', 'click_source', 'dwell', 'follow', 'search') OR NOT (value BETWEEN 0 AND 3600) THEN 'policy' ELSE 'accept' END AS verdict, CASE WHEN type = 'search' THEN regexp_replace(regexp_replace(lower(trim(detail)), '\S+@\S+', '', 'g'), '[0-9]{5,}', '', 'g')[1:100] ELSE detail END AS detail
+  FROM (SELECT e.*, p.props AS detail FROM {ev} e JOIN events p ON p.event_id = e.event_id) e""")
+def t01(s: SparkSession, d: str) -> DataFrame:
+    """What an ingested event is: of a story that isn't known, too large, against the policy, or accepted; a search's detail loses addresses and numbers."""
+    raw = load(s, d, "events").select(c("event_id").alias("key"), c("props").alias("detail"))
+    known = articles(s, d).select(c("story_id").alias("known")).distinct()
+    e = events(s, d).join(raw, c("event_id") == c("key")).join(known, c("story_id") == c("known"), "left")
+    large = (F.length("session") > 40) | (F.length("who") > 40) | (F.length("source") > 60) | (F.length("tz") > 40) | (F.length("detail") > 100)
+    policy = ~c("type").isin("view", "click_source", "dwell", "follow", "search") | ~c("value").between(0, 3600)
+    verdict = F.when(c("known").isNull(), "unknown story").when(large, "payload too large").when(policy, "policy").otherwise("accept")
+    clean = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.trim("detail")), r"\S+@\S+", ""), "[0-9]{5,}", ""), 1, 100)
+    return e.select("event_id", verdict.alias("verdict"), F.when(c("type") == "search", clean).otherwise(c("detail")).alias("detail"))
+
+
 # -- URLs, pages and marks: of the tables' own columns ----------------------------------------------------------------------------------------
 
 
@@ -271,6 +310,10 @@ over_articles("f68_model_mark", r"split_part(split_part(coalesce(nullif(split_pa
               lambda: dict(provider=T.provider(F.coalesce(F.nullif(F.split_part("text", F.lit(" "), F.lit(2)), F.lit("")), F.lit("heuristic"))), ups=T.upgrades(F.trim("text"))))
 
 
+over_pages("s02_repair_xml", r"""md5(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?(<\?xml|<!DOCTYPE|<html\b|<rss\b|<feed\b|<rdf:RDF\b)', '\1'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '&([A-Za-z][A-Za-z0-9]{0,31}|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});', chr(1) || '\1;', 'g'), '&', '&amp;'), chr(1), '&')) AS repaired""",
+           lambda: dict(repaired=F.md5(html.repaired(c("html")))))
+
+
 @query("f63_json_from_prose", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, md5(props) AS raw FROM events")
 def f63(s: SparkSession, d: str) -> DataFrame:
     """The object inside a model's wordy answer, here an event's properties with words and fences around them."""

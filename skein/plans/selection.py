@@ -137,11 +137,6 @@ def p26(s: SparkSession, d: str) -> DataFrame:
     return topics.unionByName(days)
 
 
-@query("p28_discovery_terms", r"SELECT DISTINCT name FROM {ent} WHERE length(name) BETWEEN 3 AND 40 AND NOT regexp_matches(lower(name), '^(the|a|an) |\b(fund|bank|news|person)\b')")
-def p28(s: SparkSession, d: str) -> DataFrame:
-    return entities(s, d).where(F.length("name").between(3, 40) & ~F.lower("name").rlike(r"^(the|a|an) |\b(fund|bank|news|person)\b")).select("name").distinct()
-
-
 @query("p32_upgrade_eligibility", "SELECT story_id, count(DISTINCT domain) AS sources FROM {art} WHERE status = 'published' GROUP BY 1 HAVING count(DISTINCT domain) >= 2 AND max(importance) >= 6")
 def p32(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).where("status = 'published'").groupBy("story_id").agg(F.count_distinct("domain").alias("sources"), F.max("importance").alias("top")).where("sources >= 2 AND top >= 6").drop("top")

@@ -87,7 +87,6 @@ over_articles("p03_text_prefix", "substr(text, 1, 600) AS lead", lambda: dict(le
 over_articles("p17_page_date", "CASE WHEN published_at >= created_at - INTERVAL 1 HOUR THEN 'feed' ELSE 'page' END AS chosen", lambda: dict(chosen=F.when(c("published_at") >= c("created_at") - F.expr("INTERVAL '1' HOUR"), "feed").otherwise("page")))
 over_articles("p18_source_type", "CASE WHEN source_key IN ('src0', 'src5') THEN 'primary' WHEN source_type = 'community' THEN 'press' ELSE source_type END AS kind", lambda: dict(kind=F.when(c("source_key").isin("src0", "src5"), "primary").when(c("source_type") == "community", "press").otherwise(c("source_type"))))
 over_articles("p37_old_news", r"len(regexp_extract_all(title, '[\(\[](19|20)[0-9][0-9][\)\]]')) > 0 OR published_at < TIMESTAMP '2024-01-21 00:00:00' AS old", lambda: dict(old=c("title").rlike(r"[\(\[](19|20)[0-9][0-9][\)\]]") | (c("published_at") < F.expr("TIMESTAMP_NTZ '2024-01-21 00:00:00'"))))
-over_articles("p40_hedged_headline", r"regexp_matches(lower(text), '\b(may|might|could|was)\b') AND NOT regexp_matches(lower(title), '\b(may|might|could|was)\b') AS dropped", lambda: dict(dropped=F.lower("text").rlike(r"\b(may|might|could|was)\b") & ~F.lower("title").rlike(r"\b(may|might|could|was)\b")))
 over_articles("p43_tidy", "CASE WHEN status = 'rejected' THEN NULL ELSE title END AS title, CASE WHEN published_at < TIMESTAMP '2024-01-10 00:00:00' THEN NULL ELSE domain END AS domain", lambda: dict(title=F.when(c("status") != "rejected", c("title")), domain=F.when(c("published_at") >= F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'"), c("domain"))))
 over_articles("s24_rules_only_summary", r"""array_to_string(list_filter(string_split(regexp_replace(trim(text), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 20)[1:3], ' ') AS summary, 'heuristic' AS model""",
               lambda: dict(summary=F.array_join(F.slice(F.filter(T.sentences(c("text")), lambda x: F.length(x) > 20), 1, 3), " "), model=F.lit("heuristic")))
@@ -125,11 +124,6 @@ def p35(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).select("event_id", (c("type").isin("view", "dwell", "click_source", "follow") & c("value").between(0, 90)).alias("accepted"))
 
 
-@query("s02_repair_xml", r"SELECT page_id, length(regexp_replace(regexp_replace(html, '[\x01-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '^[^<]+', '')) AS n FROM pages")
-def s02(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "pages").select("page_id", F.length(F.regexp_replace(F.regexp_replace("html", r"[\x01-\x08\x0B\x0C\x0E-\x1F]", ""), "^[^<]+", "")).cast("long").alias("n"))
-
-
 @query("s10_html_scan", "SELECT page_id, url FROM pages WHERE url LIKE 'http%' AND octet_length(encode(html)) <= 6000000 AND html ILIKE '%<html%'")
 def s10(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "pages").where(c("url").like("http%") & (F.octet_length("html") <= 6_000_000) & c("html").ilike("%<html%")).select("page_id", "url")

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Elements whose text is no article text.
 SKIPPED = {"script", "style", "nav", "aside", "footer", "header", "noscript", "template"}
@@ -65,3 +66,14 @@ def extract(pages: DataFrame, least_words: int = 3) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "title": [t for t, _ in read], "text": ["\n".join(p) for p in kept], "n_paragraphs": [len(p) for p in kept], "n_words": [sum(len(x.split()) for x in p) for p in kept]})
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, text string, n_paragraphs long, n_words long")
+
+
+def repaired(markup: Column) -> Column:
+    """Markup for a strict parser: without what stands before its start and without forbidden control characters; bare ampersands are escaped, but not
+    in CDATA sections, where they may stand."""
+    begun = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?s)^.*?(<\?xml|<!DOCTYPE|<html\b|<rss\b|<feed\b|<rdf:RDF\b)", "$1")
+    clean = F.regexp_replace(begun, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    pieces = F.regexp_extract_all(clean, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|.[^<]*"), F.lit(0))
+    kept = lambda x: F.regexp_replace(x, r"&([A-Za-z][A-Za-z0-9]{0,31}|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});", "\u0001$1;")
+    fixed = lambda x: F.replace(F.replace(kept(x), F.lit("&"), F.lit("&amp;")), F.lit("\u0001"), F.lit("&"))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("<![CDATA["), x).otherwise(fixed(x))), "")

@@ -11,7 +11,7 @@ from skein.functions import text as T
 from skein.functions import urls as U
 from skein.functions import vectors
 from skein.plans.rules import grounded
-from skein.sources import files
+from skein.sources import files, html
 
 c = F.col
 
@@ -199,3 +199,25 @@ def test_relational_table(spark):
     spark.range(100).selectExpr("id AS k", "concat('n', id) AS n").write.format("jdbc").options(url=url, dbtable="T").mode("overwrite").save()
     got = files.jdbc(spark, url, "T", "k", 0, 100, 4)
     assert got.rdd.getNumPartitions() == 4 and got.where("k >= 98").count() == 2
+
+
+def test_hedges(spark):
+    cases = {
+        "Acme may ship a pen": True, "Acme ships a pen - and rivals may follow": False, "An order that could help rivals": False, "Is Acme dead?": True, "Why is Acme dead?": False, "What if Acme dies?": True,
+        "Acme did it. Now what?": False, "Opinion: Acme wins": False, "Acme has exposed debts. Fixing it could cost": False, None: False,
+    }
+    assert each(spark, cases, R.claim_hedged) == cases
+    dropped = {"Acme ships a pen": True, "Acme could ship a pen": False, "Study finds Acme ships": False, "Acme says it ships": False, "": False}
+    assert each(spark, dropped, lambda x: R.hedge_dropped(F.lit("Acme may ship a pen"), x)) == dropped
+
+
+def test_cards_and_terms(spark):
+    screens = {"A course on ads": "course", "Of course it works": None, "An SDK for GPUs": "developer", "An SDK without writing code": None, "Drafts posts": None, None: None}
+    assert each(spark, screens, R.card_screen) == screens
+    terms = {"OpenAI": True, "The Information": False, "EU AI Act": False, "xy": False, None: False}
+    assert each(spark, terms, R.discovery_term) == terms
+
+
+def test_repaired_markup(spark):
+    cases = {"junk <?xml version='1.0'?><a>R&D; &amp; &#38; b\x02&</a>": "<?xml version='1.0'?><a>R&D; &amp; &#38; b&amp;</a>", "<rss><![CDATA[a & b]]> c & d</rss>": "<rss><![CDATA[a & b]]> c &amp; d</rss>", "plain & simple": "plain &amp; simple", None: ""}
+    assert each(spark, cases, html.repaired) == cases
