@@ -69,7 +69,12 @@ def x08(s: SparkSession, d: str) -> DataFrame:
     return O.predict(articles(s, d), _features(), weights, mean).select("id", F.round("predicted", 6).alias("predicted"))
 
 
-@query("f17_hashed_embedding")
+_F17 = """SELECT id, slot, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM (SELECT id, h % 512 AS slot, sum(CASE WHEN (h // 512) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM (
+  SELECT id, ('0x' || substr(md5(g), 25, 8))::BIGINT AS h FROM (SELECT id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) ELSE w END)) AS g FROM (
+    SELECT id, regexp_extract_all(lower(title), '[a-z0-9][a-z0-9''+.-]*') AS w FROM {art}))) GROUP BY 1, 2) WHERE x <> 0"""
+
+
+@query("f17_hashed_embedding", _F17)
 def f17(s: SparkSession, d: str) -> DataFrame:
     """Signed, hashed counts of words and word pairs at length one, as (id, slot, x): 512 slots, only those used."""
     words = T.tokens(c("title"))

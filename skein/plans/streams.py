@@ -26,9 +26,9 @@ def t09(s: SparkSession, d: str) -> DataFrame:
     return R.drained(R.sliding(R.event_stream(s, d), "24 hours", "6 hours"), "t09")
 
 
-@query("t10_first_views_stream", "SELECT DISTINCT user_id, event_type FROM events WHERE event_type = 'view'")
+@query("t10_first_views_stream", "SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events WHERE event_type = 'view'")
 def t10(s: SparkSession, d: str) -> DataFrame:
-    return R.drained(R.first_views(R.event_stream(s, d)), "t10", "append").select("user_id", "event_type")
+    return R.drained(R.first_views(R.event_stream(s, d)), "t10", "append").select("user_id", "day", "event_type")
 
 
 @query("t13_session_stream", """SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS start, user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g

@@ -45,25 +45,35 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 
 def first_views(events: DataFrame) -> DataFrame:
-    """The first event of a user and type that the stream meets; the state is one row a user and type."""
-    return events.where("event_type = 'view'").select("user_id", "event_type", "ts").dropDuplicates(["user_id", "event_type"])
+    """The first view of a visitor, who is a user on a UTC day, that the stream meets; the state is one row a visitor."""
+    return events.where("event_type = 'view'").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "ts").dropDuplicates(["user_id", "day"])
 
 
-def rate_limited(events: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
-    """(user_id, event_id, stored): an event is stored if fewer than `most` stored ones of its user lie in the seconds before it. The state is
-    the last `most` stored times; events of a batch are taken in time order."""
+def rate_limited(events: DataFrame, most: int = 30, seconds: int = 60, idle: str | None = None) -> DataFrame:
+    """(user_id, event_id, stored): an event is stored if fewer than `most` stored ones of its user lie in the seconds before it, itself left out. Events
+    of a batch are taken in time order; one that comes late is judged by what lies before it. The state is the stored times of the last three periods;
+    of a stream that runs on it goes when a user has been idle for so long by the clock. A stream that is to end when its input does has no such clock."""
+    period = seconds * 1_000_000
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         stored = []
-        for t in rows["ts"].astype("int64") // 1000 if rows["ts"].dtype.kind != "M" else rows["ts"].astype("datetime64[us]").astype("int64"):
-            recent = [x for x in times if t - x < seconds * 1_000_000]
-            stored.append(len(recent) < most)
-            times = (recent + [int(t)])[-most:] if stored[-1] else recent
-        state.update((times,))
+        for t in rows["us"].tolist():
+            stored.append(sum(0 <= t - x < period for x in times) < most)
+            if stored[-1]:
+                times.append(t)
+        newest = max(times, default=0)
+        state.update(([x for x in times if x > newest - 3 * period],))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "stored": stored})
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, stored boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, stored boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def anchored(events: DataFrame, seconds: int) -> DataFrame:

@@ -1,0 +1,154 @@
+"""Queries without a SQL twin against plain loops over the whole tables."""
+
+import difflib
+import re
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+import __spark_entry__  # noqa: F401  registers the queries
+from skein import registry
+from skein.bind import articles, deals, entities
+from skein.streaming import runs
+
+
+def near(a, b, tolerance=0.25):
+    return abs(a - b) <= tolerance * max(a, b)
+
+
+def by_company(spark, sf):
+    out = defaultdict(list)
+    for r in sorted(deals(spark, sf).collect(), key=lambda r: (r.day, r.deal_id)):
+        out[r.company].append(r)
+    return out
+
+
+def plain_folds(spark, sf):
+    fold = {}
+    for rows in by_company(spark, sf).values():
+        heads = []
+        for r in rows:
+            hit = next((h for h in reversed(heads) if near(h.amount, r.amount) and (r.day - h.day).days <= 30), None)
+            if hit is None:
+                heads.append(hit := r)
+            fold[r.deal_id] = hit.deal_id
+    return fold
+
+
+def test_folds(spark, sf):
+    want = plain_folds(spark, sf)
+    assert {r.deal_id: r.fold for r in registry.QUERIES["x05_deal_folding"](spark, sf).collect()} == want
+    sizes = pd.Series(want).value_counts().to_dict()
+    assert {r.fold: r.n for r in registry.QUERIES["a33_folded_deals"](spark, sf).collect()} == sizes
+
+
+def test_majorities(spark, sf):
+    want = {}
+    for company, rows in by_company(spark, sf).items():
+        clusters = []
+        for r in rows:
+            hit = next((x for x in clusters if near(x[0], r.amount)), None)
+            if hit:
+                hit[1] += 1
+            else:
+                clusters.append([r.amount, 1])
+        want[company] = tuple(max(clusters, key=lambda x: x[1]))
+    assert {r.company: (r.amount, r.n) for r in registry.QUERIES["a31_majority_amounts"](spark, sf).collect()} == want
+
+
+def test_deals_without_amounts(spark):
+    from skein.operators import ordered
+
+    rows = [(1, "a", 10.0, "2024-01-01"), (2, "a", None, "2024-01-02"), (3, "a", 11.0, None), (4, "a", 11.0, "2024-01-20"), (5, None, 11.0, "2024-01-20")]
+    df = spark.createDataFrame(rows, "deal_id long, company string, amount double, day string").withColumn("day", F.to_date("day"))
+    assert {r.deal_id: r.fold for r in ordered.fold_deals(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5}
+    assert ordered.fold_deals(df.limit(0)).count() == 0 and ordered.majority_amounts(df.limit(0)).count() == 0
+
+
+def test_sequence_ratios(spark, sf):
+    titles = {r.id: r.title for r in articles(spark, sf).select("id", "title").collect()}
+    words = {i: set(re.findall(r"[a-z0-9][a-z0-9'+.-]*", t.lower())) for i, t in titles.items()}
+    want = {}
+    for i, t in titles.items():
+        if i + 1 in titles and words[i] | words[i + 1] and len(words[i] & words[i + 1]) / len(words[i] | words[i + 1]) >= 0.4:
+            want[i] = round(difflib.SequenceMatcher(None, t, titles[i + 1]).ratio(), 6)
+    assert {r.id: r.ratio for r in registry.QUERIES["f21_sequence_ratio"](spark, sf).collect()} == want
+
+
+def vectors(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    return [(r.vec_id, r.label, np.array(r.embedding, float) / np.linalg.norm(np.array(r.embedding, float))) for r in rows]
+
+
+def test_clusters(spark, sf):
+    want, blocks = {}, defaultdict(list)
+    for key, label, x in vectors(spark, sf):
+        clusters = blocks[label, key // 720]
+        best, best_near = None, 0.3
+        for k in clusters:
+            mean = k["sum"] / np.linalg.norm(k["sum"])
+            if mean @ x >= best_near and k["lead"] @ x >= 0.27 and k["n"] < 80 and (best is None or mean @ x > best_near):
+                best, best_near = k, mean @ x
+        if best is None:
+            clusters.append(best := {"sum": np.zeros_like(x), "lead": x, "n": 0, "key": key})
+        if best["n"] < 40:
+            best["sum"] = best["sum"] + x
+        best["n"] += 1
+        want[key] = best["key"]
+    assert {r.vec_id: r.cluster for r in registry.QUERIES["x01_online_clusters"](spark, sf).collect()} == want
+
+
+def test_threads(spark, sf):
+    names, specific = defaultdict(set), defaultdict(set)
+    for r in entities(spark, sf).collect():
+        names[r.article_id].add(r.name.lower())
+        if r.kind == "model":
+            specific[r.article_id].add(r.name.lower())
+    want, blocks = {}, defaultdict(list)
+    for key, _, x in vectors(spark, sf):
+        if key not in names:
+            continue
+        best, best_near = None, -2.0
+        for t in blocks[key // 720]:
+            sim = t["v"] @ x
+            if t["names"] & names[key] and (sim >= 0.35 or sim >= 0.2 and t["specific"] & specific[key]) and t["n"] < 10 and sim > best_near:
+                best, best_near = t, sim
+        if best is None:
+            blocks[key // 720].append(best := {"id": key, "v": x, "names": set(), "specific": set(), "n": 0})
+        best["names"] |= names[key]
+        best["specific"] |= specific[key]
+        best["n"] += 1
+        want[key] = best["id"]
+    assert {r.story_id: r.thread for r in registry.QUERIES["x02_thread_assignment"](spark, sf).collect()} == want
+
+
+def test_null_vectors(spark):
+    from skein.operators import ordered
+
+    df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, None), (1, 3, [None, 1.0]), (1, 4, [1.0, 0.1])], "b long, k long, v array<double>")
+    assert {r.k: r.cluster for r in ordered.greedy_clusters(df, "b", "k", "v", 0.3).collect()} == {1: 1, 2: None, 3: None, 4: 1}
+    told = spark.createDataFrame([(1, 1, ["a"], ["a"], [1.0, 0.0]), (1, 2, None, None, [1.0, 0.0]), (1, 3, ["a"], ["a"], None)], "b long, story_id long, names array<string>, specific array<string>, v array<double>")
+    assert {r.story_id: r.thread for r in ordered.assign_threads(told, "b", 0.3, 0.2).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_rate_limiter(spark, sf):
+    want, times = {}, defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{sf}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        recent = [x for x in times[r.user_id] if (r.ts - x).total_seconds() < 6 * 3600]
+        want[r.event_id] = len(recent) < 3
+        if want[r.event_id]:
+            times[r.user_id].append(r.ts)
+    assert {r.event_id: r.stored for r in registry.QUERIES["t03_rate_limiter_stream"](spark, sf).collect()} == want and not all(want.values())
+
+
+def test_streams_of_anchored_runs(spark, sf, tmp_path):
+    """Runs over files in any order of time are those of the batch form."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").toPandas()
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(10):
+        rows[rows["event_id"] % 10 == 9 - i].to_parquet(tmp_path / "events.parquet" / f"part-{i}.parquet", index=False, coerce_timestamps="us")
+    one = lambda name, d: sorted(map(tuple, registry.QUERIES[name](spark, d).select("user_id", "first_us", "n").collect()))
+    assert one("t12_anchored_runs_stream", str(tmp_path)) == one("x06_anchored_runs", sf)
+    assert runs.event_stream(spark, str(tmp_path)).isStreaming
