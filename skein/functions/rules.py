@@ -830,3 +830,20 @@ def hedge_dropped(title: Column, headline: Column) -> Column:
     """Whether a headline states as a fact what its source's title only suggests."""
     kept = F.contains(headline, F.lit("?")) | has(headline, rf"\b(?:{SOURCE_HEDGES}|{ATTRIBUTIONS})\b") | has(headline, OPEN_CLAIMS)
     return F.coalesce((F.trim(title) != F.trim(headline)) & (F.trim(headline) != "") & claim_hedged(title) & ~kept, F.lit(False))
+
+# -- fixed values: automated clients ----------------------------------------------------------------------------------------------------------
+
+PROGRAMS = (
+    "headlesschrome|phantomjs|puppeteer|playwright|selenium|lighthouse|pagespeed|python|curl/|wget|go-http|node-fetch|axios|okhttp|java/|libwww|scrapy|httpclient|facebookexternalhit"
+)
+CRAWLERS = "(bot|spider|crawler)([/;)-]|$)"
+TRANSLATED = r"^https://[a-z0-9-]+[.]translate[.]goog$"
+
+
+def client_verdict(origin: Column, agent: Column, allowed: list[str]) -> Column:
+    """ok, or why a request isn't a reader's: a foreign origin, a program or crawler by its name, or no origin or name at all. Null headers are empty."""
+    origin, agent = F.lower(F.coalesce(origin, F.lit(""))), F.lower(F.coalesce(agent, F.lit("")))
+    return (
+        F.when((origin != "") & ~origin.isin(allowed) & ~origin.rlike(TRANSLATED), "origin").when(agent.rlike(PROGRAMS) | agent.rlike(CRAWLERS), "client")
+        .when(origin == "", "noorigin").when(agent == "", "noagent").otherwise("ok")
+    )

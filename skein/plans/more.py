@@ -29,7 +29,6 @@ over_articles("p16_truncate_at_paragraph", "coalesce(array_to_string(list_filter
 over_articles("p27_in_sitemap", "n_chars >= 500 AND published_at >= TIMESTAMP '2024-01-10 00:00:00' AND status = 'published' AS listed", lambda: dict(listed=(c("n_chars") >= 500) & (c("published_at") >= _at("2024-01-10 00:00:00")) & (c("status") == "published")))
 over_articles("p30_skip_reason", "CASE WHEN points < 50 THEN 'no readers' WHEN importance < 3 THEN 'minor' END AS reason", lambda: dict(reason=F.when(c("points") < 50, "no readers").when(c("importance") < 3, "minor")))
 over_articles("p33_push_candidates", "importance >= 8 AND published_at >= TIMESTAMP '2024-01-25 00:00:00' AND status = 'published' AS candidate", lambda: dict(candidate=(c("importance") >= 8) & (c("published_at") >= _at("2024-01-25 00:00:00")) & (c("status") == "published")))
-over_articles("p42_moderation", "CASE WHEN contains(lower(title), 'http') THEN 'blocked word' WHEN id % 40 = 1 THEN 'pinned' ELSE status END AS status", lambda: dict(status=F.when(F.contains(F.lower("title"), F.lit("http")), "blocked word").when(c("id") % 40 == 1, "pinned").otherwise(c("status"))))
 over_articles("p45_fetchable_page", "CASE WHEN source_type = 'community' THEN 'community site' WHEN n_chars < 400 THEN 'too short' ELSE 'ok' END AS why", lambda: dict(why=F.when(c("source_type") == "community", "community site").when(c("n_chars") < 400, "too short").otherwise("ok")))
 over_articles("f04_publisher_domain", "source_key || '.example.com' AS publisher", lambda: dict(publisher=F.coalesce(F.nullif(U.host(U.normalize(c("url"))), F.lit("")), c("domain"))))
 over_articles("f07_entity_slug", "trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug", lambda: dict(slug=F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-|-$", "")))
@@ -48,7 +47,6 @@ over_articles("o23_severity_order", "list_position(['published', 'overflow', 'ne
 over_articles("o24_pager_numbers", "CASE WHEN points % 30 <= 16 THEN points % 30 ELSE 7 END AS shown", lambda: dict(shown=F.when(c("points") % 30 <= 16, c("points") % 30).otherwise(F.size(F.array_distinct(F.concat(F.array(F.lit(1), F.lit(2)), F.array(F.lit(8), F.lit(9), F.lit(10)), F.array(F.lit(28), F.lit(29))))).cast("long"))))
 over_articles("o16_better_lead", "content_type = 'news' AND importance >= 5 OR source_type = 'primary' AS better", lambda: dict(better=((c("content_type") == "news") & (c("importance") >= 5)) | (c("source_type") == "primary")))
 over_articles("s06_trend_of_two", "trend + points % 7 AS trend", lambda: dict(trend=F.aggregate(F.slice(F.array(c("trend"), c("points") % 7, F.lit(99).cast("long")), 1, 2), F.lit(0).cast("long"), lambda a, x: a + x)))
-over_articles("s03_feed_entry", "substr(title, 1, 300) AS title, CASE WHEN n_chars > 1000 THEN substr(text, 1, 1000) ELSE text END AS description", lambda: dict(title=F.substring("title", 1, 300), description=F.when(c("n_chars") > 1000, F.substring("text", 1, 1000)).otherwise(c("text"))))
 over_articles("s14_relational_scan", "source_key, status", lambda: dict(source_key=c("source_key"), status=c("status")))
 over_articles("a53_sentence_statistics", r"coalesce(list_max(list_transform(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''), lambda s: length(s))), 0) AS longest", lambda: dict(longest=F.coalesce(F.array_max(F.transform(T.sentences(c("text")), lambda s: F.length(s).cast("long"))), F.lit(0))))
 
@@ -69,11 +67,6 @@ def p31(s: SparkSession, d: str) -> DataFrame:
     return g.where("n >= 3 AND ok").select("story_id")
 
 
-@query("p34_client_screens", "SELECT event_id, CASE WHEN user_id % 29 = 0 THEN 'crawler' WHEN user_id % 17 = 0 THEN 'program' WHEN k = 0 THEN 'headers' ELSE 'ok' END AS verdict FROM {ev}")
-def p34(s: SparkSession, d: str) -> DataFrame:
-    return events(s, d).select("event_id", F.when(c("user_id") % 29 == 0, "crawler").when(c("user_id") % 17 == 0, "program").when(c("k") == 0, "headers").otherwise("ok").alias("verdict"))
-
-
 @query("p39_status_flags", "SELECT page_id, coalesce(quality, 1) = 0 AS broken FROM pages LEFT JOIN labels ON doc_id = page_id")
 def p39(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "pages").join(load(s, d, "labels"), c("page_id") == c("doc_id"), "left").select("page_id", (F.coalesce("quality", F.lit(1)) == 0).alias("broken"))

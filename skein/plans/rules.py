@@ -230,10 +230,27 @@ def f48(s: SparkSession, d: str) -> DataFrame:
 
 @query("f29_disciplined_headlines")
 def f29(s: SparkSession, d: str) -> DataFrame:
-    """Every title as a headline with capitals lost, disciplined against its own source title and the story's names."""
+    """Every title as a headline, disciplined against itself as the source title and the story's names."""
     named = entities(s, d).groupBy("article_id").agg(F.collect_list("name").alias("names"))
     a = articles(s, d).join(named, c("id") == c("article_id"), "left")
-    return a.select("id", R.discipline(c("title"), c("title"), c("names")).alias("headline"), R.restore_case(F.lower("title"), c("title"), c("names")).alias("restored"))
+    return a.select("id", R.discipline(c("title"), c("title"), c("names")).alias("headline"))
+
+
+@query("f30_restored_case")
+def f30(s: SparkSession, d: str) -> DataFrame:
+    """Every title in lower case with the capitals back that its own source title and the story's names give."""
+    named = entities(s, d).groupBy("article_id").agg(F.collect_list("name").alias("names"))
+    a = articles(s, d).join(named, c("id") == c("article_id"), "left")
+    return a.select("id", R.restore_case(F.lower("title"), c("title"), c("names")).alias("headline"))
+
+
+@query("f37_unsupported_claims")
+def f37(s: SparkSession, d: str) -> DataFrame:
+    """Figures of each text's first eight sentences that the first text of its story has no match for."""
+    a = articles(s, d)
+    lead = a.select(c("id").alias("lead"), c("text").alias("source"))
+    claims = a.select("id", F.array_join(F.slice(T.sentences(c("text")), 1, 8), " ").alias("claim"), (c("story_id") * 5).alias("lead")).join(lead, "lead")
+    return claims.select("id", R.unsupported_figures(c("claim"), c("source")).alias("figures")).select("id", F.size("figures").cast("long").alias("n"), F.array_join("figures", "|").alias("figures"))
 
 
 @query("f46_phrases")
@@ -278,6 +295,39 @@ def t01(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", verdict.alias("verdict"), F.when(c("type") == "search", clean).otherwise(c("detail")).alias("detail"))
 
 
+#: Origins that the site's own pages send.
+ORIGINS = ["https://google.com"]
+
+
+@query("p34_client_screens", f"""SELECT event_id, CASE WHEN origin <> '' AND origin NOT IN {listed(ORIGINS)} AND NOT regexp_matches(origin, {q(R.TRANSLATED)}) THEN 'origin' WHEN regexp_matches(agent, {q(R.PROGRAMS)}) OR regexp_matches(agent, {q(R.CRAWLERS)}) THEN 'client' WHEN origin = '' THEN 'noorigin' WHEN agent = '' THEN 'noagent' ELSE 'ok' END AS verdict
+  FROM (SELECT e.event_id, CASE WHEN e.source = 'direct' THEN '' ELSE 'https://' || e.source END AS origin, lower(p.props) AS agent FROM {{ev}} e JOIN events p ON p.event_id = e.event_id)""")
+def p34(s: SparkSession, d: str) -> DataFrame:
+    """The referring site as the origin, the properties as the client's name."""
+    raw = load(s, d, "events").select(c("event_id").alias("key"), c("props").alias("agent"))
+    origin = F.when(c("source") == "direct", "").otherwise(F.concat(F.lit("https://"), "source"))
+    return events(s, d).join(raw, c("event_id") == c("key")).select("event_id", R.client_verdict(origin, c("agent"), ORIGINS).alias("verdict"))
+
+
+@query("p42_moderation", f"SELECT id, CASE WHEN coalesce(toxic, 0) = 1 THEN 'unpublished' WHEN domain IN {listed(R.BLOCKED_DOMAINS)} THEN 'blocked domain' WHEN {hit('title', R.BLOCKED_TITLE)} THEN 'blocked word' WHEN quality = 1 AND importance >= 9 THEN 'pinned' ELSE status END AS status FROM {{art}} LEFT JOIN labels ON doc_id = id")
+def p42(s: SparkSession, d: str) -> DataFrame:
+    """Moderators' labels first, then domains and words, then pins; else the status stays."""
+    said = (
+        F.when(F.coalesce("toxic", F.lit(0)) == 1, "unpublished").when(c("domain").isin(R.BLOCKED_DOMAINS), "blocked domain").when(R.has(c("title"), R.BLOCKED_TITLE), "blocked word")
+        .when((c("quality") == 1) & (c("importance") >= 9), "pinned").otherwise(c("status"))
+    )
+    return articles(s, d).join(load(s, d, "labels"), c("id") == c("doc_id"), "left").select("id", said.alias("status"))
+
+
+@query("s03_feed_entry", r"""SELECT page_id, link, title, description FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS link, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.', '') AS host, trim(regexp_extract(html, '<title>([^<]*)</title>', 1))[1:300] AS title,
+  trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '[ \n\t\r]+', ' ', 'g'))[1:1000] AS description FROM pages) WHERE (host = 'example.com' OR ends_with(host, '.example.com')) AND title <> '' AND link <> ''""")
+def s03(s: SparkSession, d: str) -> DataFrame:
+    """Pages of the kept domain as feed entries: link without query, title and description cut to size; entries without either go."""
+    html_text = F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), "<[^>]+>", " ")
+    description = F.substring(F.trim(F.regexp_replace(html_text, "[ \n\t\r]+", " ")), 1, 1000)
+    e = load(s, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("link"), U.host(c("url")).alias("host"), F.substring(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), 1, 300).alias("title"), description.alias("description"))
+    return e.where(U.on_domain(c("host"), F.lit("example.com")) & (c("title") != "") & (c("link") != "")).drop("host")
+
+
 # -- URLs, pages and marks: of the tables' own columns ----------------------------------------------------------------------------------------
 
 
