@@ -201,8 +201,8 @@ over_articles("f22_word_overlap", f"round(CASE WHEN len(x) = 0 OR len(y) = 0 THE
               lambda: dict(overlap=F.round(R.overlap(c("title"), c("text")), 6)))
 
 #: Words that say nothing of a step, beside the general ones.
-STEP_FILLER = """click select choose open press turn make use using your then next page button menu option options setting settings start sign create enter type add text field section tool into onto each every
-    some any""".split()
+STEP_FILLER = """open click select choose pick then next first go tap press enter type paste copy use using make sure button menu option options page screen your want need like once done start find
+    turn text field section tool into onto each every some any""".split()
 _CONTENT = lambda t: f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({t}), '[a-z][a-z0-9''+-]*'), lambda w: length(w) >= 4 AND w NOT IN {listed(T.STOP + STEP_FILLER)}), lambda w: CASE WHEN ends_with(w, 'ing') AND length(w) >= 7 THEN w[1:length(w) - 3] WHEN ends_with(w, 'ed') AND length(w) >= 6 THEN w[1:length(w) - 2] WHEN ends_with(w, 'es') AND length(w) >= 6 THEN w[1:length(w) - 2] WHEN ends_with(w, 's') AND length(w) >= 5 THEN w[1:length(w) - 1] ELSE w END))"
 
 
