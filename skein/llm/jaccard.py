@@ -8,9 +8,9 @@ linked sets is missed.
 
 Equal sets are one class from the start. A word's bucket is first reduced within each map-side run of rows and then by bucket: members are
 tied to a hub (the smallest class there), so a bucket of k classes makes k - 1 candidates. After these are verified and connected, classes
-outside a bucket's largest component are compared with a member of it. Classes of buckets that still hold two components are then keyed by their
-rarest shingles, one of which any two that link share, so that a sketch word that a template fills doesn't make all pairs under it; no link that
-could join two components is lost. Pairs are screened by sizes and parity bits before sets are read.
+outside a bucket's largest component are compared with a member of it. Of buckets that still hold two components, those of SMALL classes at most
+are compared in full; classes of larger ones are keyed by their rarest shingles, one of which any two that link share, so that a sketch word that
+a template fills doesn't make all pairs under it. No link that could join two components is lost. Pairs are screened by sizes and parity bits before sets are read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SPARE, BAND = 1, 1.4
 RUN_KEYS, BUCKET_BYTES = 1 << 18, 8 << 20
 
 
+#: Classes of a bucket that are compared with each other: so many at most, else they are keyed by rare shingles.
+SMALL = 32
 #: Counters of the table that tells rare shingles from frequent ones: a bounded broadcast.
 SLOTS = 1 << 18
 #: 64-bit words of the parity bits that screen candidates.
@@ -311,8 +313,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         under = shared.join(parts, shared.lo == parts.id, "left").select("key", "lo", F.coalesce("component", "lo").alias("part")).distinct()
         under = settle(under, f"{label}-under")
         counted = under.groupBy("key", "part").agg(F.count("*").alias("m"), F.min_by("lo", F.xxhash64("key", "lo")).alias("pick"))
-        counted = counted.groupBy("key").agg(F.max(F.struct("m", "part", "pick")).alias("most"), F.count("*").alias("parts"))
-        open_keys = settle(counted.where("parts > 1").select("key", F.col("most.part").alias("main"), F.col("most.pick").alias("pick")), f"{label}-open")
+        counted = counted.groupBy("key").agg(F.max(F.struct("m", "part", "pick")).alias("most"), F.count("*").alias("parts"), F.sum("m").alias("size"))
+        open_keys = settle(counted.where("parts > 1").select("key", F.col("most.part").alias("main"), F.col("most.pick").alias("pick"), "size"), f"{label}-open")
         if open_keys.isEmpty():
             break
         rest = under.join(open_keys, "key")
@@ -320,8 +322,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
             # under each key one member of the largest component, another one for every key, stands for it
             pairs = rest.where("part <> main").select(F.least("lo", "pick").alias("a"), F.greatest("lo", "pick").alias("b")).distinct()
         else:
-            pairs = rare_pairs(sets, settle(rest.select("lo", "part").distinct(), f"{label}-rest"), num, den, label)
+            pairs = rare_pairs(sets, settle(rest.where(F.col("size") > SMALL).select("lo", "part").distinct(), f"{label}-rest"), num, den, label)
         pairs = pairs.join(renamed(bits, "a"), "a").join(renamed(bits, "b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
+        if final:
+            few = settle(rest.where(F.col("size") <= SMALL).select("key", "lo", "part", "main").join(bits, "lo"), f"{label}-few")
+            odd = renamed(few.where("part <> main").withColumnRenamed("key", "k"), "u").withColumnRenamed("part", "pu")
+            other = renamed(few.drop("main"), "v").withColumnRenamed("part", "pv")
+            near = odd.join(other, (F.col("k") == F.col("key")) & F.expr("pu <> pv and (pv = main or u < v)") & may_link("u", "v", num, den))
+            pairs = pairs.union(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct()
         new = settle(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{label}-new")
         more = settle(verified(new, sets, num, den), f"{label}-more")
         if not more.isEmpty():

@@ -106,8 +106,10 @@ def test_hot_near_copies(spark):
     assert got == brute_components(rows, 4, 85, 100)
 
 
-def test_templates_with_different_fillings(spark):
+@pytest.mark.parametrize("small", [1, 32])
+def test_templates_with_different_fillings(spark, monkeypatch, small):
     """Texts of one template whose fillings are too large for a link share sketch words; near copies of some of them must still be found."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
     rnd = random.Random(8)
     template = [f"t{i}" for i in range(160)]
     rows = []
