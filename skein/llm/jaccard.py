@@ -226,7 +226,10 @@ def rare_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, label: s
     """(a, b): pairs of classes (lo, part) of different parts that may link, from their sets (lo, n, hashes). In one order of all shingles, linked sets
     share one among the first n - ceil(n * num / den) + 1 of either. The order is by how many classes hold a shingle, as far as a table of SLOTS
     counters tells, rarest first: what many texts share, such as a template, then is no key, and few classes meet under one."""
-    held = sets.join(classes, "lo").select("lo", "part", "n", "hashes")
+    slot = F.pmod(F.xxhash64("lo"), F.lit(SLOTS))
+    slots = classes.select(slot.alias("slot")).distinct()  # SLOTS rows at most: few other sets come with those asked for, while these are few
+    some = sets.select("lo", "n", "hashes").join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
+    held = settle(some.join(classes, "lo").select("lo", "part", "n", "hashes"), f"{label}-held")
     mask = np.uint64(SLOTS - 1)
 
     def hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
