@@ -150,3 +150,20 @@ def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int
             step = hashes[np.minimum(at + i, len(hashes) - 1)] if len(hashes) else np.zeros(0, np.uint64)
             out = np.where(i < left, mix(out * _B + step), out)
     return out, row
+
+
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of set flags over flat bytes; rows never share a run."""
+    if not len(solid):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    edge = np.zeros(len(solid) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(solid & (~np.concatenate([[False], solid[:-1]]) | edge[:-1]))
+    ends = np.flatnonzero(solid & (~np.concatenate([solid[1:], [False]]) | edge[1:])) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]
