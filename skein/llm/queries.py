@@ -87,6 +87,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), label="op12")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.search import search
 
@@ -146,6 +152,36 @@ SELECT * FROM ranked WHERE rank <= 50
 """
 
 
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, size, phrase, count(*) AS a FROM (
+    SELECT lang, size, w[i:i + size - 1] AS phrase FROM (
+      SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM words, (VALUES (1), (2), (3), (4)) sizes(size) WHERE len(w) >= size))
+  GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT g.lang, g.size, g.phrase, g.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * g.a) // (x.a + y.a))::BIGINT AS score
+  FROM grams g, (VALUES (1), (2), (3)) ks(k), grams x, grams y
+  WHERE k < g.size AND x.lang = g.lang AND x.phrase = g.phrase[1:k] AND y.lang = g.lang AND y.phrase = g.phrase[k + 1:g.size]),
+scored AS (SELECT lang, size, phrase, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY ALL),
+covered AS (
+  SELECT DISTINCT s.lang, s.phrase FROM scored s JOIN (
+    SELECT lang, a, phrase[1:size - 1] AS part FROM grams WHERE size > 2 UNION ALL SELECT lang, a, phrase[2:size] FROM grams WHERE size > 2
+    UNION ALL SELECT lang, a, phrase[1:2] FROM grams WHERE size = 4 UNION ALL SELECT lang, a, phrase[2:3] FROM grams WHERE size = 4
+    UNION ALL SELECT lang, a, phrase[3:4] FROM grams WHERE size = 4) b ON b.lang = s.lang AND b.part = s.phrase AND 100 * b.a >= 80 * s.a),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(phrase, ' '))) AS rank,
+         array_to_string(phrase, ' ') AS phrase, a, l, r, n, score
+  FROM scored ANTI JOIN covered USING (lang, phrase) JOIN totals USING (lang))
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op3's SQL has the rules only: pages of the test tables carry no canonical link or redirect; tests cover those by brute force."""
-    return {"op2_chat_formatting": _CHAT_SQL, "op3_url_filters": _URL_SQL, "op13_lexical_search": _SEARCH_SQL}
+    return {"op2_chat_formatting": _CHAT_SQL, "op3_url_filters": _URL_SQL, "op12_phrase_collocations": _PHRASE_SQL, "op13_lexical_search": _SEARCH_SQL}
