@@ -87,6 +87,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"), label="op11")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.phrases import collocations
 
@@ -164,10 +170,10 @@ grams AS (
     SELECT lang, size, w[i:i + size - 1] AS phrase FROM (
       SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM words, (VALUES (1), (2), (3), (4)) sizes(size) WHERE len(w) >= size))
   GROUP BY ALL HAVING count(*) >= 30),
+parts AS (SELECT lang, size, phrase, a, k, phrase[1:k] AS head, phrase[k + 1:size] AS tail FROM grams, (VALUES (1), (2), (3)) ks(k) WHERE k < size),
 cuts AS (
-  SELECT g.lang, g.size, g.phrase, g.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * g.a) // (x.a + y.a))::BIGINT AS score
-  FROM grams g, (VALUES (1), (2), (3)) ks(k), grams x, grams y
-  WHERE k < g.size AND x.lang = g.lang AND x.phrase = g.phrase[1:k] AND y.lang = g.lang AND y.phrase = g.phrase[k + 1:g.size]),
+  SELECT p.lang, p.size, p.phrase, p.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * p.a) // (x.a + y.a))::BIGINT AS score
+  FROM parts p JOIN grams x ON x.lang = p.lang AND x.phrase = p.head JOIN grams y ON y.lang = p.lang AND y.phrase = p.tail),
 scored AS (SELECT lang, size, phrase, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY ALL),
 covered AS (
   SELECT DISTINCT s.lang, s.phrase FROM scored s JOIN (
