@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.functions.text import let
 
 # -- fixed values: subject patterns and their weights -----------------------------------------------------------------------------------
 
@@ -207,7 +208,13 @@ def squash(text: Column) -> Column:
 def relevance(title: Column, text: Column) -> Column:
     """Weighted subject hits: three for each of the title's, and the body's for every 200 words."""
     title, body = F.coalesce(title, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, RELEVANCE_BODY)
-    total = lambda t: sum((w * count(t, p) for p, w in RELEVANCE[1:]), RELEVANCE[0][1] * count(t, RELEVANCE[0][0]))
+    some = "|".join(f"(?:{p})" for p, _ in RELEVANCE)
+
+    def total(t: Column) -> Column:
+        """One look for any subject spares most texts the fifty counts."""
+        hits = sum((w * count(t, p) for p, w in RELEVANCE[1:]), RELEVANCE[0][1] * count(t, RELEVANCE[0][0]))
+        return F.when(has(t, some), hits).otherwise(0)
+
     return 3.0 * total(title) + 200.0 * total(body) / F.greatest(F.lit(1), T.word_count(body))
 
 
@@ -264,9 +271,12 @@ def risks(text: Column) -> Column:
         terms = F.array_distinct(F.transform(F.regexp_extract_all(clean, F.lit(rf"(?i)\b(?:{pattern})\b"), F.lit(0)), F.lower))
         return F.transform(terms, lambda t: F.struct(F.lit(label).alias("label"), t.alias("term")))
 
-    every = F.concat(*[of(label, pattern) for label, pattern in RISKS])
-    terms = F.transform(every, lambda x: x["term"])
-    return F.filter(every, lambda x, i: F.array_position(terms, x["term"]) == i + 1)
+    def first_ones(every: Column) -> Column:
+        return let(F.transform(every, lambda x: x["term"]), lambda terms: F.filter(every, lambda x, i: F.array_position(terms, x["term"]) == i + 1))
+
+    found = let(F.concat(*[of(label, pattern) for label, pattern in RISKS]), first_ones)
+    none = F.array().cast("array<struct<label: string, term: string>>")
+    return F.when(has(clean, "|".join(rf"\b(?:{pattern})\b" for _, pattern in RISKS)), found).otherwise(none)
 
 
 def names_someone(headline: Column) -> Column:
@@ -278,14 +288,18 @@ def names_someone(headline: Column) -> Column:
 
 def hold_reason(headline: Column, lede: Column, publishers: Column) -> Column:
     """Why a story must wait for approval: one publisher, someone named, and a risky word in the headline or two in the lede."""
-    head = risks(headline)
-    body = F.filter(risks(lede), lambda x: ~F.array_contains(F.transform(head, lambda y: y["term"]), x["term"]))
-    hits = F.when(F.size(head) > 0, head).when(F.size(body) >= 2, body)
-    labels = F.array_join(F.slice(F.array_distinct(F.transform(hits, lambda x: x["label"])), 1, 2), " and ")
-    terms = F.array_join(F.transform(F.slice(hits, 1, 4), lambda x: F.concat(F.lit('"'), x["term"], F.lit('"'))), ", ")
-    where = F.when(F.size(head) > 0, "headline").otherwise("summary")
-    said = F.concat(F.lit("Single source; "), where, F.lit(" mentions "), labels, F.lit(" ("), terms, F.lit(")"))
-    return F.when((publishers <= 1) & names_someone(headline) & hits.isNotNull(), said)
+    def said(hits: Column, where: str) -> Column:
+        labels = F.array_join(F.slice(F.array_distinct(F.transform(hits, lambda x: x["label"])), 1, 2), " and ")
+        terms = F.array_join(F.transform(F.slice(hits, 1, 4), lambda x: F.concat(F.lit('"'), x["term"], F.lit('"'))), ", ")
+        return F.concat(F.lit(f"Single source; {where} mentions "), labels, F.lit(" ("), terms, F.lit(")"))
+
+    def of_both(x: Column) -> Column:
+        in_head = F.transform(x["head"], lambda y: y["term"])
+        body = let(in_head, lambda known: F.filter(x["lede"], lambda y: ~F.array_contains(known, y["term"])))
+        return F.when(F.size(x["head"]) > 0, said(x["head"], "headline")).otherwise(let(body, lambda y: F.when(F.size(y) >= 2, said(y, "summary"))))
+
+    hits = let(F.struct(risks(headline).alias("head"), risks(lede).alias("lede")), of_both)
+    return F.when((publishers <= 1) & names_someone(headline), hits)
 
 
 def money(text: Column) -> Column:
@@ -465,11 +479,6 @@ WORD = r"[A-Za-z][A-Za-z0-9'’.+&-]*"
 _VOWEL = r"[\"“‘'(]*(?:(?-i:[AEFHILMNORSX][A-Z]{0,4})\b|hour|honest|heir|(?!uni|use|usu|eu|one|once|(?-i:[A-Z]{1,5})\b)[aeiou])"
 
 
-def let(x: Column, f) -> Column:
-    """f(x), with x computed once however often f uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def title_case_heavy(text: Column) -> Column:
     """Whether most words after the first begin with a capital."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-z][a-z’']{3,}"), F.lit(0))

@@ -12,6 +12,11 @@ STOP = """a an the and or but if then of to in on at by for with from as is are
     same other new says said say here there their they them our your you we he she his her i me my us up out than via amid among around""".split()
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
@@ -76,8 +81,10 @@ def keywords(text: Column, n: int = 5) -> Column:
 
 def shingles(words: Column) -> Column:
     """Neighbouring word pairs; a lone word as itself."""
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.element_at(words, i + 2)))
-    return F.when(F.size(words) > 1, pairs).otherwise(words)
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
+
+    return let(words, lambda w: F.when(F.size(w) > 1, pairs(w)).otherwise(w))
 
 
 def jaccard(a: Column, b: Column) -> Column:

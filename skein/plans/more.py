@@ -18,6 +18,15 @@ c = F.col
 _at = lambda t: F.expr(f"TIMESTAMP_NTZ '{t}'")
 _words = lambda: F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))
 
+
+
+def _fitting(parts):
+    """The paragraphs that stand within the first 1,200 characters; lengths are summed up once."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
+    grown = lambda a, p: F.struct((a["n"] + F.length(p)).alias("n"), F.when(a["n"] + F.length(p) <= 1200, F.concat(a["kept"], F.array(p))).otherwise(a["kept"]).alias("kept"))
+    return F.array_join(F.aggregate(parts, start, grown, lambda a: a["kept"]), "\n")
+
+
 over_articles("p01_pruned_read", "source_id, points", lambda: dict(source_id=c("source_id"), points=c("points")))
 over_articles("p05_like_then_exact", "(title LIKE '%19%' OR title LIKE '%20%') AND regexp_matches(title, '(19|20)[0-9][0-9]') AS old", lambda: dict(old=(c("title").like("%19%") | c("title").like("%20%")) & c("title").rlike("(19|20)[0-9][0-9]")))
 over_articles("p08_on_domain", "CASE WHEN source_key = 'src4' THEN 'src4.example.com' WHEN true THEN 'example.com' END AS matched",
@@ -25,7 +34,7 @@ over_articles("p08_on_domain", "CASE WHEN source_key = 'src4' THEN 'src4.example
 over_articles("p14_extraction_valid", "length(text) BETWEEN 500 AND 20000 AND len(list_intersect(regexp_extract_all(lower(title), '[a-z]{5,}'), regexp_extract_all(lower(text), '[a-z]{5,}'))) >= 2 AS valid",
               lambda: dict(valid=F.length("text").between(500, 20000) & (F.size(F.array_intersect(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{5,}"), F.lit(0)), _words())) >= 2)))
 over_articles("p16_truncate_at_paragraph", "coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: list_sum(list_transform(string_split(text, chr(10))[1:i], lambda y: length(y))) <= 1200), chr(10)), '') AS kept",
-              lambda: dict(kept=F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.aggregate(F.slice(F.split("text", "\n"), F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y)) <= 1200), "\n")))
+              lambda: dict(kept=T.let(F.split("text", "\n"), _fitting)))
 over_articles("p27_in_sitemap", "n_chars >= 500 AND published_at >= TIMESTAMP '2024-01-10 00:00:00' AND status = 'published' AS listed", lambda: dict(listed=(c("n_chars") >= 500) & (c("published_at") >= _at("2024-01-10 00:00:00")) & (c("status") == "published")))
 over_articles("p30_skip_reason", "CASE WHEN points < 50 THEN 'no readers' WHEN importance < 3 THEN 'minor' END AS reason", lambda: dict(reason=F.when(c("points") < 50, "no readers").when(c("importance") < 3, "minor")))
 over_articles("p33_push_candidates", "importance >= 8 AND published_at >= TIMESTAMP '2024-01-25 00:00:00' AND status = 'published' AS candidate", lambda: dict(candidate=(c("importance") >= 8) & (c("published_at") >= _at("2024-01-25 00:00:00")) & (c("status") == "published")))

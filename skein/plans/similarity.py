@@ -35,7 +35,7 @@ def f15(s: SparkSession, d: str) -> DataFrame:
 
 @query("j13_near_duplicate_titles", f"""WITH k AS (SELECT h, min(id) AS rep FROM ({_PRINT}) GROUP BY h) SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h)) AS apart FROM k x JOIN k y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= 10""")
 def j13(s: SparkSession, d: str) -> DataFrame:
-    return S.near_pairs(prints(s, d), "id")
+    return S.near_pairs(settle(prints(s, d), "j13"), "id")
 
 
 @query("j13_title_classes", f"""WITH p AS ({_PRINT}) SELECT x.id, (SELECT min(y.id) FROM p y WHERE y.h = x.h) AS rep, (SELECT count(*) FROM p y WHERE y.id <> x.id AND bit_count(xor(x.h, y.h)) <= 10) AS n_links FROM p x""")
