@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.similarity import near_pairs
-from skein.shared import connected, settle
+from skein.shared import settle
 
 
 def greedy_clusters(vectors: DataFrame, block: str, key: str, vector: str, least: float, lead_slack: float = 0.03, shown: int = 40, total: int = 80) -> DataFrame:
@@ -117,58 +118,57 @@ def predict(rows: DataFrame, features: dict[str, Column], weights: np.ndarray, m
     return rows.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), linear)))
 
 
-def first_kept(prints: DataFrame, block: str, key: str, most: int = 10) -> DataFrame:
-    """(block, key, duplicate_of): in key order, a 64-bit fingerprint within `most` bits of one that was kept before is a duplicate of the
-    earliest such; else it is kept. Duplicates hide nothing. Blocks are independent and one task's work each."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        prints, keys = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf[key].to_numpy()
-        kept, names, out = np.zeros(len(pdf), np.uint64), [], []
-        for h, name in zip(prints, keys, strict=True):
-            near = np.flatnonzero(np.bitwise_count(kept[: len(names)] ^ h) <= most)
-            if len(near):
-                out.append(names[near[0]])
-            else:
-                kept[len(names)] = h
-                names.append(name)
-                out.append(None)
-        return pd.DataFrame({block: pdf[block].to_numpy(), key: keys, "duplicate_of": pd.array(out, dtype="Int64")})
-
-    kinds = dict(prints.dtypes)
-    return prints.select(block, key, "h").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, {key} {kinds[key]}, duplicate_of long")
-
-
 def first_kept_of_all(prints: DataFrame, key: str, at: str, label: str, most: int = 10, seconds: int = 7 * 86400) -> DataFrame:
-    """(block, key, duplicate_of): in order of at (in seconds) and key, a 64-bit fingerprint within `most` bits of one that was kept in the
-    `seconds` before it is a duplicate of the earliest such; else it is kept. Any two rows may meet. block is the component of near fingerprints
-    that a row is in: only rows of one can decide on each other. Equal fingerprints of one time are one row of a block's work."""
-    prints = settle(prints.select(key, "h", F.col(at).alias("t")), f"{label}-prints")
-    times = settle(prints.groupBy("h", "t").agg(F.min(key).alias("first")), f"{label}-times")
-    kinds = settle(times.groupBy("h").agg(F.min("first").alias("rep"), F.count("*").alias("n")), f"{label}-kinds")
-    linked = connected(near_pairs(kinds, "rep", most), label)
-    blocks = kinds.join(linked, F.col("rep") == F.col("id"), "left").select("h", F.coalesce("component", "rep").alias("block"), (F.col("component").isNull() & (F.col("n") == 1)).alias("alone"))
-    todo = settle(times.join(blocks, "h"), f"{label}-todo")
+    """(key, duplicate_of): in order of at (in seconds) and key, a 64-bit fingerprint within `most` bits of one that was kept in the `seconds`
+    before it is a duplicate of the earliest such; else it is kept. Any two rows may meet.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "first"])
-        prints, at, keys = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["t"].to_numpy(np.int64), pdf["first"].to_numpy()
-        kept, since, names, out, low = np.zeros(len(pdf), np.uint64), np.zeros(len(pdf), np.int64), [], [], 0
-        for h, t, name in zip(prints, at, keys, strict=True):
-            while low < len(names) and since[low] < t - seconds:
-                low += 1
-            near = np.flatnonzero(np.bitwise_count(kept[low : len(names)] ^ h) <= most)
-            if len(near):
-                out.append(names[low + near[0]])
-            else:
-                kept[len(names)], since[len(names)] = h, t
-                names.append(name)
-                out.append(name)
-        return pdf.assign(kept=out)[["block", "h", "t", "kept"]]
-
-    kind = dict(prints.dtypes)[key]
-    shared = todo.where("not alone").select("block", "h", "t", "first").groupBy("block").applyInPandas(run, f"block {kind}, h long, t long, kept {kind}")
-    decided = shared.unionByName(todo.where("alone").select("block", "h", "t", F.col("first").alias("kept")))
-    return prints.join(decided, ["h", "t"]).select("block", key, F.when(F.col("kept") != F.col(key), F.col("kept")).alias("duplicate_of"))
+    Rounds of joins. Equal fingerprints are one kind; the first of its open rows is its head. A head waits for near kinds with an earlier head, but
+    for single rows that are too old; one that waits for nobody is kept and settles the rows of all near kinds that follow it in time.
+    Where a head waits for one row only, it is kept if that row isn't: such waits are chains, which pointer doubling follows to their end, so that
+    a long chain takes as many steps as its length has bits. Rows are only counted and compared by kind; no group is one task's work."""
+    prints = settle(prints.select(key, "h", F.col(at).alias("t")), f"{label}-prints")
+    kinds = settle(prints.groupBy("h").agg(F.min(key).alias("k")), f"{label}-kinds")
+    times = settle(prints.groupBy("h", "t").agg(F.min(key).alias("first")).join(kinds, "h").select("k", "t", "first"), f"{label}-times")
+    pairs = settle(near_pairs(kinds, "k", most).select("a", "b"), f"{label}-near")
+    near = settle(pairs.union(pairs.select("b", "a")).toDF("u", "v"), f"{label}-both")
+    reach = near.unionByName(kinds.select(F.col("k").alias("u"), F.col("k").alias("v")))
+
+    rows, edges, kept = times, near, []
+    while True:
+        heads = rows.groupBy("k").agg(F.min(F.struct("t", "first")).alias("head"), F.count("*").alias("n"))
+        heads = settle(heads, f"{label}-heads")
+        if heads.isEmpty():
+            break
+        mine = heads.select(F.col("k").alias("u"), F.col("head").alias("hu"))
+        theirs = heads.select(F.col("k").alias("v"), F.col("head").alias("hv"), F.col("n").alias("nv"))
+        edges = settle(edges.select("u", "v").join(mine, "u").join(theirs, "v"), f"{label}-edges")
+        in_time = F.col("hu.t") - F.col("hv.t") <= seconds
+        waits = edges.where((F.col("hv") < F.col("hu")) & (in_time | (F.col("nv") > 1)))
+        waits = waits.groupBy("u").agg(F.count("*").alias("m"), F.max("v").alias("v"), F.max(in_time & (F.col("nv") == 1)).alias("simple"))
+        waits = settle(waits, f"{label}-waits")
+        free = settle(heads.join(waits.select(F.col("u").alias("k")), "k", "left_anti").select("k", "head"), f"{label}-free")
+        links = settle(waits.where("m = 1 and simple").select("u", "v", F.lit(1).alias("turns")), f"{label}-links")
+        while True:
+            on = links.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("turns").alias("more"))
+            if links.join(on, "v", "left_semi").isEmpty():
+                break
+            links = links.join(on, "v", "left").select("u", F.coalesce("w", "v").alias("v"), ((F.col("turns") + F.coalesce("more", F.lit(0))) % 2).alias("turns"))
+            links = settle(links, f"{label}-links")
+        even = links.where("turns % 2 = 0").join(free.select(F.col("k").alias("v")), "v", "left_semi").select(F.col("u").alias("k"))
+        now = settle(free.union(heads.join(even, "k").select("k", "head")).select("k", "head.t", "head.first"), f"{label}-kept")
+        kept.append(now)
+        told = reach.join(now.select(F.col("k").alias("u"), F.col("t").alias("since"), F.col("first").alias("kept")), "u").withColumnRenamed("v", "x")
+        after = (F.col("t") - F.col("since") <= seconds) & (F.struct("since", "kept") <= F.struct("t", "first"))
+        rows = settle(rows.join(told, (F.col("k") == F.col("x")) & after, "left_anti"), f"{label}-rows")
+    if not kept:
+        return prints.select(key, F.lit(None).cast(dict(prints.dtypes)[key]).alias("duplicate_of"))
+    every = settle(functools.reduce(DataFrame.union, kept), f"{label}-every")
+    span = F.floor(F.col("t") / seconds)
+    told = reach.join(every.withColumnsRenamed({"k": "u", "first": "kept"}), "u").select(F.col("v").alias("k"), F.col("t").alias("since"), "kept", F.explode(F.array(span, span + 1)).alias("span"))
+    hit = times.withColumn("span", span).join(told, ["k", "span"]).where((F.col("t") - F.col("since") <= seconds) & (F.struct("since", "kept") <= F.struct("t", "first")))
+    first = hit.groupBy("k", "t").agg(F.min(F.struct("since", "kept"))["kept"].alias("kept"))
+    named = prints.join(kinds, "h").join(first, ["k", "t"])
+    return named.select(key, F.when(F.col("kept") != F.col(key), F.col("kept")).alias("duplicate_of"))
 
 
 def merge_forest(pairs: DataFrame, block: str, most_merges: int = 10, most_size: int = 80) -> DataFrame:

@@ -103,9 +103,9 @@ def test_article_reader():
 
 
 def test_first_kept(spark):
-    rows = [("b", 1, 0), ("b", 2, 0b111), ("b", 3, (1 << 40) - 1), ("b", 4, (1 << 41) - 1), ("c", 5, 0)]
-    got = ordered.first_kept(spark.createDataFrame(rows, "block string, id long, h long"), "block", "id", 10)
-    assert {r.id: r.duplicate_of for r in got.collect()} == {1: None, 2: 1, 3: None, 4: 3, 5: None}
+    rows = [(1, 0, 0), (2, 0b111, 0), (3, (1 << 40) - 1, 0), (4, (1 << 41) - 1, 0)]
+    got = ordered.first_kept_of_all(spark.createDataFrame(rows, "id long, h long, t long"), "id", "t", "test", 10)
+    assert {r.id: r.duplicate_of for r in got.collect()} == {1: None, 2: 1, 3: None, 4: 3}
 
 
 def test_merge_forest(spark):

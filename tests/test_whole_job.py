@@ -72,3 +72,52 @@ def test_pairs_and_classes_give_all_near_titles(spark, sf):
     pairs = {(r.a, r.b) for r in registry.QUERIES["j13_near_duplicate_titles"](spark, sf).collect()}
     near = {(x, y) for x in reps for y in reps if x < y and (reps[x] == reps[y] or (min(reps[x], reps[y]), max(reps[x], reps[y])) in pairs)}
     assert near == want and any(reps[x] == reps[y] for x, y in near)
+
+
+def _scan(rows, seconds=7 * 86400, most=10):
+    kept, out = [], {}
+    for i, h, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        near = [k for k, g, since in kept if t - since <= seconds and bin((g ^ h) & (2**64 - 1)).count("1") <= most]
+        out[i] = near[0] if near else None
+        if not near:
+            kept.append((i, h, t))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_first_kept_of_all_against_a_scan(spark, seed):
+    """Walks of a few bits a step, in order and out of it, copies at many times, equal times."""
+    import random
+
+    rnd, rows, day = random.Random(seed), [], 86400
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    for walk in range(6):
+        h = rnd.getrandbits(64)
+        for step in range(40):
+            for bit in rnd.sample(range(64), rnd.choice([0, 2, 6, 9])):
+                h ^= 1 << bit
+            t = step * 3600 if walk < 2 else rnd.randrange(40) * day if walk < 4 else rnd.randrange(20 * day)
+            rows.append((len(rows) * 7 % 1009, signed(h), t))
+    got = ordered.first_kept_of_all(spark.createDataFrame(rows, "id long, h long, t long").repartition(4), "id", "t", "test")
+    assert {r.id: r.duplicate_of for r in got.collect()} == _scan(rows)
+
+
+def test_a_long_chain_of_near_titles_takes_few_rounds(spark, monkeypatch):
+    """Each title is near the next one only and comes after it: every second one is kept, in a number of tables that grows with the bits of its length."""
+    import random
+
+    rnd, h, last, rows, written = random.Random(5), 0, [], [], []
+    for i in range(3000):
+        rows.append((i, h if h < 2**63 else h - 2**64, i))
+        last = rnd.sample([b for b in range(64) if b not in last], 7)
+        for bit in last:
+            h ^= 1 << bit
+    settle = ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df, label: written.append(label) or settle(df, label))
+    got = {r.id: r.duplicate_of for r in ordered.first_kept_of_all(spark.createDataFrame(rows, "id long, h long, t long"), "id", "t", "chain").collect()}
+    assert got == _scan(rows)
+    assert len(written) <= 40
+
+
+def test_first_kept_of_nothing(spark):
+    assert ordered.first_kept_of_all(spark.createDataFrame([], "id long, h long, t long"), "id", "t", "none").count() == 0
