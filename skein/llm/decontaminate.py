@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import chunks, span_hashes
+from skein.llm.common import chunks, span_hashes, unused
 from skein.shared import settle
 
 #: Bytes of a gram (as many as a 64-bit code has); share of a passage's bytes that may be edits; shortest passage, normalised, that may have edits.
@@ -294,4 +294,5 @@ def _marked(docs: DataFrame, passages: list[tuple[int, bytes]], rate: float, out
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs into which no passage leaks, with docs' columns."""
-    return mark_leaks(docs, benchmark, rate, out="skein_leaks").where(F.size("skein_leaks") == 0).select(*[F.col(c) for c in docs.columns])
+    (leaks,) = unused(docs, "skein_leaks")
+    return mark_leaks(docs, benchmark, rate, out=leaks).where(F.size(leaks) == 0).select(*[F.col(c) for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import chunks, mix, shingle_hashes, words
+from skein.llm.common import chunks, mix, shingle_hashes, unused, words
 from skein.shared import connected, settle
 
 #: Words beyond those that the pigeonhole needs, so that empty words seldom must be keys; ratio of a size band's ends.
@@ -347,6 +347,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 
 def keep_one_of_each_group(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, label: str = "jaccard") -> DataFrame:
     """The rows of docs whose doc_id is their component's smallest (of rows that repeat an id, all); rows with a null id stay."""
-    parts = jaccard_components(docs, width, num, den, label)
-    gone = parts.where("component_id <> doc_id").select(F.col("doc_id").alias("skein_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("skein_gone"), "left_anti")
+    parts, (name,) = jaccard_components(docs, width, num, den, label), unused(docs, "skein_gone")
+    gone = parts.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

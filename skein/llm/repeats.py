@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import _B, _BYTES, chunks, mix, powers, release, span_hashes, thrifty
+from skein.llm.common import _B, _BYTES, chunks, mix, powers, release, span_hashes, thrifty, unused
 from skein.shared import settle
 
 LENGTH, GRAM = 100, 32
@@ -416,14 +416,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, label: str = "repeats"
     """
     gram = max(1, min(GRAM, length // 2))
     plain = docs.drop("n_bytes", "kept", "n_removed", "n_spans")
+    th, doc, at, held, whole = unused(docs, "skein_th", "skein_doc", "skein_at", "skein_spans", "skein_text")
     text = F.coalesce("text", F.lit(""))
-    keyed = plain.withColumn("skein_th", F.xxhash64(text))
+    keyed = plain.withColumn(th, F.xxhash64(text))
     source = plain.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
     windows = repeated_windows(source, length, gram, label)
-    spans = windows.groupBy(F.col("doc_id").alias("skein_doc"), F.col("th").alias("skein_at")).agg(F.collect_list(F.struct("first", "n")).alias("skein_spans"))
-    joined = keyed.join(spans, (F.col("doc_id") == F.col("skein_doc")) & (F.col("skein_th") == F.col("skein_at")), "left")
+    spans = windows.groupBy(F.col("doc_id").alias(doc), F.col("th").alias(at)).agg(F.collect_list(F.struct("first", "n")).alias(held))
+    joined = keyed.join(spans, (F.col("doc_id") == F.col(doc)) & (F.col(th) == F.col(at)), "left")
     rest = [c for c in plain.columns if c != "text"]
-    rows = joined.select(*rest, text.cast("binary").alias("skein_text"), "skein_spans")
+    rows = joined.select(*rest, text.cast("binary").alias(whole), held)
     kept_name = "text" if as_text else "kept"
     names = [*rest, "n_bytes", kept_name, "n_removed", "n_spans"]
     schema = plain.select(*rest).withColumns({"n_bytes": F.lit(0).cast("long"), kept_name: F.lit("").cast("string" if as_text else "binary"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long")}).schema

@@ -8,6 +8,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import unused
+
 #: Default table size: a prime, over a hundred times the default number of shards.
 SLOTS = 65_537
 
@@ -44,9 +46,7 @@ def place(rows: DataFrame, shards: dict[str, int], key: str = "doc_id", slots: i
     the text "null". The table has `slots` rows whatever the data, so its broadcast is bounded; placement shuffles nothing."""
     table = lookup_table(shards, slots)
     spark = rows.sparkSession
-    own_slot, own_shard = "skein_slot", "skein_shard"
-    while {own_slot, own_shard} & set(rows.columns):
-        own_slot, own_shard = own_slot + "_", own_shard + "_"
+    own_slot, own_shard = unused(rows, "skein_slot", "skein_shard")
     lookup = spark.createDataFrame([(i, x) for i, x in enumerate(table)], f"`{own_slot}` long, `{own_shard}` string")
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
     at = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % slots
@@ -58,4 +58,5 @@ def place(rows: DataFrame, shards: dict[str, int], key: str = "doc_id", slots: i
 def write_shards(placed: DataFrame, path: str, shard: str = "shard", files_per_shard: int = 4) -> None:
     """One folder a shard; a shard's rows are dealt over files_per_shard tasks, so that a large shard isn't one task's work."""
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in placed.columns]), F.lit(files_per_shard))
-    placed.withColumn("skein_salt", salt).repartition(F.col(shard), F.col("skein_salt")).drop("skein_salt").write.partitionBy(shard).parquet(path)
+    (name,) = unused(placed, "skein_salt")
+    placed.withColumn(name, salt).repartition(F.col(shard), F.col(name)).drop(name).write.partitionBy(shard).parquet(path)

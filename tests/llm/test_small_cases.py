@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, langid
+import corpus_pipeline
+from skein.llm import decontaminate, jaccard, langid, repeats, sharding, urls
 
 
 def test_small_languages_have_models(spark):
@@ -41,3 +42,27 @@ def test_leaks_of_short_items_and_parts(spark):
         got = {r.doc_id: r.leaks for r in decontaminate.mark_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size).collect()}
         assert {i: [x.item_id for x in found] for i, found in got.items()} == {i: want for i, (_, want) in texts.items()}
         assert (got[1][0].start, got[1][0].end, got[5][0].edits, got[5][0].end) == (4, 35, 0, len(long))
+
+
+OWN = "skein_gone skein_gone_ skein_th skein_doc skein_at skein_spans skein_text skein_leaks skein_node skein_rule skein_slot skein_shard skein_salt skein_own_kept SKEIN_RULE_".split()
+
+
+def test_columns_of_the_operators_own_names(spark, sf, tmp_path):
+    """Columns that are called as operators call theirs stay as they are."""
+    text = "one two three four five six seven eight " * 4
+    rows = [(i, text + f"tail {i}" * (i > 1), i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x long")
+    docs = docs.select("doc_id", "text", *[F.concat(F.lit(f"{n}-"), F.col("x").cast("string")).alias(n) for n in OWN], F.lit("mine").alias("kept"))
+    same = lambda df: {(r.doc_id, *[r[n] for n in OWN]) for r in df.collect()} <= {(r.doc_id, *[r[n] for n in OWN]) for r in docs.collect()}
+    kept = jaccard.keep_one_of_each_group(docs, label="names")
+    assert kept.columns == docs.columns and kept.count() == 1 and same(kept)
+    assert same(repeats.remove_repeats(docs, label="names")) and same(sharding.place(docs, {"a": 1, "b": 1}))
+    clean = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "absent words of an item that nobody has said")], "item_id long, text string"))
+    assert clean.columns == docs.columns and clean.count() == 3 and same(clean)
+    pages = docs.withColumn("url", F.concat(F.lit("http://www.a.com/en/"), F.col("doc_id").cast("string"))).withColumn("html", F.when(F.col("doc_id") == 0, '<link rel="canonical" href="http://b.org/x">'))
+    judged = urls.judge(pages, [("block", "org/x"), ("allow", "net/")])
+    assert same(judged) and {r.doc_id: r.verdict for r in judged.collect()} == {0: "block", 1: "allow", 2: "allow"}
+    sharding.write_shards(sharding.place(docs, {"a": 1, "b": 1}), str(tmp_path / "shards"))
+    assert same(spark.read.parquet(str(tmp_path / "shards")))
+    done = corpus_pipeline.repeated_passages(spark, docs, sf)
+    assert done.columns == docs.columns and same(done) and {r.kept for r in done.collect()} == {"mine"}
