@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontaminate, jaccard, langid, repeats
-from skein.llm.common import table
+from skein.llm.common import table, unused
 from skein.shared import settle
 
 
 def _apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns of these names called something else, and how to call them back."""
-    clash = {c: f"skein_own_{c}" for c in names if c in docs.columns}
+    found = [c for c in names if c in docs.columns]
+    clash = dict(zip(found, unused(docs, *[f"skein_own_{c}" for c in found]), strict=True))
     return docs.withColumnsRenamed(clash), {v: k for k, v in clash.items()}
 
 
