@@ -32,6 +32,13 @@ SQL = {
           {'kind': 'person', 'name': 'Person ' || CAST(doc_id % 23 AS VARCHAR)}], recursive := true) FROM documents""",
     "deal": """SELECT o_orderkey AS deal_id, c_name AS company, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS round
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "rel": """SELECT id AS article_id, published_at, source_id, availability, name,
+          CASE WHEN id % 31 = 0 THEN 'arXiv' WHEN id % 37 = 0 THEN '' ELSE CASE id % 3 WHEN 0 THEN 'Org ' WHEN 1 THEN 'ORG ' ELSE 'Org' END || CAST(id // 5 % 17 AS VARCHAR) || CASE WHEN id % 2 = 0 THEN ' AI' ELSE ', Inc.' END END AS lab,
+          CASE id % 6 WHEN 0 THEN 'Maker releases ' || name || ' for all' WHEN 1 THEN name || ' vs Model-1.0: which one' WHEN 2 THEN title WHEN 3 THEN 'How ' || upper(name) || ' reads' WHEN 4 THEN 'Maker unveils Model ' || CAST(id % 11 AS VARCHAR) ELSE name END AS headline
+        FROM (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, CAST(substr(source, 4) AS INTEGER) AS source_id, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS published_at,
+            CASE doc_id % 5 WHEN 0 THEN 'api' WHEN 1 THEN 'Open_Weights' WHEN 2 THEN 'research' WHEN 3 THEN 'consumer' ELSE '' END AS availability,
+            CASE doc_id % 4 WHEN 0 THEN 'Model-' WHEN 1 THEN 'model v' WHEN 2 THEN 'MODEL ' ELSE 'Model' END || CAST(doc_id % 11 AS VARCHAR) || CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '.1' WHEN 2 THEN '.2-GGUF' WHEN 3 THEN '.12' ELSE '.' || CAST(doc_id % 3 AS VARCHAR) || ' Flash' END AS name
+          FROM documents)""",
     "price": """SELECT l_partkey AS tool, CAST(l_shipdate AS DATE) AS day, l_orderkey AS obs, l_linenumber AS line, round(l_extendedprice / l_quantity) AS price FROM lineitem""",
 }
 
@@ -94,6 +101,22 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.floor(d / 5).alias("story_id"), d.alias("article_id"), F.explode(edges).alias("e")).select("story_id", "article_id", "e.kind", "e.name")
 
 
+def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of models: spelled in several ways, with and without a version, launched, compared or only named."""
+    d, part = F.col("doc_id"), lambda n: (F.col("doc_id") % n).cast("string")
+    name = F.concat(_choice(d % 4, {0: "Model-", 1: "model v", 2: "MODEL "}, "Model"), part(11), F.when(d % 7 > 3, F.concat(F.lit("."), part(3), F.lit(" Flash"))).otherwise(_choice(d % 7, {0: "", 1: ".1", 2: ".2-GGUF"}, ".12")))
+    lab = F.concat(_choice(d % 3, {0: "Org ", 1: "ORG "}, "Org"), (F.floor(d / 5) % 17).cast("string"), F.when(d % 2 == 0, " AI").otherwise(", Inc."))
+    lab = F.when(d % 31 == 0, "arXiv").when(d % 37 == 0, "").otherwise(lab)
+    rows = load(spark, sf_dir, "documents").select(
+        d.alias("article_id"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 720 as int), 0, 0)").alias("published_at"),
+        F.substring("source", 4, 10).cast("int").alias("source_id"), _choice(d % 5, {0: "api", 1: "Open_Weights", 2: "research", 3: "consumer"}, "").alias("availability"),
+        name.alias("name"), lab.alias("lab"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    k, n = F.col("article_id") % 6, F.col("name")
+    said = F.when(k == 0, F.concat(F.lit("Maker releases "), n, F.lit(" for all"))).when(k == 1, F.concat(n, F.lit(" vs Model-1.0: which one"))).when(k == 2, F.col("title"))
+    said = said.when(k == 3, F.concat(F.lit("How "), F.upper(n), F.lit(" reads"))).when(k == 4, F.concat(F.lit("Maker unveils Model "), (F.col("article_id") % 11).cast("string"))).otherwise(n)
+    return rows.withColumn("headline", said).drop("title")
+
+
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("deal_id"), F.col("c_name").alias("company"), F.col("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("round"))

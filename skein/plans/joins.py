@@ -241,11 +241,6 @@ def u10(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).where(c("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00' - INTERVAL '20' DAY")).select("event_id")
 
 
-@query("u11_story_merge", "SELECT story_id - story_id % 3 AS root, count(*) AS members, min(published_at) AS first_at, max(importance) AS importance, bool_or(source_type = 'primary') AS pinned FROM {art} GROUP BY 1")
-def u11(s: SparkSession, d: str) -> DataFrame:
-    return articles(s, d).groupBy((c("story_id") - c("story_id") % 3).alias("root")).agg(F.count("*").alias("members"), F.min("published_at").alias("first_at"), F.max("importance").alias("importance"), F.bool_or(c("source_type") == "primary").alias("pinned"))
-
-
 @query("u12_overflow_flip", "SELECT id, CASE WHEN r > 3 THEN 'overflow' ELSE status END AS status FROM (SELECT id, status, row_number() OVER (PARTITION BY story_id ORDER BY importance DESC, id) AS r FROM {art})")
 def u12(s: SparkSession, d: str) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("importance"), "id"))

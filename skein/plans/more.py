@@ -54,7 +54,6 @@ over_articles("f81_quick_facts", "array_to_string(list_filter([CASE WHEN points
 over_articles("f84_anchor", "substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 30) AS anchor", lambda: dict(anchor=F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 30)))
 over_articles("o23_severity_order", "list_position(['published', 'overflow', 'new', 'rejected'], status) AS severity", lambda: dict(severity=F.array_position(F.array(*[F.lit(x) for x in ("published", "overflow", "new", "rejected")]), c("status")).cast("int")))
 over_articles("o24_pager_numbers", "CASE WHEN points % 30 <= 16 THEN points % 30 ELSE 7 END AS shown", lambda: dict(shown=F.when(c("points") % 30 <= 16, c("points") % 30).otherwise(F.size(F.array_distinct(F.concat(F.array(F.lit(1), F.lit(2)), F.array(F.lit(8), F.lit(9), F.lit(10)), F.array(F.lit(28), F.lit(29))))).cast("long"))))
-over_articles("o16_better_lead", "content_type = 'news' AND importance >= 5 OR source_type = 'primary' AS better", lambda: dict(better=((c("content_type") == "news") & (c("importance") >= 5)) | (c("source_type") == "primary")))
 over_articles("s06_trend_of_two", "trend + points % 7 AS trend", lambda: dict(trend=F.aggregate(F.slice(F.array(c("trend"), c("points") % 7, F.lit(99).cast("long")), 1, 2), F.lit(0).cast("long"), lambda a, x: a + x)))
 over_articles("s14_relational_scan", "source_key, status", lambda: dict(source_key=c("source_key"), status=c("status")))
 over_articles("a53_sentence_statistics", r"coalesce(list_max(list_transform(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''), lambda s: length(s))), 0) AS longest", lambda: dict(longest=F.coalesce(F.array_max(F.transform(T.sentences(c("text")), lambda s: F.length(s).cast("long"))), F.lit(0))))
@@ -65,11 +64,6 @@ def p23(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).select("id").join(entities(s, d), c("id") == c("article_id")).groupBy("id").agg((F.count_if(c("kind") == "person") > 0).alias("named"))
 
 
-@query("p25_is_release", "SELECT article_id, name FROM {ent} WHERE kind = 'model' AND NOT ends_with(name, '.2')")
-def p25(s: SparkSession, d: str) -> DataFrame:
-    return entities(s, d).where((c("kind") == "model") & ~c("name").endswith(".2")).select("article_id", "name")
-
-
 @query("p31_featurable", "SELECT story_id FROM {art} GROUP BY 1 HAVING count(DISTINCT domain) >= 3 AND bool_or(content_type IN ('product', 'guide'))")
 def p31(s: SparkSession, d: str) -> DataFrame:
     g = articles(s, d).groupBy("story_id").agg(F.count_distinct("domain").alias("n"), F.bool_or(c("content_type").isin("product", "guide")).alias("ok"))

@@ -143,12 +143,3 @@ def x03(s: SparkSession, d: str) -> DataFrame:
     prints = S.fingerprints(a.select("id", "title"), "id", c("title"))
     created = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', created_at)")
     return O.first_kept_of_all(prints.join(a.select("id", created.alias("created")), "id"), "id", "created", "x03")
-
-
-@query("x04_story_merges")
-def x04(s: SparkSession, d: str) -> DataFrame:
-    """At most ten merges a label and week among its similar pairs."""
-    from skein.plans.similarity import j14
-
-    pairs = j14(s, d).join(load(s, d, "embeddings").select(c("vec_id").alias("a"), "label"), "a")
-    return O.merge_forest(pairs.select(F.concat_ws("-", "label", F.floor(c("a") / 168)).alias("block"), "a", "b", c("cosine").alias("sim")), "block")

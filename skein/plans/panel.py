@@ -102,11 +102,6 @@ def a29(s: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(c("name").alias("model")).agg(F.count_distinct("source_id").alias("sources"), F.min("published_at").alias("first_at"), F.min_by("title", F.struct("published_at", "id")).alias("title"))
 
 
-@query("a30_version_folding", r"""SELECT regexp_replace(name, '\.[0-9.]+$', '') AS family, max(name) AS latest, count(DISTINCT name) AS versions FROM {ent} WHERE kind = 'model' GROUP BY 1""")
-def a30(s: SparkSession, d: str) -> DataFrame:
-    return entities(s, d).where("kind = 'model'").groupBy(F.regexp_replace("name", r"\.[0-9.]+$", "").alias("family")).agg(F.max("name").alias("latest"), F.count_distinct("name").alias("versions"))
-
-
 @query("a32_majority_vote", """SELECT company, round AS chosen, n FROM (SELECT company, round, n, row_number() OVER (PARTITION BY company ORDER BY n DESC, round = '1-URGENT' DESC, first_day, round) AS r FROM (
   SELECT company, round, count(*) AS n, min(day) AS first_day FROM {deal} GROUP BY 1, 2)) WHERE r = 1""")
 def a32(s: SparkSession, d: str) -> DataFrame:
