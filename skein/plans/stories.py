@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.bind import articles, entities, load, releases
 from skein.functions import leads as L
 from skein.functions import models as M
+from skein.operators import clusters
 from skein.operators import duplicates as D
 from skein.operators.folding import fold_versions
 from skein.operators.similarity import mean_vectors
@@ -149,3 +150,18 @@ def x04(s: SparkSession, d: str) -> DataFrame:
 def u11(s: SparkSession, d: str) -> DataFrame:
     """Stories after the merges: redirects of those that are gone, leads chosen anew, members, first dates and importance of the others."""
     return D.merged_stories(_members(s, d).drop("category"), _merges(s, d, "u11"), "u11").withColumn("first_at", c("first_at").cast("string"))
+
+
+# -- online clusters --------------------------------------------------------------------------------------------------------------------------
+
+
+@query("x01_online_clusters")
+def x01(s: SparkSession, d: str) -> DataFrame:
+    """Each vector's article with the story that it joins, placed in two runs, the second of which starts from the first one's open stories."""
+    e = load(s, d, "embeddings").select("vec_id", c("label").alias("topic"), c("embedding").alias("v"))
+    a = articles(s, d).select("id", c("published_at").alias("at"), L.news_ok(c("title"), c("content_type")).alias("news"), "importance", (c("source_type") == "primary").alias("primary"))
+    rows = settle(e.join(a, c("vec_id") == c("id")).drop("vec_id"), "x01-articles")
+    noon = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    first, state = clusters.place(rows.where(c("at").cast("timestamp") < noon), None, 0.3, "x01-one")
+    second, _ = clusters.place(rows.where(c("at").cast("timestamp") >= noon), settle(state, "x01-state"), 0.3, "x01-two")
+    return first.unionByName(second)
