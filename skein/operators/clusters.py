@@ -98,7 +98,7 @@ def place(articles: DataFrame, state: DataFrame | None, least: float, label: str
     seconds, spark = hours * 3600, articles.sparkSession
     whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & F.col("topic").isNotNull() & F.col("at").isNotNull()
     unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(T.dot(v, v)), F.lit(1e-12)))
-    rows = articles.select("id", "topic", F.unix_seconds(F.col("at").cast("timestamp")).alias("t"), T.let(F.col("v").cast("array<double>"), unit).alias("v"),
+    rows = articles.select("id", F.col("topic").cast("string").alias("topic"), F.unix_seconds(F.col("at").cast("timestamp")).alias("t"), T.let(F.col("v").cast("array<double>"), unit).alias("v"),
                            F.coalesce("news", F.lit(True)).alias("news"), F.col("importance").cast("int"), F.coalesce("primary", F.lit(False)).alias("primary"), F.coalesce(whole, F.lit(False)).alias("whole"))
     rows = settle(rows, f"{label}-rows")
     state = spark.createDataFrame([], STATE) if state is None else state
