@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from skein.llm.common import chunks, lowered, mix, runs, span_hashes
 from skein.shared import settle
 
-#: Bits of a signature an entry, bits an entry sets, bits of a block of signatures.
-BITS_EACH, PROBES, BLOCK_BITS = 12, 4, 1 << 23
+#: Bits of a signature an entry, bits an entry sets, bits and documents of a block of signatures.
+BITS_EACH, PROBES, BLOCK_BITS, BLOCK_DOCS = 22, 11, 1 << 23, 2048
 #: Frequencies at which a term is entered once more.
-STEPS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024, 4096, 16384, 1 << 62]
-#: Terms of a block of queries; slots of the table that tells tasks which terms queries have.
+STEPS = [*range(1, 17), 18, 20, 22, 25, 28, 32, 36, 40, 45, 50, 56, 64, 72, 80, 90, 100, 112, 128, 160, 200, 256, 512, 1024, 4096, 16384, 1 << 62]
+#: Terms of a block of queries; slots of the tables that tell tasks which terms queries have, and which documents are asked for.
 QUERY_TERMS, SLOTS = 1 << 16, 1 << 22
-#: Pairs of query and document up to which they are broadcast to the documents; beyond, both sides are shuffled.
-FEW_PAIRS = 200_000
+#: Widths of signatures: of neighbouring ones the larger is WIDER times the smaller.
+WIDER = 1.2
 
 _TERM = np.ones(256, bool)
 _TERM[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
@@ -49,12 +49,17 @@ def counted(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
     return [np.unique(hashes[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def width_for(entries: int) -> int:
+    """The least signature width with BITS_EACH bits an entry."""
+    return int(256 * WIDER ** max(0, math.ceil(math.log(max(1, BITS_EACH * entries / 256), WIDER)))) + 1
+
+
 def places(hashes: np.ndarray, step: int, width: int) -> np.ndarray:
-    """The bits that each term sets at a frequency step, in signatures of width bits (a power of two)."""
+    """The bits that each term sets at a frequency step, in signatures of width bits."""
     with np.errstate(over="ignore"):
         h = mix(hashes + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
         jump = (h >> np.uint64(32)) | np.uint64(1)
-        return ((h[:, None] + np.arange(PROBES, dtype=np.uint64) * jump[:, None]) & np.uint64(width - 1)).astype(np.int64)
+        return ((h[:, None] + np.arange(PROBES, dtype=np.uint64) * jump[:, None]) % np.uint64(width)).astype(np.int64)
 
 
 def sliced(documents: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
@@ -106,10 +111,10 @@ def index(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                 if doc_id is None:
                     continue
                 entries = int(np.searchsorted(STEPS, tf, "right").sum())
-                width = max(256, 1 << (BITS_EACH * entries - 1).bit_length())
+                width = width_for(entries)
                 kept = waiting.setdefault(width, [])
                 kept.append((doc_id, (hashes, tf)))
-                if len(kept) * width >= BLOCK_BITS:
+                if len(kept) * width >= BLOCK_BITS or len(kept) >= BLOCK_DOCS:
                     yield block(width)
             if sum(map(len, found)) > 1 << 18:
                 yield tally()
@@ -216,26 +221,31 @@ def highest_bounds(signatures: DataFrame, queries: Queries, top: int) -> DataFra
 
 
 def reaching(signatures: DataFrame, queries: Queries, floors: np.ndarray) -> DataFrame:
-    """(item_id, doc_id, bound): every document whose bound reaches the query's floor."""
+    """(item_id, doc_id, bound): every document that may stand before the query's floor, a score and the doc_id that has it, or is it."""
     shared = signatures.sparkSession.sparkContext.broadcast((queries, floors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, floor = shared.value
         for width, ids, lengths, slices in _blocks(batches):
             bounds = q.bounds(width, lengths, slices)
-            row, column = np.nonzero(bounds >= floor[:, None])
+            row, column = np.nonzero((bounds > floor[:, :1]) | (bounds == floor[:, :1]) & (ids <= floor[:, 1:]))
             yield from _pairs(np.array(q.ids, np.int64)[row], ids[column], bounds[row, column])
 
     return signatures.mapInArrow(run, "item_id long, doc_id long, bound long")
 
 
 def scored(docs: DataFrame, pairs: DataFrame, queries: Queries) -> DataFrame:
-    """(item_id, doc_id, score) of pairs, from whole texts. Pairs are broadcast while they are few, else documents and pairs are shuffled."""
+    """(item_id, doc_id, score) of pairs, from whole texts. A table of slots of the documents that are asked for, of one size whatever their number, keeps
+    most other texts from being shuffled; the join decides."""
     asked = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    if pairs.count() <= FEW_PAIRS:
-        asked = F.broadcast(asked)
+    wanted = docs.sparkSession.sparkContext.broadcast(slot_table(pairs.select(F.xxhash64("doc_id").alias("term"))))
     shared = docs.sparkSession.sparkContext.broadcast(queries)
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.asarray(batch.column(2)) & (SLOTS - 1)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"]).filter(pa.array(wanted.value[slot]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         at = {x: i for i, x in enumerate(q.ids)}
@@ -246,7 +256,9 @@ def scored(docs: DataFrame, pairs: DataFrame, queries: Queries) -> DataFrame:
                     out += [(x, doc_id, q.score(at[x], hashes, tf)) for x in items]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["item_id", "doc_id", "score"])
 
-    return docs.join(asked, "doc_id").select("doc_id", "text", "items").mapInArrow(run, "item_id long, doc_id long, score long").where("score > 0")
+    some = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(likely, "doc_id long, text string")
+    found = some.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "items")  # one plan at every size
+    return found.mapInArrow(run, "item_id long, doc_id long, score long").where("score > 0")
 
 
 def slot_table(terms_of: DataFrame) -> np.ndarray:
@@ -296,9 +308,9 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, label: str = "searc
         first = highest_bounds(signatures, queries, top)
         first = first.withColumn("place", F.row_number().over(order.orderBy(F.desc("bound"), "doc_id"))).where(F.col("place") <= top).drop("place")
         tried = scored(docs, settle(first, f"{label}-first"), queries)
-        tried = tried.withColumn("place", F.row_number().over(order.orderBy(F.desc("score")))).where(F.col("place") == top)
-        floor = {r.item_id: r.score for r in tried.collect()}  # a row a query
-        floors = np.array([max(1, floor.get(x, 1)) for x in queries.ids], np.int64)
+        tried = tried.withColumn("place", F.row_number().over(order.orderBy(F.desc("score"), "doc_id"))).where(F.col("place") == top)
+        floor = {r.item_id: (r.score, r.doc_id) for r in tried.collect()}  # a row a query
+        floors = np.array([floor.get(x, (1, (1 << 63) - 1)) for x in queries.ids], np.int64)
         out = out.union(settle(scored(docs, settle(reaching(signatures, queries, floors), f"{label}-open"), queries), f"{label}-scored"))
     ranked = out.withColumn("rank", F.row_number().over(order.orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= top)
     return ranked.select("item_id", "rank", "doc_id", "score")
