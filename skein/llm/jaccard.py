@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import chunks, mix, shingle_hashes, unused, words
@@ -33,8 +33,6 @@ RUN_KEYS, BUCKET_BYTES = 1 << 18, 8 << 20
 
 #: Classes of a bucket that are compared with each other: so many at most, else they are keyed by rare shingles.
 SMALL = 32
-#: Counters of the table that tells rare shingles from frequent ones: a bounded broadcast.
-SLOTS = 1 << 18
 #: 64-bit words of the parity bits that screen candidates.
 PARITY_WORDS = 16
 _PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
@@ -224,50 +222,31 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def rare_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, label: str) -> DataFrame:
     """(a, b): pairs of classes (lo, part) of different parts that may link, from their sets (lo, n, hashes). In one order of all shingles, linked sets
-    share one among the first n - ceil(n * num / den) + 1 of either. The order is by how many classes hold a shingle, as far as a table of SLOTS
-    counters tells, rarest first: what many texts share, such as a template, then is no key, and few classes meet under one."""
-    slot = F.pmod(F.xxhash64("lo"), F.lit(SLOTS))
-    slots = classes.select(slot.alias("slot")).distinct()  # SLOTS rows at most: few other sets come with those asked for, while these are few
-    some = sets.select("lo", "n", "hashes").join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
-    held = settle(some.join(classes, "lo").select("lo", "part", "n", "hashes"), f"{label}-held")
-    mask = np.uint64(SLOTS - 1)
-
-    def hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            found = hashes_of(batch)
-            if found:
-                counts += np.bincount((np.concatenate(found) & mask).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
-
-    counted = held.mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
-    table = np.zeros(SLOTS, np.int64)
-    table[[r.slot for r in counted]] = [r.n for r in counted]
-    shared = sets.sparkSession.sparkContext.broadcast(table)
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_by = shared.value
+    share one among the first n - ceil(n * num / den) + 1 of either. The order is by how many of the classes hold a shingle, rarest first: what many texts
+    share, such as a template, then is a key only of sets that have little besides it. Shingles of one class alone come first and are no keys; a
+    class of which they are too many offers none. Counts are exact: the shingles of the classes asked for are shuffled by themselves."""
+    held = sets.select("lo", "n", "hashes").join(classes, "lo").select("lo", "part", "n", "hashes")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            taken = []
-            for s in hashes_of(batch):
-                order = np.lexsort((s, held_by[(s & mask).astype(np.int64)]))
-                taken.append(s[order[: len(s) + 1 - -(-num * len(s) // den)]])
-            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in taken])
-            shingles = np.concatenate(taken) if taken else np.zeros(0, np.uint64)
-            for i in range(0, len(at), 100_000):
-                rows = pa.array(at[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(3)], pa.array(shingles[i : i + 100_000].view(np.int64))], ["lo", "part", "n", "shingle"])
-
-    keys = settle(held.mapInArrow(rarest, "lo long, part long, n long, shingle long"), f"{label}-rare")
-    open_keys = keys.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("shingle")
-    keys = settle(keys.join(open_keys, "shingle"), f"{label}-keys")
-    x, y = (keys.select("shingle", F.col("lo").alias(i), F.col("part").alias(f"p{i}"), F.col("n").alias(f"n{i}")) for i in ("a", "b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    return x.join(y, "shingle").where(fits).select("a", "b").distinct()
+            for i in range(batch.num_rows):
+                s = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
+                for at in range(0, len(s), 100_000):
+                    part = pa.array(s[at : at + 100_000])
+                    yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(k)[i], len(part)) for k in range(3)], part], ["lo", "part", "n", "shingle"])
+
+    each = settle(held.mapInArrow(spread, "lo long, part long, n long, shingle long"), f"{label}-each")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("m > 1")
+    shared = each.join(shared.select("shingle", "m", (F.col("least") != F.col("most")).alias("open")), "shingle")
+    mine = Window.partitionBy("lo")
+    place = F.row_number().over(mine.orderBy("m", "shingle"))
+    first = shared.withColumns({"place": place, "k": F.count("*").over(mine)}).where(F.col("place") <= F.col("k") + 1 - F.ceil(F.col("n") * num / den))
+    keys = settle(first.where("open").select("lo", "part", "n", "k", "shingle"), f"{label}-keys")
+    x, y = (keys.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("lo", "part", "n", "k")]) for i in ("a", "b"))
+    # what either has alone is in no intersection; of two that link, the one with less of it has half of what there may be at most
+    x = x.where((F.col("n_a") - F.col("k_a")) * 2 * num <= F.col("k_a") * (den - num))
+    fits = (F.col("part_a") != F.col("part_b")) & (F.least("k_a", "k_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
+    return x.join(y, "shingle").where(fits).select(F.least("lo_a", "lo_b").alias("a"), F.greatest("lo_a", "lo_b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, label: str = "jaccard") -> DataFrame:
