@@ -207,22 +207,6 @@ def u05(s: SparkSession, d: str) -> DataFrame:
     return a.select("importance", "points").exceptAll(a.where("status = 'rejected'").select("importance", "points"))
 
 
-@query("u06_upsert", "SELECT coalesce(n.key, o.key) AS key, coalesce(n.v, o.v) AS v FROM (SELECT source_id AS key, max(points) AS v FROM {art} WHERE status = 'published' GROUP BY 1) o FULL JOIN (SELECT source_id AS key, max(trend) AS v FROM {art} WHERE status = 'overflow' GROUP BY 1) n ON o.key = n.key")
-def u06(s: SparkSession, d: str) -> DataFrame:
-    """Incoming rows replace stored rows of their key."""
-    a = articles(s, d)
-    stored = a.where("status = 'published'").groupBy(c("source_id").alias("key")).agg(F.max("points").alias("v"))
-    new = a.where("status = 'overflow'").groupBy(c("source_id").alias("key")).agg(F.max("trend").alias("w"))
-    return stored.join(new, "key", "full").select("key", F.coalesce("w", "v").alias("v"))
-
-
-@query("u07_replace_days", "SELECT day, n FROM (SELECT day, count(*) AS n FROM {ev} WHERE day < DATE '2024-01-28' GROUP BY 1) UNION ALL SELECT day, count(DISTINCT who) FROM {ev} WHERE day >= DATE '2024-01-28' GROUP BY 1", dates="day")
-def u07(s: SparkSession, d: str) -> DataFrame:
-    e, cut = events(s, d), F.lit("2024-01-28").cast("date")
-    old, new = e.groupBy("day").agg(F.count("*").alias("n")), e.where(c("day") >= cut).groupBy("day").agg(F.count_distinct("who").alias("n"))
-    return old.join(new, "day", "left_anti").unionByName(new)
-
-
 @query("u08_bounded_update", "SELECT id, CASE WHEN r <= 50 THEN '' ELSE title END AS title FROM (SELECT id, title, row_number() OVER (ORDER BY published_at, id) AS r FROM {art} WHERE status = 'rejected')")
 def u08(s: SparkSession, d: str) -> DataFrame:
     """Only the 50 oldest rows are cleared: they are found by a bounded top-k, the rest never meets in one task."""
@@ -236,11 +220,6 @@ def u09(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).where(F.abs(c("points") / 1000 - c("trend") / 50.0) > 0.25).select("id", F.round(c("points") / 1000, 4).alias("score"))
 
 
-@query("u10_retention", "SELECT event_id FROM {ev} WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY")
-def u10(s: SparkSession, d: str) -> DataFrame:
-    return events(s, d).where(c("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00' - INTERVAL '20' DAY")).select("event_id")
-
-
 @query("u12_overflow_flip", "SELECT id, CASE WHEN r > 3 THEN 'overflow' ELSE status END AS status FROM (SELECT id, status, row_number() OVER (PARTITION BY story_id ORDER BY importance DESC, id) AS r FROM {art})")
 def u12(s: SparkSession, d: str) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("importance"), "id"))
@@ -253,14 +232,6 @@ def u15(s: SparkSession, d: str) -> DataFrame:
     return e.where(~c("old_n").eqNullSafe(c("new_n")))
 
 
-@query("u16_backup_accumulate", "SELECT coalesce(n.id, o.id) AS id, coalesce(n.v, o.v) AS v FROM (SELECT id, points AS v FROM {art} WHERE status <> 'new') o FULL JOIN (SELECT id, trend AS v FROM {art} WHERE lang = 'en') n ON n.id = o.id WHERE coalesce(n.id, o.id) NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-def u16(s: SparkSession, d: str) -> DataFrame:
-    a = articles(s, d)
-    old, new = a.where("status <> 'new'").select("id", c("points").alias("v")), a.where("lang = 'en'").select("id", c("trend").alias("w"))
-    gone = load(s, d, "labels").where("toxic = 1").select(c("doc_id").alias("id"))
-    return old.join(new, "id", "full").join(gone, "id", "left_anti").select("id", F.coalesce("w", "v").alias("v"))
-
-
 @query("s09_registry_sync", f"SELECT coalesce(s.source_id, a.source_id) AS source_id, s.source_id IS NOT NULL AS listed, coalesce(a.n, 0) AS articles FROM (SELECT * FROM {_SRC} WHERE source_id <= 30) s FULL JOIN (SELECT source_id, count(*) AS n FROM {{art}} GROUP BY 1) a ON s.source_id = a.source_id")
 def s09(s: SparkSession, d: str) -> DataFrame:
     listed = sources(s, d).where("source_id <= 30").select("source_id", F.lit(True).alias("here"))
@@ -287,9 +258,3 @@ def s18(s: SparkSession, d: str) -> DataFrame:
 @query("s25_copy_missing", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def s25(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").join(load(s, d, "labels"), "doc_id", "left_anti").select(c("doc_id").alias("id"))
-
-
-@query("k16_archive_append", "SELECT story_id, max(published_at) AS last_at, count(*) AS n FROM {art} a GROUP BY story_id HAVING max(published_at) < TIMESTAMP '2024-01-20 00:00:00'")
-def k16(s: SparkSession, d: str) -> DataFrame:
-    g = articles(s, d).groupBy("story_id").agg(F.max("published_at").alias("last_at"), F.count("*").alias("n"))
-    return g.where(c("last_at") < F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"))

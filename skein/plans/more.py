@@ -187,11 +187,6 @@ def u13(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).groupBy("user_id").agg(F.count_if(c("type") == "search").alias("failures")).where("failures < 15")
 
 
-@query("u14_revisions", "SELECT id, max(rev) AS rev FROM (SELECT id, 1 AS rev FROM {art} UNION ALL SELECT id, 2 FROM {art} WHERE status <> 'new' UNION ALL SELECT id, 3 FROM {art} WHERE status = 'published') GROUP BY id")
-def u14(s: SparkSession, d: str) -> DataFrame:
-    return articles(s, d).select("id", F.when(c("status") == "published", 3).when(c("status") != "new", 2).otherwise(1).alias("rev"))
-
-
 @query("f53_source_names", "SELECT source, CASE source WHEN 'direct' THEN 'Direct' WHEN 'bsky.app' THEN 'Bluesky' ELSE 'Google' END AS name, count(*) AS n FROM {ev} GROUP BY 1, 2")
 def f53(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).groupBy("source").agg(F.count("*").alias("n")).select("source", U.source_name(c("source")).alias("name"), "n")
