@@ -153,15 +153,6 @@ def k01(s: SparkSession, d: str) -> DataFrame:
     return a.select("story_id", "article_count", F.array_join(F.transform("xs", lambda x: F.to_json(x)), ",").alias("articles"))
 
 
-@query("k02_news_rss", "SELECT id, '<item><title>' || replace(replace(replace(substr(title, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title><pubDate>' || strftime(published_at, '%Y-%m-%d') || '</pubDate></item>' AS item FROM {art} WHERE status = 'published' ORDER BY published_at DESC, id LIMIT 60")
-def k02(s: SparkSession, d: str) -> DataFrame:
-    title = F.substring("title", 1, 80)
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        title = F.replace(title, F.lit(raw), F.lit(safe))
-    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><pubDate>"), F.date_format("published_at", "yyyy-MM-dd"), F.lit("</pubDate></item>"))
-    return articles(s, d).where("status = 'published'").orderBy(F.desc("published_at"), "id").limit(60).select("id", item.alias("item"))
-
-
 @query("k04_podcast_durations", "SELECT id, lpad(CAST(n_chars // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS duration FROM {art}")
 def k04(s: SparkSession, d: str) -> DataFrame:
     n = c("n_chars")
