@@ -60,7 +60,7 @@ def tagged(events: DataFrame, zones: DataFrame, start: str, until: str | None =
         wide = wide.where(F.col("ts") < F.expr(f"TIMESTAMP_NTZ '{until}' + INTERVAL '1' DAY"))
     by = Window.partitionBy("who")
     alone = (n_if(F.col("type") == "view").over(by) == 1) & (n_if(did_something()).over(by) == 0) & (n_if(F.coalesce("source", F.lit("direct")) != "direct").over(by) == 0)
-    marked = wide.withColumn("alone", alone).join(F.broadcast(zones.select(F.col("tz").alias("zone"))), F.col("tz") == F.col("zone"), "left")
+    marked = wide.withColumn("alone", alone).join(zones.select(F.col("tz").alias("zone")), F.col("tz") == F.col("zone"), "left")
     auto = F.when(((F.col("type") == "view") | passive()) & F.col("alone") & F.col("zone").isNotNull(), 1).otherwise(0)
     rows = marked.withColumn("auto", auto).drop("alone", "zone").where(F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{start}'"))
     return rows.where(F.col("ts") < F.expr(f"TIMESTAMP_NTZ '{until}'")) if until else rows

@@ -47,7 +47,6 @@ over_articles("f42_price_text", "CASE WHEN points = 0 THEN 'free' ELSE '$' || CA
 over_articles("f52_velocity", "round(least(1.0, (ln(1 + points) + 0.6 * ln(1 + trend)) / 6.0 * (24.0 / greatest(epoch(TIMESTAMP '2024-01-31 00:00:00' - published_at) / 3600.0, 6.0))), 6) AS velocity",
               lambda: dict(velocity=F.round(F.least(F.lit(1.0), T.popularity(c("points"), c("trend")) / 6.0 * (24.0 / F.greatest(F.timestamp_diff("SECOND", "published_at", _at("2024-01-31 00:00:00")) / 3600.0, F.lit(6.0)))), 6)))
 over_articles("f69_position_words", "CASE WHEN points % 60 <= 3 THEN 'top three' WHEN points % 60 <= 10 THEN 'first page' ELSE 'page ' || CAST((points % 60 + 9) // 10 AS VARCHAR) END AS place", lambda: dict(place=F.when(c("points") % 60 <= 3, "top three").when(c("points") % 60 <= 10, "first page").otherwise(F.concat(F.lit("page "), F.floor((c("points") % 60 + 9) / 10).cast("string")))))
-over_articles("f72_change_kind", "CASE WHEN trend = points % 50 THEN 'same' WHEN trend < points % 50 THEN 'up' ELSE 'down' END AS change", lambda: dict(change=F.when(c("trend") == c("points") % 50, "same").when(c("trend") < c("points") % 50, "up").otherwise("down")))
 over_articles("f73_note_sentence", "CAST(points AS VARCHAR) || CASE WHEN points = 1 THEN ' reader' ELSE ' readers' END || ' for ' || category AS said", lambda: dict(said=F.concat(c("points").cast("string"), F.when(c("points") == 1, " reader").otherwise(" readers"), F.lit(" for "), "category")))
 over_articles("f74_figure_guard", "len(regexp_extract_all(title, '[0-9]+')) = 0 AS same", lambda: dict(same=F.size(F.array_except(F.regexp_extract_all("title", F.lit("[0-9]+"), F.lit(0)), F.array(F.lit("none")))) == 0))
 over_articles("f81_quick_facts", "array_to_string(list_filter([CASE WHEN points > 500 THEN 'Popular' END, CASE WHEN importance > 8 THEN 'Important' END, 'By ' || source_key], lambda x: x IS NOT NULL), ';') AS facts", lambda: dict(facts=F.array_join(F.array_compact(F.array(F.when(c("points") > 500, "Popular"), F.when(c("importance") > 8, "Important"), F.concat(F.lit("By "), "source_key"))), ";")))
@@ -197,7 +196,7 @@ def f54(s: SparkSession, d: str) -> DataFrame:
     from skein.plans.readers import heavy
 
     z = heavy(s, d).select(c("tz").alias("h"))
-    zones = events(s, d).select("tz").distinct().join(F.broadcast(z), c("tz") == c("h"), "left")
+    zones = events(s, d).select("tz").distinct().join(z, c("tz") == c("h"), "left")
     return zones.select("tz", c("h").isNotNull().alias("heavy"), F.concat(F.lit("zone "), F.substring("tz", 2, 5)).alias("phrase"))
 
 

@@ -74,7 +74,6 @@ over_articles("f58_reading_minutes", "greatest(1, round_even(n_chars / 1000.0, 0
 over_articles("f59_iso_z", "strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS at", lambda: dict(at=F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
 over_articles("f65_token_estimate", "CAST(ceil(n_chars / 4.0) AS BIGINT) AS n", lambda: dict(n=F.ceil(c("n_chars") / 4.0).cast("long")))
 over_articles("f67_query_sanitiser", r"regexp_replace(regexp_replace(title || ' me@x.org 123456', '[^ @]+@[^ @]+', '', 'g'), '[0-9]{5,}', '', 'g') AS clean", lambda: dict(clean=F.regexp_replace(F.regexp_replace(F.concat("title", F.lit(" me@x.org 123456")), "[^ @]+@[^ @]+", ""), "[0-9]{5,}", "")))
-over_articles("f70_nice_scale", "CAST(pow(10, floor(log10(greatest(n_chars, 1)))) AS BIGINT) AS step", lambda: dict(step=F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(c("n_chars"), F.lit(1))))).cast("long")))
 over_articles("f71_short_number", "CASE WHEN n_chars >= 1000 THEN CAST(n_chars // 1000 AS VARCHAR) || 'k' ELSE CAST(n_chars AS VARCHAR) END AS short", lambda: dict(short=F.when(c("n_chars") >= 1000, F.concat(F.floor(c("n_chars") / 1000).cast("string"), F.lit("k"))).otherwise(c("n_chars").cast("string"))))
 over_articles("f76_clean_name", "replace(replace(title, chr(8203), ''), chr(8209), '-') AS name", lambda: dict(name=F.translate("title", "‑​", "-")))
 over_articles("f77_path_key", r"regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(index\.html)?/*$', '') AS path", lambda: dict(path=F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1), r"(index\.html)?/*$", "")))
@@ -86,7 +85,6 @@ over_articles("p02_computed_columns", "coalesce(length(text), -1) AS n, coalesce
 over_articles("p03_text_prefix", "substr(text, 1, 600) AS lead", lambda: dict(lead=F.substring("text", 1, 600)))
 over_articles("p17_page_date", "CASE WHEN published_at >= created_at - INTERVAL 1 HOUR THEN 'feed' ELSE 'page' END AS chosen", lambda: dict(chosen=F.when(c("published_at") >= c("created_at") - F.expr("INTERVAL '1' HOUR"), "feed").otherwise("page")))
 over_articles("p18_source_type", "CASE WHEN source_key IN ('src0', 'src5') THEN 'primary' WHEN source_type = 'community' THEN 'press' ELSE source_type END AS kind", lambda: dict(kind=F.when(c("source_key").isin("src0", "src5"), "primary").when(c("source_type") == "community", "press").otherwise(c("source_type"))))
-over_articles("p37_old_news", r"len(regexp_extract_all(title, '[\(\[](19|20)[0-9][0-9][\)\]]')) > 0 OR published_at < TIMESTAMP '2024-01-21 00:00:00' AS old", lambda: dict(old=c("title").rlike(r"[\(\[](19|20)[0-9][0-9][\)\]]") | (c("published_at") < F.expr("TIMESTAMP_NTZ '2024-01-21 00:00:00'"))))
 over_articles("p43_tidy", "CASE WHEN status = 'rejected' THEN NULL ELSE title END AS title, CASE WHEN published_at < TIMESTAMP '2024-01-10 00:00:00' THEN NULL ELSE domain END AS domain", lambda: dict(title=F.when(c("status") != "rejected", c("title")), domain=F.when(c("published_at") >= F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'"), c("domain"))))
 over_articles("s24_rules_only_summary", r"""array_to_string(list_filter(string_split(regexp_replace(trim(text), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 20)[1:3], ' ') AS summary, 'heuristic' AS model""",
               lambda: dict(summary=F.array_join(F.slice(F.filter(T.sentences(c("text")), lambda x: F.length(x) > 20), 1, 3), " "), model=F.lit("heuristic")))
