@@ -1,4 +1,4 @@
-"""Queries of ordered operators and learned ranking."""
+"""Queries of ordered operators and learned ranking."""
 
 from __future__ import annotations
 
@@ -17,6 +17,13 @@ from skein.sources import html
 c = F.col
 
 
+@query("x01_online_clusters")
+def x01(s: SparkSession, d: str) -> DataFrame:
+    """One run within a label and thirty days, without takeovers; x01_clusters_over_runs goes on from run to run."""
+    e = load(s, d, "embeddings").select(F.concat_ws("-", "label", F.floor(c("vec_id") / 720)).alias("block"), "vec_id", "embedding")
+    return O.greedy_clusters(e, "block", "vec_id", "embedding", 0.3)
+
+
 @query("x05_deal_folding")
 def x05(s: SparkSession, d: str) -> DataFrame:
     return O.fold_deals(deals(s, d))

@@ -155,8 +155,8 @@ def u11(s: SparkSession, d: str) -> DataFrame:
 # -- online clusters --------------------------------------------------------------------------------------------------------------------------
 
 
-@query("x01_online_clusters")
-def x01(s: SparkSession, d: str) -> DataFrame:
+@query("x01_clusters_over_runs")
+def x01_runs(s: SparkSession, d: str) -> DataFrame:
     """Each vector's article with the story that it joins, placed in two runs, the second of which starts from the first one's open stories."""
     e = load(s, d, "embeddings").select("vec_id", c("label").alias("topic"), c("embedding").alias("v"))
     a = articles(s, d).select("id", c("published_at").alias("at"), L.news_ok(c("title"), c("content_type")).alias("news"), "importance", (c("source_type") == "primary").alias("primary"))
