@@ -59,3 +59,21 @@ def t06(s: SparkSession, d: str) -> DataFrame:
 def t16(s: SparkSession, d: str) -> DataFrame:
     n = R.event_stream(s, d).where("event_type = 'purchase'").groupBy("user_id").agg(F.round(F.max("value"), 6).alias("depth"))
     return R.drained(n, "t16")
+
+
+_SETTLED = """WITH RECURSIVE a AS (SELECT user_id, min(ts) AS t FROM events GROUP BY 1
+  UNION ALL SELECT a.user_id, min(e.ts) AS t FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.t + INTERVAL 29 HOUR GROUP BY a.user_id, a.t)
+SELECT e.event_id, e.user_id, epoch_us(max(a.t)) AS first_us FROM events e JOIN a ON a.user_id = e.user_id AND a.t <= e.ts
+WHERE e.ts < (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2"""
+
+
+@query("t12_settled_runs_stream", _SETTLED)
+def t12_settled(s: SparkSession, d: str) -> DataFrame:
+    """Runs of users' events, each told once when a day has passed: what of the last day is still open isn't told."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    was = s.conf.get(store)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return R.drained(R.settled_runs(R.event_stream(s, d), 29 * 3600, "1 day"), "t12-settled", "append")
+    finally:
+        s.conf.set(store, was)

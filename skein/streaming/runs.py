@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.shared import new_path
@@ -96,3 +97,57 @@ def anchored(events: DataFrame, seconds: int) -> DataFrame:
 
     rows = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, first_us long, seen long", "times array<long>, ids array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Runs(StatefulProcessor):
+    """A user's runs in event time. The state is the events that an earlier one could still come before, and the start of the last run until it is over."""
+
+    def __init__(self, seconds: int) -> None:
+        self.length = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long")
+        self.anchor = handle.getValueState("anchor", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t), int(i)) for pdf in rows for t, i in zip(pdf["us"], pdf["event_id"], strict=True)]
+        self.waiting.appendList(new)
+        self._wake(min(t for t, _ in new))
+        yield pd.DataFrame({"user_id": [], "event_id": [], "first_us": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((int(t), int(i)) for t, i in self.waiting.get())
+        settled, later = [x for x in held if x[0] <= mark], [x for x in held if x[0] > mark]
+        first = int(self.anchor.get()[0]) if self.anchor.exists() else None
+        out = []
+        for t, i in settled:
+            if first is None or t - first >= self.length:
+                first = t
+            out.append((key[0], i, first))
+        if later:
+            self.waiting.put(later)
+            self._wake(later[0][0])
+        else:
+            self.waiting.clear()
+        if first is not None and first + self.length > mark:
+            self.anchor.update((first,))
+            self._wake(first + self.length)
+        else:
+            self.anchor.clear()
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "first_us"])
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def settled_runs(events: DataFrame, seconds: int, late: str) -> DataFrame:
+    """(user_id, event_id, first_us) as anchored gives them, of each event once, when none earlier can come any more: a stream in which events come up to
+    `late` after newer ones. A run that is over leaves the state, which holds a user's events of the last `late` and one start. Events that come later than
+    that are dropped. The state store must be one with timers (RocksDB)."""
+    rows = events.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").transformWithStateInPandas(_Runs(seconds), "user_id long, event_id long, first_us long", "Append", "EventTime")
