@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.bind import articles, entities, events, load
 from skein.functions import text as T
 from skein.registry import query
+from skein.shared import settle
 
 c = F.col
 _SRC = "(SELECT CAST(s_suppkey AS INTEGER) AS source_id, s_name AS name, s_acctbal AS weight FROM supplier)"
@@ -158,23 +159,37 @@ def j29(s: SparkSession, d: str) -> DataFrame:
   r AS (SELECT a, b, round(3 * shared + CASE WHEN p.category = q.category THEN 1 ELSE 0 END - least(abs(epoch(p.at - q.at)) / 86400, 30) / 10, 4) AS weight FROM w JOIN d p ON p.story_id = a JOIN d q ON q.story_id = b)
   SELECT a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS k FROM r WHERE weight > 0) WHERE k <= 5""")
 def j30(s: SparkSession, d: str) -> DataFrame:
-    """Three for each shared name, one for the category, less for the days between; five a story. Stories meet within fifteen days: by name and
-    period, so that a name's rows are compared with those of two periods and not with all it ever had."""
-    story = articles(s, d).groupBy("story_id").agg(F.max("published_at").alias("at"), F.any_value("category").alias("category"))
-    n = entities(s, d).where("kind <> 'person'").select("story_id", F.lower("name").alias("name")).distinct().join(story.select("story_id", "at"), "story_id")
-    span = 15 * 86400
-    n = n.select("name", "story_id", F.unix_seconds(c("at").cast("timestamp")).alias("t")).withColumn("period", F.floor(c("t") / span))
-    x = n.select("name", c("story_id").alias("x"), c("t").alias("tx"), F.explode(F.array("period", c("period") + 1)).alias("period"))
-    y = n.select("name", c("story_id").alias("y"), c("t").alias("ty"), "period")
-    same = F.floor(c("tx") / span) == c("period")  # within a period either of two may come first
-    met = x.join(y, ["name", "period"]).where((c("x") != c("y")) & (F.abs(c("tx") - c("ty")) <= span) & (~same | (c("x") < c("y"))))
-    half = met.groupBy("x", "y").agg(F.count("*").alias("shared"))
-    shared = half.select(c("x").alias("a"), c("y").alias("b"), "shared").unionByName(half.select(c("y").alias("a"), c("x").alias("b"), "shared"))
-    p, q = (story.select(c("story_id").alias(z), c("at").alias(f"{z}_at"), c("category").alias(f"{z}_category")) for z in ("a", "b"))
-    days = F.abs(F.timestamp_diff("SECOND", "b_at", "a_at")) / 86400
-    weight = F.round(3 * c("shared") + F.when(c("a_category") == c("b_category"), 1).otherwise(0) - F.least(days, F.lit(30.0)) / 10, 4)
-    r = shared.join(p, "a").join(q, "b").select("a", "b", weight.alias("weight")).where("weight > 0")
-    return r.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))).where("k <= 5").drop("k")
+    """Three for each shared name, one for the category, less for the days between; five a story, within fifteen days.
+
+    Stories never meet one by one. Those of one set of names, time and category are a cell, of which the six smallest ids can be asked for (one may be the
+    asking story itself). A shared name more outweighs category and days together, so a cell looks at the sets of names that share most, down to
+    the level at which its period of fifteen days has six stories. Sets of names meet by name; cells of two sets in neighbouring periods."""
+    span, best = 15 * 86400, 5
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', max(published_at))")
+    story = articles(s, d).groupBy("story_id").agg(at.alias("t"), F.any_value("category").alias("category"))
+    named = entities(s, d).where("kind <> 'person'").groupBy("story_id").agg(F.array_sort(F.collect_set(F.lower("name"))).alias("names"))
+    named = settle(named.join(story, "story_id").where("size(names) > 0 AND t IS NOT NULL").withColumn("period", F.floor(c("t") / span)), "j30-named")
+    sets = settle(named.groupBy("names").agg(F.min("story_id").alias("p")), "j30-sets")
+    stories = settle(named.join(sets, "names").drop("names"), "j30-stories")
+
+    each = sets.select("p", F.explode("names").alias("name"))
+    shared = each.join(each.withColumnRenamed("p", "q"), "name").groupBy("p", "q").agg(F.count("*").alias("shared"))
+    held = stories.groupBy("p", "period").agg(F.count("*").alias("n"))
+    near = shared.join(held.select("p", "period"), "p").join(held.withColumnRenamed("p", "q"), ["q", "period"], "left")
+    levels = near.groupBy("p", "period", "shared").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("p", "period").orderBy(F.desc("shared")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = levels.withColumn("above", above).where(c("above") <= best).groupBy("p", "period").agg(F.min("shared").alias("least"))
+    asked = settle(shared.join(wanted, "p").where("shared >= least").select("p", "q", "period", "shared"), "j30-asked")
+
+    cell = ["p", "t", "category"]
+    heads = stories.withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy("story_id"))).where(c("k") <= best + 1)
+    heads = heads.select(c("p").alias("q"), c("story_id").alias("b"), c("t").alias("tb"), c("category").alias("cb"), F.explode(F.array(c("period") - 1, c("period"), c("period") + 1)).alias("period"))
+    met = stories.select(*cell, "period").distinct().join(asked, ["p", "period"]).join(heads, ["q", "period"]).where(F.abs(c("t") - c("tb")) <= span)
+    weight = F.round(3 * c("shared") + F.when(c("category") == c("cb"), 1).otherwise(0) - F.abs(c("t") - c("tb")) / 86400 / 10, 4)
+    met = met.select(*cell, "b", weight.alias("weight")).withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("weight"), "b")))
+    tops = settle(met.where(c("k") <= best + 1).drop("k").withColumnRenamed("category", "ca"), "j30-tops")
+    r = stories.select(c("story_id").alias("a"), *cell).join(tops, ["p", "t"]).where(c("category").eqNullSafe(c("ca")) & (c("a") != c("b"))).select("a", "b", "weight")
+    return r.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))).where(c("k") <= best).drop("k")
 
 
 @query("u01_union_first_wins", "SELECT id, min(place) AS place FROM (SELECT id, 1 AS place FROM {art} WHERE importance >= 9 UNION ALL SELECT id, 2 FROM {art} WHERE points > 900) GROUP BY id")
