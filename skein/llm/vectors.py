@@ -21,7 +21,7 @@ from skein.llm.common import mix
 from skein.shared import connected, settle
 
 #: Neighbours of a node (twice as many on the lowest layer), beam while building, first beam of a search.
-NEIGHBOURS, BUILD_BEAM, BEAM = 16, 48, 48
+NEIGHBOURS, BUILD_BEAM, BEAM = 16, 32, 16
 #: Bytes of a shard's vectors and links and its vectors at most, and shards at least; queries searched at once.
 SHARD_BYTES, SHARD_ROWS, LEAST_SHARDS, BATCH = 96 << 20, 65_536, 6, 512
 #: Audited queries of a task: so many at least and this share; more, up to AUDIT_MOST of all, until they have AUDIT_PAIRS true pairs. Recall they must show.
@@ -59,29 +59,33 @@ class Graph:
 
     def search(self, queries: np.ndarray, layer: Layer, start: tuple | None, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of the best `beam` nodes met from the start nodes on, best first; -1 where there are fewer."""
-        b = len(queries)
-        seen = np.zeros((b, len(self.unit) + 1), bool)
+        b, size = len(queries), len(self.unit)
+        seen = np.zeros((b, size + 1), bool)
         seen[:, -1] = True
         first = np.broadcast_to(layer.entry[:4], (b, len(layer.entry[:4]))) if start is None else start[0]
         ids, sims, opened = np.full((b, beam), -1, np.int64), np.full((b, beam), -2, np.float32), np.ones((b, beam), bool)
         live = np.arange(b)
-        fresh = first.astype(np.int64)
+        fresh = np.where(first < 0, size, first).astype(np.int64)
         while len(live):
-            # mark and score what is new
-            new = ~seen[live[:, None], fresh]
-            order = np.argsort(fresh, axis=1, kind="stable")
-            ordered = np.take_along_axis(fresh, order, 1)
-            again = np.zeros(fresh.shape, bool)
-            np.put_along_axis(again, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
-            new &= ~again
-            seen[live[:, None], fresh] = True
-            score = np.full(fresh.shape, -2, np.float32)
-            r, c = np.nonzero(new)
-            score[r, c] = np.einsum("ij,ij->i", queries[live[r]], self.unit[fresh[r, c]])
-            all_ids = np.concatenate([ids[live], np.where(new, fresh, -1)], axis=1)
-            all_sims = np.concatenate([sims[live], score], axis=1)
-            all_opened = np.concatenate([opened[live], ~new], axis=1)
-            best = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
+            # mark and score what is new, each node once; what is no better than a full beam's last can't enter it
+            r, c = np.nonzero(~seen[live[:, None], fresh])
+            flat = np.sort(r * (size + 1) + fresh[r, c])
+            flat = flat[np.concatenate([[True], flat[1:] != flat[:-1]])] if len(flat) else flat
+            r, node = flat // (size + 1), flat % (size + 1)
+            seen[live[r], node] = True
+            many = np.bincount(r, minlength=len(live))
+            score = np.einsum("ij,ij->i", np.repeat(queries[live], many, axis=0), self.unit.take(node, axis=0))
+            good = score > sims[live[r], -1]
+            r, node, score = r[good], node[good], score[good]
+            many = np.bincount(r, minlength=len(live))
+            column = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
+            shape = (len(live), int(many.max(initial=0)))
+            new_ids, new_sims = np.full(shape, -1, np.int64), np.full(shape, -2, np.float32)
+            new_ids[r, column], new_sims[r, column] = node, score
+            all_ids = np.concatenate([ids[live], new_ids], axis=1)
+            all_sims = np.concatenate([sims[live], new_sims], axis=1)
+            all_opened = np.concatenate([opened[live], new_ids < 0], axis=1)
+            best = np.argsort(-all_sims, axis=1)[:, :beam]
             ids[live], sims[live], opened[live] = (np.take_along_axis(x, best, 1) for x in (all_ids, all_sims, all_opened))
             # open the best nodes that are not opened yet
             closed = ~opened[live]
@@ -95,6 +99,7 @@ class Graph:
             chosen = np.where(take, ids[live], -1)
             chosen = np.take_along_axis(chosen, np.argsort(~take, axis=1, kind="stable")[:, :4], 1)
             fresh = np.where(chosen[:, :, None] >= 0, layer.links[chosen], -1).reshape(len(live), -1).astype(np.int64)
+            fresh[fresh < 0] = size  # always seen
         return ids, sims
 
     def _add(self, layer: Layer, nodes: np.ndarray, near: np.ndarray | None) -> None:
@@ -126,27 +131,30 @@ class Graph:
     def _spread(self, nodes: np.ndarray, candidates: np.ndarray, width: int) -> np.ndarray:
         """Of each node's candidates the nearest that are nearer to it than to those taken before, then the nearest of the rest."""
         candidates = candidates.astype(np.int64)
-        sims = np.einsum("ij,ikj->ik", self.unit[nodes], self.unit[candidates])
-        sims[(candidates < 0) | (candidates == nodes[:, None])] = -2
-        order = np.argsort(-sims, axis=1, kind="stable")
-        candidates, sims = np.take_along_axis(candidates, order, 1), np.take_along_axis(sims, order, 1)
-        by_id = np.argsort(candidates, axis=1, kind="stable")
-        ids = np.take_along_axis(candidates, by_id, 1)
-        again = np.zeros(candidates.shape, bool)
-        np.put_along_axis(again, by_id[:, 1:], ids[:, 1:] == ids[:, :-1], 1)
-        usable = (sims > -2) & ~again
-        crowd = np.full(candidates.shape, -2, np.float32)
-        taken = np.zeros(candidates.shape, bool)
-        for j in range(candidates.shape[1]):
-            pick = usable[:, j] & (crowd[:, j] < sims[:, j]) & (taken.sum(axis=1) < width)
-            taken[:, j] = pick
-            if pick.any() and j + 1 < candidates.shape[1]:
-                rows = np.flatnonzero(pick)
-                to_pick = np.einsum("ij,ikj->ik", self.unit[candidates[rows, j]], self.unit[candidates[rows, j + 1 :]])
-                crowd[rows, j + 1 :] = np.maximum(crowd[rows, j + 1 :], to_pick)
-        rank = np.where(taken, 0, np.where(usable, 1, 2))
-        best = np.argsort(rank, axis=1, kind="stable")[:, :width]
-        return np.where(np.take_along_axis(rank, best, 1) < 2, np.take_along_axis(candidates, best, 1), -1)
+        made = np.full((len(nodes), min(width, candidates.shape[1])), -1, np.int64)
+        held = (candidates >= 0).sum(axis=1)
+        order = np.argsort(held, kind="stable")
+        for at in range(0, len(nodes), BATCH):  # nodes of about as many candidates, so that one with very many widens few rows
+            rows = order[at : at + BATCH]
+            ids = np.sort(candidates[rows], axis=1)[:, ::-1][:, : held[rows[-1]]]  # missing ones last
+            usable = (ids >= 0) & (ids != nodes[rows, None])
+            usable[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+            sims = np.where(usable, np.matmul(self.unit[ids], self.unit[nodes[rows]][:, :, None])[:, :, 0], -2)
+            best = np.argsort(-sims, axis=1)
+            ids, sims, usable = (np.take_along_axis(x, best, 1) for x in (ids, sims, usable))
+            unit = self.unit[ids]
+            between = np.matmul(unit, unit.transpose(0, 2, 1))
+            crowd, taken = np.full(ids.shape, -2, np.float32), np.zeros(ids.shape, bool)
+            count = np.zeros(len(rows), int)
+            for j in range(ids.shape[1]):
+                pick = usable[:, j] & (crowd[:, j] < sims[:, j]) & (count < width)
+                taken[:, j] = pick
+                count += pick
+                np.maximum(crowd, between[:, j], out=crowd, where=pick[:, None])
+            rank = np.where(taken, 0, np.where(usable, 1, 2))
+            best = np.argsort(rank, axis=1, kind="stable")[:, :width]
+            made[rows, : best.shape[1]] = np.where(np.take_along_axis(rank, best, 1) < 2, np.take_along_axis(ids, best, 1), -1)
+        return made
 
     def descend(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         near = None
@@ -176,16 +184,16 @@ class Graph:
         """Nodes at a similarity of `least` or more to each query, as far as the beams find them."""
         queries = queries.astype(np.float32)
         truth = self.audited(queries, least, np.full(len(queries), -1) if own is None else own)
+        asked, sizes = np.array([i for i, _ in truth], int), np.array([len(t) for _, t in truth])
         beam = BEAM
-        while True:
-            if beam >= len(self.unit):
-                return [np.flatnonzero(x >= least) for at in range(0, len(queries), BATCH) for x in queries[at : at + BATCH] @ self.unit.T]
-            found = self._found(queries, least, beam)
-            hits = np.array([len(np.intersect1d(found[i], t)) for i, t in truth])
-            sizes = np.array([len(t) for _, t in truth])
-            if not len(hits) or (hits.sum() >= RECALL * sizes.sum() and (hits / sizes).mean() >= RECALL):
-                return found
+        while len(truth) and beam < len(self.unit):  # the audited queries find the beam, all others are searched with it once
+            hits = np.array([len(np.intersect1d(x, t)) for x, (_, t) in zip(self._found(queries[asked], least, beam), truth, strict=True)])
+            if hits.sum() >= RECALL * sizes.sum() and (hits / sizes).mean() >= RECALL:
+                break
             beam *= 2
+        if beam >= len(self.unit):
+            return [np.flatnonzero(x >= least) for at in range(0, len(queries), BATCH) for x in queries[at : at + BATCH] @ self.unit.T]
+        return self._found(queries, least, beam)
 
     def _found(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
         out: list = [None] * len(queries)
