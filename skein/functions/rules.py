@@ -248,19 +248,29 @@ def scrub(text: Column) -> Column:
     marks; without short ones at the end."""
     for code, mark in (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(code), F.lit(mark))
-    parts = paragraphs(text)
-    cut = F.filter(F.transform(parts, lambda p, i: F.when((i > F.size(parts) * 0.4) & (T.word_count(bare(p)) <= 6) & has(bare(p), CUT_HEADING), i)), lambda i: i.isNotNull())
-    parts = F.slice(parts, F.lit(1), F.coalesce(F.get(cut, F.lit(0)), F.size(parts)))
 
-    def stays(p: Column) -> Column:
+    def judged(p: Column) -> Column:
+        """A paragraph with its words and itself without the marks in front; what only short ones can be is asked of short ones."""
         plain = bare(p)
-        words = T.word_count(plain)
-        marks = (words <= 3) & ~p.startswith("#") & F.replace(plain, F.lit("'"), F.lit("")).rlike(WORDLESS)
-        return ~((has(plain, DROPPED) & (words < 40)) | (has(plain, INBOX) & (words < 45)) | (has(plain, META_LINE) & (words < 8)) | p.rlike(TICKER) | marks)
+        return F.struct(p.alias("p"), plain.alias("plain"), F.regexp_count(plain, F.lit(r"\S+")).alias("n"))
 
-    kept = F.filter(parts, stays)
-    last = F.array_max(F.transform(kept, lambda p, i: F.when(T.word_count(F.regexp_replace(p, r"^[#>* \-]+", "")) > 4, i + 1).otherwise(0)))
-    return F.array_join(F.slice(kept, F.lit(1), F.coalesce(last, F.lit(0))), "\n\n")
+    def cut(parts: Column) -> Column:
+        at = F.transform(parts, lambda x, i: F.when((i > F.size(parts) * 0.4) & (x["n"] <= 6), F.when(has(x["plain"], CUT_HEADING), i)))
+        return F.slice(parts, F.lit(1), F.coalesce(F.get(F.array_compact(at), F.lit(0)), F.size(parts)))
+
+    def stays(x: Column) -> Column:
+        p, plain, n = x["p"], x["plain"], x["n"]
+        short = F.when(n < 45, ((n < 40) & has(plain, DROPPED)) | has(plain, INBOX) | ((n < 8) & has(plain, META_LINE))).otherwise(F.lit(False))
+        marks = F.when((n <= 3) & ~p.startswith("#"), F.replace(plain, F.lit("'"), F.lit("")).rlike(WORDLESS)).otherwise(F.lit(False))
+        ticker = F.when(p.contains("▲") | p.contains("▼"), p.rlike(TICKER)).otherwise(F.lit(False))
+        return ~(short | ticker | marks)
+
+    def ended_by_words(kept: Column) -> Column:
+        last = F.array_max(F.transform(kept, lambda x, i: F.when(F.regexp_count(F.regexp_replace(x["p"], r"^[#>* \-]+", ""), F.lit(r"\S+")) > 4, i + 1).otherwise(0)))
+        return F.array_join(F.transform(F.slice(kept, F.lit(1), F.coalesce(last, F.lit(0))), lambda x: x["p"]), "\n\n")
+
+    # each list is computed once: an expression used inside a lambda is computed again for every element
+    return let(let(let(F.transform(paragraphs(text), judged), cut), lambda parts: F.filter(parts, stays)), ended_by_words)
 
 
 def risks(text: Column) -> Column:
