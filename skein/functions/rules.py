@@ -6,6 +6,8 @@ can run them as they stand; case doesn't matter unless a pattern is said to be e
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -398,11 +400,34 @@ def plain_dashes(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[‐-―−]", "-")
 
 
+#: For each swap a piece of a word that all it fits holds in small letters. No swap's words hold one, so a text that lacks it at first never gets it.
+_STEMS = ["language", "llm", "integrat", "url", "workflow", "leverag", "utili", "streamlin", "seamless", "effortless", "powerful", "robust", "cutting", "supercharg", "empower", "enable", "allow",
+          "deploy", "agentic", "hallucinat", "case", "functionalit", "facilitat", "optimal", "order", "capabilit", "powered", "driven"]
+
+
+def _stem(pattern: str) -> str:
+    return next(x for x in _STEMS if x in pattern.lower())
+
+
 def swap_jargon(text: Column) -> Column:
     """The plain word where one says the same, with the article before it set right."""
-    t = plain_dashes(squash(text))
-    for pattern, plain in SWAPS:
-        t = F.regexp_replace(t, f"(?i){pattern}", plain.replace("\\1", "$1"))
+    def swapped(x: Column) -> Column:
+        """Swaps are looked for only where the text has their stem: most texts have few."""
+        t = x["t"]
+        for stem, group in itertools.groupby(SWAPS, lambda swap: _stem(swap[0])):
+            t = let(t, where_stem(x["small"].contains(stem), list(group)))
+        return t
+
+    def where_stem(there: Column, swaps: list[tuple[str, str]]):
+        def swap(t: Column) -> Column:
+            done = t
+            for pattern, plain in swaps:
+                done = F.regexp_replace(done, f"(?i){pattern}", plain.replace("\\1", "$1"))
+            return F.when(there, done).otherwise(t)
+        return swap
+
+    t = let(plain_dashes(squash(text)), lambda t: F.struct(t.alias("t"), F.lower(t).alias("small")))
+    t = let(t, swapped)
     t = F.regexp_replace(t, r"\b([Aa])n (routine|connection|simpl\w*|set up|boost|let|made|help|best|features?|uses?|web)\b", "$1 $2")
     t = F.regexp_replace(t, r"\b([Aa]) (AI\b)", "$1n $2")
     return squash(t)
