@@ -580,9 +580,9 @@ def spellings(title: Column, names: Column) -> Column:
 
     def of_title(w: Column) -> Column:
         long = F.filter(w, lambda x: F.length(x) > 3)
-        heavy = (F.size(long) > 0) & (F.size(F.filter(long, lambda x: x.rlike("^[A-Z]"))) >= 0.6 * F.size(long))
-        kept = F.transform(w, lambda x, i: F.when(x.rlike("^.+[A-Z]") | (x.rlike("^[A-Z]") & ~F.when(i == 0, F.lower(x).isin(COMMON_FIRST)).otherwise(heavy)), x))
-        return F.array_compact(kept)
+        heavy = let(long, lambda y: (F.size(y) > 0) & (F.size(F.filter(y, lambda x: x.rlike("^[A-Z]"))) >= 0.6 * F.size(y)))
+        kept = lambda case: F.transform(w, lambda x, i: F.when(x.rlike("^.+[A-Z]") | (x.rlike("^[A-Z]") & ~F.when(i == 0, F.lower(x).isin(COMMON_FIRST)).otherwise(case)), x))
+        return F.array_compact(let(heavy, kept))
 
     own = F.filter(F.flatten(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.regexp_extract_all(n, F.lit(WORD), F.lit(0)))), lambda x: x.rlike("[A-Z]"))
     bare = lambda a: F.flatten(F.transform(a, lambda x: F.array(x, F.regexp_replace(x, "['’]s$", ""))))
@@ -595,27 +595,39 @@ def restore_case(headline: Column, title: Column, names: Column) -> Column:
     pieces = F.regexp_extract_all(F.trim(F.coalesce(headline, F.lit(""))), F.lit(rf"{WORD}|[^A-Za-z]+"), F.lit(0))
     title_words = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(WORD), F.lit(0))
 
-    def form(p: Column, spelled: Column, known: Column) -> Column:
+    def form(p: Column, x: Column) -> Column:
         """How a word should be written, or null."""
-        hit = F.get(F.filter(spelled, lambda s: F.lower(s) == F.lower(p)), F.lit(0))
+        hit = F.get(x["s"], F.array_position(x["low"], F.lower(p)).cast("int") - 1)
         small = (p == F.lower(p)) & p.rlike("[a-z]")
-        upper = F.lower(p).isin(ALWAYS_UPPER) & (~F.lower(p).isin(UPPER_OR_WORD) | F.array_contains(known, F.upper(p)))
+        upper = F.lower(p).isin(ALWAYS_UPPER) & (~F.lower(p).isin(UPPER_OR_WORD) | F.array_contains(x["t"], F.upper(p)))
         raised = p.rlike("^[A-Z][^A-Z]*$") & hit.rlike("^.+[A-Z]") & (hit != F.upper(hit)) & (F.substring(p, 2, 100) != F.substring(hit, 2, 100))
         return F.when(small & hit.isNotNull() & (hit != p), hit).when(small & hit.isNull() & upper, F.upper(p)).when(raised, hit)
 
+    def judged(x: Column) -> Column:
+        """Distinct pieces that are written otherwise, with their forms, and those that are right as they are."""
+        changed = F.filter(F.transform(x["d"], lambda p: F.struct(p.alias("p"), form(p, x).alias("form"))), lambda y: y["form"].isNotNull())
+        right = F.filter(x["d"], lambda p: (p.rlike("[A-Z]") & F.array_contains(x["s"], p)) | (F.lower(p).isin(ALWAYS_UPPER) & (p == F.upper(p))))
+        return F.struct(x["p"].alias("p"), changed["p"].alias("from"), changed["form"].alias("to"), right.alias("right"))
+
+    def better(x: Column) -> Column:
+        forms = F.transform(x["p"], lambda p: F.get(x["to"], F.array_position(x["from"], p).cast("int") - 1))
+        return F.struct(x["p"].alias("p"), forms.alias("better"), F.size(F.filter(x["p"], lambda p: F.array_contains(x["right"], p))).alias("right"))
+
     def fixed(x: Column) -> Column:
-        better = F.transform(x["p"], lambda p: form(p, x["s"], x["t"]))
-        wrong = F.size(F.array_compact(better))
-        right = F.size(F.filter(x["p"], lambda p: F.exists(x["s"], lambda s: (s == p) & p.rlike("[A-Z]")) | (F.lower(p).isin(ALWAYS_UPPER) & (p == F.upper(p)))))
+        wrong = F.size(F.array_compact(x["better"]))
         first = F.get(x["p"], F.lit(0))
         small_first = first.rlike("^[a-z]") & ~first.rlike("^.+[A-Z]")
         whole = F.array_join(x["p"], "")
-        act = ~whole.rlike("[A-Z]") | small_first | ((wrong > 0) & (wrong > right))
-        out = F.array_join(F.zip_with(x["p"], better, lambda p, b: F.coalesce(b, p)), "")
-        out = F.when(out.rlike("^[a-z]") & ~first.rlike("^.+[A-Z]") & ~F.coalesce(F.get(better, F.lit(0)).rlike("^.+[A-Z]"), F.lit(False)), F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1_000_000))).otherwise(out)
+        act = ~whole.rlike("[A-Z]") | small_first | ((wrong > 0) & (wrong > x["right"]))
+        out = F.array_join(F.zip_with(x["p"], x["better"], lambda p, b: F.coalesce(b, p)), "")
+        begun = ~first.rlike("^.+[A-Z]") & ~F.coalesce(F.get(x["better"], F.lit(0)).rlike("^.+[A-Z]"), F.lit(False))
+        out = let(out, lambda o: F.when(o.rlike("^[a-z]") & begun, F.concat(F.upper(F.substring(o, 1, 1)), F.substring(o, 2, 1_000_000))).otherwise(o))
         return F.when(act, out).otherwise(whole)
 
-    return let(F.struct(pieces.alias("p"), spellings(title, names).alias("s"), title_words.alias("t")), fixed)
+    # a title may be thousands of words: each distinct one is judged once, and lists that all words are held against are computed once
+    known = F.struct(pieces.alias("p"), F.array_distinct(spellings(title, names)).alias("s"), F.array_distinct(title_words).alias("t"))
+    known = let(known, lambda x: F.struct(x["p"].alias("p"), F.array_distinct(x["p"]).alias("d"), x["s"].alias("s"), F.transform(x["s"], F.lower).alias("low"), x["t"].alias("t")))
+    return let(let(let(known, judged), better), fixed)
 
 
 def discipline(headline: Column, title: Column, names: Column) -> Column:
