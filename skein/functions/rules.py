@@ -455,22 +455,26 @@ def overlap(a: Column, b: Column) -> Column:
 def phrase_prefixes(text: Column, most_words: int, most_chars: int | None = None) -> Column:
     """Leading parts of a phrase, longest first, that end where a phrase can: before a joining word, not on one, not at a comma, and not within
     three words of one."""
-    t = F.regexp_replace(squash(text), r"\.+$", "")
-    words = F.split(t, " ")
-    n = F.size(words)
     fits = lambda line: F.lit(True) if most_chars is None else F.length(line) <= most_chars
-    whole = F.when((n <= most_words) & fits(t) & (t != ""), F.array(t)).otherwise(F.array().cast("array<string>"))
-    sizes = F.filter(F.sequence(F.lit(most_words), F.lit(2)), lambda k: k < n)
 
-    def part(k: Column) -> Column:
-        head = F.slice(words, F.lit(1), k)
-        line, last, after = F.array_join(head, " "), F.element_at(head, -1), F.element_at(words, k + 1)
-        commas = F.filter(F.transform(head, lambda w, i: F.when(w.endswith(",") & (i < k - 1), i)), lambda i: i.isNotNull())
-        stub = (F.size(commas) > 0) & (k - 1 - F.array_max(commas) < 3)
-        good = F.regexp_replace(F.lower(after), "^,+|,+$", "").isin(BOUNDARY) & ~last.endswith(",") & ~F.lower(last).isin(TRAIL) & ~F.coalesce(stub, F.lit(False)) & fits(line)
-        return F.when(good, line)
+    def of(x: Column) -> Column:
+        t, words, n = x["t"], x["words"], x["n"]
+        whole = F.when((n <= most_words) & fits(t) & (t != ""), F.array(t)).otherwise(F.array().cast("array<string>"))
+        sizes = F.filter(F.sequence(F.lit(most_words), F.lit(2)), lambda k: k < n)
 
-    return F.concat(whole, F.filter(F.transform(sizes, part), lambda x: x.isNotNull()))
+        def part(k: Column) -> Column:
+            head = F.slice(words, F.lit(1), k)
+            line, last, after = F.array_join(head, " "), F.element_at(head, -1), F.element_at(words, k + 1)
+            commas = F.filter(F.transform(head, lambda w, i: F.when(w.endswith(",") & (i < k - 1), i)), lambda i: i.isNotNull())
+            stub = (F.size(commas) > 0) & (k - 1 - F.array_max(commas) < 3)
+            good = F.regexp_replace(F.lower(after), "^,+|,+$", "").isin(BOUNDARY) & ~last.endswith(",") & ~F.lower(last).isin(TRAIL) & ~F.coalesce(stub, F.lit(False)) & fits(line)
+            return F.when(good, line)
+
+        return F.concat(whole, F.filter(F.transform(sizes, part), lambda x: x.isNotNull()))
+
+    # the text is cut into words once, and only those that a part can have are kept
+    cut = lambda t: let(F.split(t, " "), lambda w: F.struct(t.alias("t"), F.slice(w, 1, most_words + 1).alias("words"), F.size(w).alias("n")))
+    return let(let(F.regexp_replace(squash(text), r"\.+$", ""), cut), of)
 
 
 def cut_phrase(text: Column, most_words: int, most_chars: int | None = None) -> Column:
@@ -739,7 +743,10 @@ def readable(text: Column) -> Column:
 
 def headline_problems(text: Column) -> Column:
     """What keeps a line from being a card's headline, in order; empty for a good one."""
-    t = squash(text)
+    return let(squash(text), _headline_problems)
+
+
+def _headline_problems(t: Column) -> Column:
     first = F.split_part(t, F.lit(" "), F.lit(1))
     n, low, high = T.word_count(t), HEADLINE_SIZE, HEADLINE_SIZE
     rest = F.slice(F.split(t, " "), F.lit(2), F.greatest(F.size(F.split(t, " ")) - 1, F.lit(0)))

@@ -262,8 +262,8 @@ def f46(s: SparkSession, d: str) -> DataFrame:
 @query("f47_plain_cards")
 def f47(s: SparkSession, d: str) -> DataFrame:
     """Each article as a plain card: what is wrong with its title as a headline, what it does, its catch and its uses."""
-    said = T.sentences(c("text"))
-    a = articles(s, d).select("id", "title", F.get(said, F.lit(0)).alias("first"), F.element_at(F.concat(F.array(F.lit("")), said), -1).alias("last"), F.slice(said, 2, 6).alias("uses"))
+    parts = lambda said: F.struct(F.get(said, F.lit(0)).alias("first"), F.element_at(F.concat(F.array(F.lit("")), said), -1).alias("last"), F.slice(said, 2, 6).alias("uses"))
+    a = articles(s, d).select("id", "title", T.let(T.sentences(c("text")), parts).alias("said")).select("id", "title", "said.*")
     return a.select("id", F.array_join(R.headline_problems(c("title")), ",").alias("problems"), R.plain_what(c("first")).alias("what"), R.plain_catch(c("last")).alias("catch"), F.array_join(R.plain_uses(c("uses")), "; ").alias("uses"))
 
 
