@@ -254,10 +254,16 @@ def w06(s: SparkSession, d: str) -> DataFrame:
 @query("w07_price_history", f"""SELECT tool, min(day) AS since, max(day) AS checked, any_value(price) AS price, count(*) AS n FROM (
   SELECT *, sum(CASE WHEN prev IS NULL OR prev <> price THEN 1 ELSE 0 END) OVER (PARTITION BY tool ORDER BY day, obs, line) AS island FROM {_HIST}) GROUP BY tool, island""", dates="since checked")
 def w07(s: SparkSession, d: str) -> DataFrame:
-    """Consecutive equal observations are one entry, whose checked date moves on."""
+    """Consecutive equal observations are one entry, whose checked date moves on. An entry ends where the tool's next one starts, so the sorted rows are
+    read as they stand: nothing is grouped by entries, which are nearly as many as observations."""
     by = Window.partitionBy("tool").orderBy("day", "obs", "line")
-    h = history(s, d).withColumn("island", F.sum(F.when(c("prev").isNull() | (c("prev") != c("price")), 1).otherwise(0)).over(by))
-    return h.groupBy("tool", "island").agg(F.min("day").alias("since"), F.max("day").alias("checked"), F.any_value("price").alias("price"), F.count("*").alias("n")).drop("island")
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    h = prices(s, d).select("tool", "day", "obs", "line", "price", F.lag("price").over(by).alias("prev"), F.lag("day").over(by).alias("before"), F.row_number().over(by).cast("long").alias("r"),
+                            F.min("day").over(every).alias("first"), F.max("day").over(every).alias("last"), F.count("*").over(every).alias("total"))
+    starts = h.where(c("prev").isNull() | (c("prev") != c("price")))
+    entry = starts.select("tool", "day", "first", "price", "r", F.coalesce(F.lead("r").over(by), c("total") + 1).alias("next"), F.when(F.lead("r").over(by).isNull(), c("last")).otherwise(F.lead("before").over(by)).alias("checked"))
+    since = F.coalesce("day", F.when(c("checked").isNotNull(), c("first")))  # days that are missing come first
+    return entry.select("tool", since.alias("since"), "checked", "price", (c("next") - c("r")).alias("n"))
 
 
 @query("w08_latest_observations", "SELECT tool, obs, line FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY day DESC, obs DESC, line DESC) AS r FROM {price}) WHERE r <= 24")
