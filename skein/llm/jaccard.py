@@ -9,8 +9,8 @@ linked sets is missed.
 Equal sets are one class from the start. A word's bucket is first reduced within each map-side run of rows and then by bucket: members are
 tied to a hub (the smallest class there), so a bucket of k classes makes k - 1 candidates. After these are verified and connected, classes
 outside a bucket's largest component are compared with a member of it. Of buckets that still hold two components, those of SMALL classes at most
-are compared in full; classes of larger ones are keyed by their rarest shingles, one of which any two that link share, so that a sketch word that
-a template fills doesn't make all pairs under it. No link that could join two components is lost. Pairs are screened by sizes and parity bits before sets are read.
+are compared in full; classes of larger ones are keyed by their rarest shingles, one of which any two that link share early enough for both sizes, so
+that neither a sketch word that a template fills nor copies that just miss the bar make all pairs. No link that could join two components is lost. Pairs are screened by sizes and parity bits before sets are read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ RUN_KEYS, BUCKET_BYTES = 1 << 18, 8 << 20
 
 #: Classes of a bucket that are compared with each other: so many at most, else they are keyed by rare shingles.
 SMALL = 32
+#: Bands of sizes from the smallest set that can link with another one up to its own size.
+SIZE_STEPS = 6
 #: Counters of the table that tells rare shingles from frequent ones: a bounded broadcast.
 SLOTS = 1 << 18
 #: 64-bit words of the parity bits that screen candidates.
@@ -51,11 +53,11 @@ def band_edges(limit: int) -> list[int]:
 _EDGES = np.array(band_edges(1 << 40), np.int64)
 
 
-def sketch_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of one set's sketch words, in its own band and in every higher one that a larger linked set can lie in."""
+def sketches(hashes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(band, words, alike) of one set, in its own size band and in every higher one that a larger linked set can lie in: a set of that band that links
+    with it has at least alike of the words."""
     n = len(hashes)
     own = int(np.searchsorted(_EDGES, n, "right")) - 1
-    keys = []
     for band in range(own, len(_EDGES) - 1):
         low, high = int(_EDGES[band]), int(_EDGES[band + 1]) - 1
         if band > own and n * den < low * num:
@@ -66,16 +68,28 @@ def sketch_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         sketch = np.zeros(blocks, np.uint64)
         sketch[word[first]] = np.bitwise_xor.reduceat(hashes, first)
+        larger = min(n * den // num, high)
+        yield band, sketch, blocks - (n + larger) * (den - num) // (den + num)
+
+
+def sketch_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of one set's sketch words in all its bands."""
+    keys = []
+    for band, sketch, alike in sketches(hashes, num, den):
         with np.errstate(over="ignore"):
-            key = mix(sketch ^ mix(np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)))
+            key = mix(sketch ^ mix(np.arange(len(sketch), dtype=np.uint64) + np.uint64(band << 40)))
         filled = sketch != 0
-        larger = min(n * den // num, high)
-        if (~filled).sum() < blocks - (n + larger) * (den - num) // (den + num):
+        if (~filled).sum() < alike:
             key = key[filled]  # a linked set then agrees in a filled word
         keys.append(key)
     return np.concatenate(keys)
 
 
+def least_shared(hashes: np.ndarray, num: int, den: int) -> int:
+    """How many sketch keys a set has in common with any that it links with, at least. Empty words may be no keys of the other one."""
+    return min(max(1, alike - int((sketch == 0).sum())) for _, sketch, alike in sketches(hashes, num, den))
+
+
 def text_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Runs of rows with each row's sorted distinct shingle hashes."""
     for part, data, offsets in chunks(batches, "text"):
@@ -222,14 +236,45 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def overlap(n: str, m: str, num: int, den: int) -> Column:
+    """The least number of shingles that linked sets of n and m shingles share."""
+    return F.expr(f"({num} * ({n} + {m}) + {num + den - 1}) div {num + den}")
+
+
+def meetings(keys: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): classes of different parts that meet early enough to link. keys: (lo, part, n, place, shingle), place from 1 in one order of all shingles.
+
+    Sets of n and m shingles that link share overlap(n, m) of them, so that the first one they share stands among the first n + 1 - overlap(n, m) of the
+    one and m + 1 - overlap(n, m) of the other. The smaller set's shingles are keyed by its own size; the larger one's by all smaller sizes that still
+    may look as far as their place, in bands of sizes."""
+    ratio = np.log(max((den / num) ** (1 / SIZE_STEPS), 1.01))
+    band = lambda n: F.floor(F.log(n) / float(ratio))
+    x = keys.where(F.col("place") <= F.col("n") + 1 - overlap("n", "n", num, den))
+    x = x.select("shingle", band("n").alias("band"), F.col("lo").alias("x"), F.col("part").alias("px"), F.col("n").alias("nx"), F.col("place").alias("ix"))
+    low, high = F.expr(f"(n * {num} + {den - 1}) div {den}"), F.least("n", F.expr(f"(n + 1 - place) * {num + den} div {num} - n"))
+    y = keys.withColumns({"low": low, "high": high}).where("low <= high")
+    y = y.select("shingle", F.explode(F.sequence(band("low"), band("high"))).alias("band"), F.col("lo").alias("y"), F.col("part").alias("py"), F.col("n").alias("ny"), F.col("place").alias("iy"))
+    both = overlap("nx", "ny", num, den)
+    fits = (F.col("px") != F.col("py")) & F.expr("nx < ny or nx = ny and x < y") & (F.col("ix") <= F.col("nx") + 1 - both) & (F.col("iy") <= F.col("ny") + 1 - both)
+    return x.join(y, ["shingle", "band"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def rare_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, label: str) -> DataFrame:
-    """(a, b): pairs of classes (lo, part) of different parts that may link, from their sets (lo, n, hashes). In one order of all shingles, linked sets
-    share one among the first n - ceil(n * num / den) + 1 of either. The order is by how many classes hold a shingle, as far as a table of SLOTS
-    counters tells, rarest first: what many texts share, such as a template, then is no key, and few classes meet under one."""
+    """(a, b): pairs of classes (lo, part, open) of different parts that may link, from their sets (lo, n, hashes); pairs with a sketch key besides the
+    open ones need not be among them. Classes with fewer open keys than any link of theirs has go: most have come by one word of a common passage.
+    Shingles are in the order of how many classes hold them, as far as a table of SLOTS counters tells, rarest first: what many texts share, such as a
+    template, then comes too late to be a key, and few classes meet under one. A shingle whose counter says one class keeps its place and is no key."""
     slot = F.pmod(F.xxhash64("lo"), F.lit(SLOTS))
     slots = classes.select(slot.alias("slot")).distinct()  # SLOTS rows at most: few other sets come with those asked for, while these are few
     some = sets.select("lo", "n", "hashes").join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
-    held = settle(some.join(classes, "lo").select("lo", "part", "n", "hashes"), f"{label}-held")
+
+    def linkable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [n >= least_shared(np.frombuffer(x.as_buffer(), np.uint64), num, den) for n, x in zip(batch.column(4).to_pylist(), batch.column(3), strict=True)]
+            yield batch.select(["lo", "part", "n", "hashes"]).filter(pa.array(fits, pa.bool_()))
+
+    wanted = some.join(classes, "lo").select("lo", "part", "n", "hashes", "open")
+    held = settle(wanted.mapInArrow(linkable, "lo long, part long, n long, hashes binary"), f"{label}-held")
     mask = np.uint64(SLOTS - 1)
 
     def hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -252,22 +297,24 @@ def rare_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, label: s
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_by = shared.value
         for batch in batches:
-            taken = []
+            taken, places = [], []
             for s in hashes_of(batch):
-                order = np.lexsort((s, held_by[(s & mask).astype(np.int64)]))
-                taken.append(s[order[: len(s) + 1 - -(-num * len(s) // den)]])
+                held = held_by[(s & mask).astype(np.int64)]
+                order = np.lexsort((s, held))[: len(s) + 1 - -(-num * len(s) // den)]
+                place = np.flatnonzero(held[order] > 1)
+                taken.append(s[order[place]])
+                places.append(place + 1)
             at = np.repeat(np.arange(batch.num_rows), [len(x) for x in taken])
             shingles = np.concatenate(taken) if taken else np.zeros(0, np.uint64)
+            place = np.concatenate(places) if places else np.zeros(0, np.int64)
             for i in range(0, len(at), 100_000):
                 rows = pa.array(at[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(3)], pa.array(shingles[i : i + 100_000].view(np.int64))], ["lo", "part", "n", "shingle"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(3)], pa.array(place[i : i + 100_000]), pa.array(shingles[i : i + 100_000].view(np.int64))], ["lo", "part", "n", "place", "shingle"])
 
-    keys = settle(held.mapInArrow(rarest, "lo long, part long, n long, shingle long"), f"{label}-rare")
-    open_keys = keys.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("shingle")
-    keys = settle(keys.join(open_keys, "shingle"), f"{label}-keys")
-    x, y = (keys.select("shingle", F.col("lo").alias(i), F.col("part").alias(f"p{i}"), F.col("n").alias(f"n{i}")) for i in ("a", "b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    return x.join(y, "shingle").where(fits).select("a", "b").distinct()
+    keys = settle(held.mapInArrow(rarest, "lo long, part long, n long, place long, shingle long"), f"{label}-rare")
+    early = F.min(F.col("place") - (F.col("n") + 1 - overlap("n", "n", num, den))).alias("early")  # over 0: no set looks so far for one of its own size
+    open_keys = keys.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), early).where("least <> most and early <= 0").select("shingle")
+    return meetings(settle(keys.join(open_keys, "shingle"), f"{label}-keys"), num, den)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, label: str = "jaccard") -> DataFrame:
@@ -325,7 +372,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
             # under each key one member of the largest component, another one for every key, stands for it
             pairs = rest.where("part <> main").select(F.least("lo", "pick").alias("a"), F.greatest("lo", "pick").alias("b")).distinct()
         else:
-            pairs = rare_pairs(sets, settle(rest.where(F.col("size") > SMALL).select("lo", "part").distinct(), f"{label}-rest"), num, den, label)
+            pairs = rare_pairs(sets, settle(rest.where(F.col("size") > SMALL).groupBy("lo", "part").agg(F.count("*").alias("open")), f"{label}-rest"), num, den, label)
         pairs = pairs.join(renamed(bits, "a"), "a").join(renamed(bits, "b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
         if final:
             few = settle(rest.where(F.col("size") <= SMALL).select("key", "lo", "part", "main").join(bits, "lo"), f"{label}-few")
