@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import chunks, mix, shingle_hashes, unused, words
-from skein.shared import connected, settle
+from skein.shared import connected, discard, scratch, settle
 
 #: Words beyond those that the pigeonhole needs, so that empty words seldom must be keys; ratio of a size band's ends.
 SPARE, BAND = 1, 1.4
@@ -37,6 +37,8 @@ SMALL = 32
 SIZE_STEPS = 6
 #: Counters of the table that tells rare shingles from frequent ones: a bounded broadcast.
 SLOTS = 1 << 18
+#: Counters in a row of a task's table.
+BLOCK = 1 << 12
 #: 64-bit words of the parity bits that screen candidates.
 PARITY_WORDS = 16
 _PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
@@ -259,6 +261,45 @@ def meetings(keys: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, ["shingle", "band"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+_MASK = np.uint64(SLOTS - 1)
+
+
+def _hashes(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(batch.schema.get_field_index("hashes"))]
+
+
+def tallies(held: DataFrame) -> DataFrame:
+    """(block, counts binary): how many sets of held (hashes) are counted by each of BLOCK counters, a row for each task and block at most, whatever
+    number of sets the task has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            found = _hashes(batch)
+            if found:
+                counts += np.bincount((np.concatenate(found) & _MASK).astype(np.int64), minlength=SLOTS)
+        blocks = counts.reshape(-1, BLOCK)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([blocks[i].tobytes() for i in at], pa.binary())], ["block", "counts"])
+
+    return held.mapInArrow(run, "block long, counts binary")
+
+
+def counters(tallied: DataFrame) -> np.ndarray:
+    """The sum of all tasks' tables."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, np.zeros(BLOCK, np.int64)
+        for batch in batches:
+            for x in batch.column(1):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+            block = batch.column(0)[:1] if batch.num_rows else block
+        yield pa.RecordBatch.from_arrays([block, pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+
+    table = np.zeros((SLOTS // BLOCK, BLOCK), np.int64)
+    for r in tallied.groupBy("block").applyInArrow(run, "block long, counts binary").collect():  # a row for each block: 2 MB in all
+        table[r.block] = np.frombuffer(r.counts, np.int64)
+    return table.ravel()
+
+
 def rare_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, label: str) -> DataFrame:
     """(a, b): pairs of classes (lo, part, open) of different parts that may link, from their sets (lo, n, hashes); pairs with a sketch key besides the
     open ones need not be among them. Classes with fewer open keys than any link of theirs has go: most have come by one word of a common passage.
@@ -275,31 +316,14 @@ def rare_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, label: s
 
     wanted = some.join(classes, "lo").select("lo", "part", "n", "hashes", "open")
     held = settle(wanted.mapInArrow(linkable, "lo long, part long, n long, hashes binary"), f"{label}-held")
-    mask = np.uint64(SLOTS - 1)
-
-    def hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            found = hashes_of(batch)
-            if found:
-                counts += np.bincount((np.concatenate(found) & mask).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
-
-    counted = held.mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
-    table = np.zeros(SLOTS, np.int64)
-    table[[r.slot for r in counted]] = [r.n for r in counted]
-    shared = sets.sparkSession.sparkContext.broadcast(table)
+    shared = sets.sparkSession.sparkContext.broadcast(counters(tallies(held)))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_by = shared.value
         for batch in batches:
             taken, places = [], []
-            for s in hashes_of(batch):
-                held = held_by[(s & mask).astype(np.int64)]
+            for s in _hashes(batch):
+                held = held_by[(s & _MASK).astype(np.int64)]
                 order = np.lexsort((s, held))[: len(s) + 1 - -(-num * len(s) // den)]
                 place = np.flatnonzero(held[order] > 1)
                 taken.append(s[order[place]])
@@ -328,17 +352,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     if not 0 < num <= den:
         raise ValueError("num / den must lie over 0 and be 1 at most")
     docs = docs.select("doc_id", "text")
+    work = scratch(label)
     made = settle(sets_of(docs, width), f"{label}-sets")
-    classes = settle(made.where("n > 0 and doc_id is not null").groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), f"{label}-classes")
+    classes = settle(made.where("n > 0 and doc_id is not null").groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), f"{work}/classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     bands = 1 + np.log(den / num) / np.log(BAND)
     per_shingle = bands * 2 * BAND * (den - num) / (den + num) + 0.02
     buckets = max(1, round(total * per_shingle * 16 / BUCKET_BYTES))
     buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = settle(bucket_links(bucket_rows(docs, width, num, den, buckets)), f"{label}-candidates")
-    first = settle(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{label}-first")
+    found = settle(bucket_links(bucket_rows(docs, width, num, den, buckets)), f"{work}/candidates")
+    first = settle(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{work}/first")
     touched = first.select(F.col("a").alias("lo")).union(first.select("b")).distinct()
-    wanted = settle(touched.join(classes, "lo").select("lo", "rep"), f"{label}-wanted")
+    wanted = settle(touched.join(classes, "lo").select("lo", "rep"), f"{work}/wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A repeated doc_id may bring another text, or the same one again: neither gives a row."""
@@ -352,19 +377,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
             yield pa.RecordBatch.from_arrays(columns, ["lo", "n", *_PARITY, "hashes"])
 
     texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.rep).select("text", "lo")  # one plan at every size
-    sets = settle(texts.mapInArrow(run, f"lo long, n long, {', '.join(f'{c} long' for c in _PARITY)}, hashes binary"), f"{label}-hashes")
+    sets = settle(texts.mapInArrow(run, f"lo long, n long, {', '.join(f'{c} long' for c in _PARITY)}, hashes binary"), f"{work}/hashes")
     bits = sets.drop("hashes")
     near = first.join(renamed(bits, "a"), "a").join(renamed(bits, "b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
-    links = settle(verified(settle(near, f"{label}-near"), sets, num, den), f"{label}-links")
-    parts = connected(links, f"{label}-one")
+    links = settle(verified(settle(near, f"{work}/near"), sets, num, den), f"{work}/links")
+    parts = connected(links, f"{work}/one")
     shared = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("lo"))
     tried = first
     for final in (False, True):
         under = shared.join(parts, shared.lo == parts.id, "left").select("key", "lo", F.coalesce("component", "lo").alias("part")).distinct()
-        under = settle(under, f"{label}-under")
+        under = settle(under, f"{work}/under")
         counted = under.groupBy("key", "part").agg(F.count("*").alias("m"), F.min_by("lo", F.xxhash64("key", "lo")).alias("pick"))
         counted = counted.groupBy("key").agg(F.max(F.struct("m", "part", "pick")).alias("most"), F.count("*").alias("parts"), F.sum("m").alias("size"))
-        open_keys = settle(counted.where("parts > 1").select("key", F.col("most.part").alias("main"), F.col("most.pick").alias("pick"), "size"), f"{label}-open")
+        open_keys = settle(counted.where("parts > 1").select("key", F.col("most.part").alias("main"), F.col("most.pick").alias("pick"), "size"), f"{work}/open")
         if open_keys.isEmpty():
             break
         rest = under.join(open_keys, "key")
@@ -372,22 +397,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
             # under each key one member of the largest component, another one for every key, stands for it
             pairs = rest.where("part <> main").select(F.least("lo", "pick").alias("a"), F.greatest("lo", "pick").alias("b")).distinct()
         else:
-            pairs = rare_pairs(sets, settle(rest.where(F.col("size") > SMALL).groupBy("lo", "part").agg(F.count("*").alias("open")), f"{label}-rest"), num, den, label)
+            pairs = rare_pairs(sets, settle(rest.where(F.col("size") > SMALL).groupBy("lo", "part").agg(F.count("*").alias("open")), f"{work}/rest"), num, den, f"{work}/rare")
         pairs = pairs.join(renamed(bits, "a"), "a").join(renamed(bits, "b"), "b").where(may_link("a", "b", num, den)).select("a", "b")
         if final:
-            few = settle(rest.where(F.col("size") <= SMALL).select("key", "lo", "part", "main").join(bits, "lo"), f"{label}-few")
+            few = settle(rest.where(F.col("size") <= SMALL).select("key", "lo", "part", "main").join(bits, "lo"), f"{work}/few")
             odd = renamed(few.where("part <> main").withColumnRenamed("key", "k"), "u").withColumnRenamed("part", "pu")
             other = renamed(few.drop("main"), "v").withColumnRenamed("part", "pv")
             near = odd.join(other, (F.col("k") == F.col("key")) & F.expr("pu <> pv and (pv = main or u < v)") & may_link("u", "v", num, den))
             pairs = pairs.union(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct()
-        new = settle(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{label}-new")
-        more = settle(verified(new, sets, num, den), f"{label}-more")
+        new = settle(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"{work}/new")
+        more = settle(verified(new, sets, num, den), f"{work}/more")
         if not more.isEmpty():
-            parts = connected(more.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))), f"{label}-two")
+            parts = connected(more.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))), f"{work}/two")
         tried = tried.union(new)
-    named = settle(classes.join(parts, classes.lo == parts.id, "left").select("lo", "hi", F.col("n").alias("m"), "rep", F.coalesce("component", "lo").alias("part")), f"{label}-named")
-    least = settle(named.groupBy("part").agg(F.min("rep").alias("component")), f"{label}-least")
+    named = settle(classes.join(parts, classes.lo == parts.id, "left").select("lo", "hi", F.col("n").alias("m"), "rep", F.coalesce("component", "lo").alias("part")), f"{work}/named")
+    least = settle(named.groupBy("part").agg(F.min("rep").alias("component")), f"{work}/least")
     reps = settle(named.join(least, "part").select("lo", "hi", "m", "component"), f"{label}-reps")
+    discard(docs.sparkSession, work)  # what is returned reads made and reps only
     same = (made.lo == reps.lo) & (made.hi == reps.hi) & (made.n == reps.m)
     return made.join(reps, same, "left").select(made.doc_id, made.n.alias("n_shingles"), F.when(made.doc_id.isNotNull(), F.coalesce("component", made.doc_id)).alias("component_id"))
 
