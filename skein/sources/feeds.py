@@ -48,17 +48,18 @@ def said_at(text: Column) -> Column:
     return F.when(day != "", named).otherwise(F.trim(text).try_cast("timestamp"))
 
 
-def read_feeds(feeds: DataFrame) -> DataFrame:
+def read_feeds(feeds: DataFrame, titles: bool = True) -> DataFrame:
     """(source_key, link, title, published_at, description, feed_content, author): the entries of feeds (source_key, document, fallback, keep_domain, topic_only).
 
     A document that gives no entries is repaired and read again; if it still gives none, the fallback is read in the same way. Entries without an http
     link go, those outside keep_domain (if it isn't null), and those of a topic_only source that name no subject in their title or the first 600 characters
-    of their summary. Descriptions have 2,000 characters at most; feed_content is the body, or else the summary, of over 50 words."""
+    of their summary; without `titles` only the summary counts. Descriptions have 2,000 characters at most; feed_content is the body, or else the summary, of over 50 words."""
     whole = lambda d: F.coalesce(entries(d), entries(repaired(d)))
     found = feeds.select("source_key", "keep_domain", "topic_only", F.explode(F.coalesce(whole(F.col("document")), whole(F.col("fallback")))).alias("e"))
     summary = F.coalesce(F.col("e.summary"), F.lit(""))
     title, link = F.coalesce(F.col("e.title"), F.lit("")), F.trim(F.col("e.link"))
-    named = F.concat(title, F.lit(" "), F.substring(F.regexp_replace(summary, "<[^>]+>", " "), 1, 600)).rlike(TOPIC)
+    told = F.substring(F.regexp_replace(summary, "<[^>]+>", " "), 1, 600)
+    named = (F.concat(title, F.lit(" "), told) if titles else told).rlike(TOPIC)
     kept = F.col("keep_domain").isNull() | U.on_domain(U.host(link), F.lower("keep_domain"))
     rows = found.where(link.startswith("http") & kept & (~F.coalesce("topic_only", F.lit(False)) | named))
     long = lambda x: F.when(T.word_count(x) > 50, x)
